@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.llm import line_cleaning, mixing, secrets, sharding
+from neurolith.llm import jaccard_join, line_cleaning, mixing, ngram_lm, packing, secrets, sharding, vp_search
 from neurolith.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_cleaning.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op4_quality, op5_secrets)}
-ORACLES = {"op1_mixing": mixing.oracle(), "op4_quality": line_cleaning.oracle()}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_lm_scoring, op4_quality, op5_secrets, op6_packing, op8_jaccard_join, op10_neighbours)}
+ORACLES = {"op1_mixing": mixing.oracle(), "op4_quality": line_cleaning.oracle(), "op10_neighbours": vp_search.ORACLE}
