@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """From now on this session sends texts to Python in Arrow batches of about most_bytes, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; none in a null text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import MULT, arrow_bytes, cut, mix, pieces, words
+from neurolith.llm.common import MULT, arrow_bytes, cut, mix, pieces, small_batches, words
 from neurolith.llm.components import components
 
 
@@ -99,6 +99,7 @@ def jaccard_join(docs: DataFrame, *, text: str = "text", n: int = 5, threshold:
     """
     depth = depth_for(threshold, trees, deepest, recall)
     kind = dict(docs.dtypes)["doc_id"]
+    small_batches(docs.sparkSession)
 
     def sign(batches):
         for batch in pieces(batches, 4 << 20):
