@@ -80,7 +80,7 @@ def links_within(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, thre
     return linked & (sa[:, None] > 0)
 
 
-def jaccard_join(docs: DataFrame, *, text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, trees: int = 20, deepest: int = 8, block: int = 500, most_broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, text: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, trees: int = 20, deepest: int = 8, block: int = 500, most_broadcast_rows: int = 500_000, keep_key: bool = False) -> DataFrame:
     """docs (doc_id, text) -> one row per row: doc_id, class_id, copy_id, n_links.
 
     Texts link if their sets of n-word shingles have a Jaccard similarity of at least threshold. Equal texts are one; n_links
@@ -95,7 +95,8 @@ def jaccard_join(docs: DataFrame, *, text: str = "text", n: int = 5, threshold:
 
     Texts of fewer than n words have one shingle of all their words; texts without words and nulls link to nothing and are
     classes of their own copies; very long texts count whole; repeated rows are copies; null ids are kept (and never the
-    least id where others are there); an empty table gives an empty result; other columns are not looked at.
+    least id where others are there); an empty table gives an empty result; other columns are not looked at. keep_key adds text_key, the text's
+    MD5.
     """
     depth = depth_for(threshold, trees, deepest, recall)
     kind = dict(docs.dtypes)["doc_id"]
@@ -173,19 +174,26 @@ def jaccard_join(docs: DataFrame, *, text: str = "text", n: int = 5, threshold:
     of_text = of_text.withColumn("label", F.coalesce("label", "text_key"))
     least = of_text.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     of_text = of_text.join(least, "label").select("text_key", "class_id", "copy_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "text_key").join(of_text, "text_key").select("doc_id", "class_id", "copy_id", "n_links")
+    return signed.select("doc_id", "text_key").join(of_text, "text_key").select("doc_id", "class_id", "copy_id", "n_links", *(["text_key"] if keep_key else []))
 
 
 def join_documents(docs: DataFrame) -> DataFrame:
     return jaccard_join(docs)
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, *, most_broadcast_rows: int = 500_000) -> DataFrame:
     """The row with the least doc_id of each class; the columns as they are.
 
-    Rows without words are copies of each other's texts, so one of each such text stays. Repeated rows with the id that
-    stays become one. Rows with a null id stay only where their class has no other id.
+    Of texts without words one copy of each stays. Repeated rows become one. Rows with a null id stay only where their class
+    has no other id, one for each text. The rows to drop are few: their keys are sent to the texts where they are at most
+    most_broadcast_rows, and joined by a shuffle beyond.
     """
-    kept = jaccard_join(docs).groupBy("class_id").agg(F.lit(1).alias("_one")).select(F.col("class_id").alias("_id"))
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return first.dropDuplicates(["doc_id"])
+    classes = cut(jaccard_join(docs, keep_key=True))
+    gone = cut(classes.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), "text_key").distinct())
+    gone = F.broadcast(gone) if gone.count() <= most_broadcast_rows else gone
+    d = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    left = d.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("text_key")), "left_anti")
+    repeated = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    if not repeated.isEmpty():
+        left = left.dropDuplicates(["doc_id", "_key"])
+    return left.select(*docs.columns)

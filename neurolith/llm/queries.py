@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.llm import jaccard_join, line_cleaning, mixing, ngram_lm, packing, secrets, sharding, vp_search
+from neurolith.llm import jaccard_join, line_cleaning, mixing, ngram_lm, packing, secrets, sharding, suffix_dedup, toxicity, vp_search
 from neurolith.llm.common import table
 
 
@@ -32,13 +33,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_lm_scoring, op4_quality, op5_secrets, op6_packing, op8_jaccard_join, op10_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_lm_scoring, op4_quality, op5_secrets, op6_packing, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_neighbours)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_mixing": mixing.oracle(), "op4_quality": line_cleaning.oracle(), "op10_neighbours": vp_search.ORACLE}
