@@ -122,9 +122,9 @@ class Units:
         stop = np.minimum(begin + UNIT, np.repeat(end, n))
         size = stop - begin
         cells = np.zeros((len(begin), UNIT), np.uint8)
-        if len(begin):
-            at = begin[:, None] + np.arange(UNIT)
-            cells = np.where(np.arange(UNIT) < size[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
+        for j in range(UNIT if len(begin) else 0):
+            some = np.flatnonzero(size > j)
+            cells[some, j] = data[begin[some] + j]
         lanes = cells.view(np.uint64)
         h = np.zeros(len(begin), np.uint64)
         for lane in lanes.T:
@@ -161,8 +161,7 @@ def logits(net: dict, units: Units, rows: int = 1024) -> tuple[np.ndarray, np.nd
         for i in range(0, len(some), 4 * rows):
             cells = units.cells[some[i : i + 4 * rows], :n].T
             chars[some[i : i + 4 * rows]] = _encode(net, "char", xf[cells], xb[cells], None)
-    x = np.concatenate([net["word_table"][units.bucket], chars], axis=1)
-    wf, wb = (x @ net[f"word_{way}_w"] + net[f"word_{way}_c"] for way in "fb")
+    wf, wb = ((net["word_table"] @ net[f"word_{way}_w"][:WORD_DIM] + net[f"word_{way}_c"])[units.bucket] + chars @ net[f"word_{way}_w"][WORD_DIM:] for way in "fb")
     for full in (True, False):
         some = np.flatnonzero((size == WINDOW) == full)
         some = some if full else some[np.argsort(size[some], kind="stable")]
