@@ -16,3 +16,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in ("quality", "features", "study"):
+        importlib.import_module(f"neurolith.plans.{name}")
