@@ -1,0 +1,241 @@
+"""Signal kernels that need a whole series in order: one Arrow call per series, partitioned by Spark.
+
+A series is one session's signal: its length is that of a recording, not of the study. Filters are second-order sections
+from the bilinear transform, run forward and backward over an odd extension.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def butter_sections(order: int, edges: list[float], kind: str, fs: float) -> np.ndarray:
+    """Digital Butterworth filter as sections (b0, b1, b2, 1, a1, a2); kind low, high or band."""
+    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    w = 2 * fs * np.tan(np.pi * np.asarray(edges, float) / fs)
+    if kind == "band":
+        width, center = w[1] - w[0], np.sqrt(w[0] * w[1])
+        half = poles * width / 2
+        root = np.sqrt(half * half - center**2)
+        poles, zeros, gain = np.concatenate([half + root, half - root]), np.zeros(order), width**order
+    elif kind == "low":
+        poles, zeros, gain = poles * w[0], np.zeros(0), w[0] ** order
+    else:
+        poles, zeros, gain = w[0] / poles, np.zeros(order), 1.0
+    z, p = (2 * fs + zeros) / (2 * fs - zeros), (2 * fs + poles) / (2 * fs - poles)
+    gain = gain * np.real(np.prod(2 * fs - zeros) / np.prod(2 * fs - poles))
+    z = np.concatenate([z, -np.ones(len(p) - len(z))])
+    up = sorted(p[np.imag(p) > 1e-12], key=abs)
+    pairs = [(x, np.conj(x)) for x in up] + [tuple(r) if len(r) == 2 else (r[0], 0.0) for r in _pairs(np.real(p[np.abs(np.imag(p)) <= 1e-12]))]
+    z = sorted(np.real(z))
+    out = []
+    for a, b in pairs:
+        single = b == 0.0
+        zz = [z.pop(0)] if single else [z.pop(0), z.pop(-1)]
+        num, den = np.poly(zz), np.real(np.poly([a] if single else [a, b]))
+        out.append(np.concatenate([np.pad(num, (0, 3 - len(num))), np.pad(den, (0, 3 - len(den)))]))
+    out = np.array(out)
+    out[0, :3] *= gain
+    return out
+
+
+def _pairs(x: np.ndarray) -> list[np.ndarray]:
+    x = np.sort(x)
+    return [x[i : i + 2] for i in range(0, len(x), 2)]
+
+
+def _run(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
+    for b0, b1, b2, _, a1, a2 in sections:
+        # The state that a constant input of the first value leaves behind.
+        level = (b0 + b1 + b2) / (1 + a1 + a2)
+        s2 = (b2 - a2 * level) * x[0]
+        s1 = (b1 - a1 * level) * x[0] + s2
+        y = np.empty_like(x)
+        for i, v in enumerate(x.tolist()):
+            o = b0 * v + s1
+            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
+            y[i] = o
+        x = y
+    return x
+
+
+def filtfilt(sections: np.ndarray, x: np.ndarray) -> np.ndarray:
+    pad = min(len(x) - 1, 3 * (2 * len(sections) + 1))
+    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    out = _run(sections, _run(sections, wide)[::-1])[::-1]
+    return out[pad : len(out) - pad]
+
+
+def filled(x: np.ndarray) -> np.ndarray:
+    ok = np.isfinite(x)
+    return np.interp(np.arange(len(x)), np.flatnonzero(ok), x[ok]) if ok.any() else np.zeros(len(x))
+
+
+def detrended(x: np.ndarray) -> np.ndarray:
+    t = np.arange(len(x)) - (len(x) - 1) / 2
+    return x - x.mean() - t * (t @ x) / max(t @ t, 1e-12)
+
+
+def band_filter(x: np.ndarray, fs: float, low: float, high: float, order: int) -> np.ndarray:
+    """Fill, detrend, band-pass; series shorter than 20 samples or 6 times the order stay as they are."""
+    x = filled(np.asarray(x, float))
+    if len(x) < max(20, 6 * order):
+        return x
+    return filtfilt(butter_sections(order, [low, min(high, 0.475 * fs)], "band", fs), detrended(x))
+
+
+def welch(x: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and density: Hann segments of `size` that overlap by half, means removed."""
+    size = min(size, len(x))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    step = size - size // 2
+    parts = np.lib.stride_tricks.sliding_window_view(x, size)[::step]
+    parts = (parts - parts.mean(axis=1, keepdims=True)) * window
+    power = (np.abs(np.fft.rfft(parts, axis=1)) ** 2).mean(axis=0) / (fs * (window**2).sum())
+    power[1 : (size + 1) // 2] *= 2
+    return np.fft.rfftfreq(size, 1 / fs), power
+
+
+def biweight_derivative(x: np.ndarray, fs: float, cutoff: float = 0.5, order: int = 3, tune: float = 4.685) -> np.ndarray:
+    """Temporal derivative distribution repair: outlying derivatives of the slow part are weighed down, then summed up."""
+    if len(x) < 4 * fs:
+        return x.copy()
+    mean = x.mean()
+    slow = filtfilt(butter_sections(order, [cutoff], "low", fs), x - mean) if cutoff < fs / 2 else x - mean
+    fast = x - mean - slow
+    d = np.diff(slow)
+    w, mu = np.ones(len(d)), np.inf
+    for _ in range(50):
+        new = (w * d).sum() / w.sum()
+        far = np.abs(d - new)
+        sigma = 1.4826 * np.median(far)
+        if sigma < 1e-12:
+            break
+        w = np.where((r := far / (sigma * tune)) < 1, (1 - r * r) ** 2, 0.0)
+        if abs(new - mu) <= 1e-8 * max(abs(new), 1e-8):
+            break
+        mu = new
+    new = (w * d).sum() / max(w.sum(), 1e-12)
+    fixed = np.concatenate([[0.0], np.cumsum(w * (d - new))])
+    return fixed - fixed.mean() + fast + mean
+
+
+def peaks(x: np.ndarray, apart: int, prominence: float = 0.0) -> np.ndarray:
+    """Local maxima at least `apart` samples from any higher one kept, with at least the prominence."""
+    at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:])) + 1
+    keep = np.ones(len(at), bool)
+    for i in np.argsort(-x[at], kind="stable"):
+        if keep[i]:
+            keep[(np.abs(at - at[i]) < apart) & (np.arange(len(at)) != i)] = False
+    at = at[keep]
+    if prominence > 0:
+        fine = []
+        for p in at:
+            higher_l, higher_r = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
+            left, right = x[higher_l[-1] if len(higher_l) else 0 : p + 1].min(), x[p : p + 2 + (higher_r[0] if len(higher_r) else len(x))].min()
+            fine.append(x[p] - max(left, right) >= prominence)
+        at = at[np.array(fine, bool)] if len(at) else at
+    return at
+
+
+def analytic(x: np.ndarray) -> np.ndarray:
+    f = np.fft.fft(x)
+    h = np.zeros(len(x))
+    h[0] = 1
+    h[1 : (len(x) + 1) // 2] = 2
+    if len(x) % 2 == 0:
+        h[len(x) // 2] = 1
+    return np.fft.ifft(f * h)
+
+
+def _each(samples: DataFrame, keys: list[str], f, out: str) -> DataFrame:
+    kinds = dict(samples.dtypes)
+
+    def run(key, rows):
+        return f(key, rows.sort_values("sample_idx", ignore_index=True))
+
+    return samples.select(*keys, "sample_idx", "value").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + out)
+
+
+def band_pass(samples: DataFrame, keys: list[str], *, fs: float, low: float, high: float, order: int) -> DataFrame:
+    def f(key, rows):
+        return rows[[*keys, "sample_idx"]].assign(filtered=band_filter(rows.value.to_numpy(float), fs, low, high, order))
+
+    return _each(samples, keys, f, "sample_idx long, filtered double")
+
+
+def tddr(samples: DataFrame, keys: list[str], *, fs: float) -> DataFrame:
+    def f(key, rows):
+        return rows[[*keys, "sample_idx"]].assign(repaired=biweight_derivative(filled(rows.value.to_numpy(float)), fs))
+
+    return _each(samples, keys, f, "sample_idx long, repaired double")
+
+
+BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45)}
+
+
+def welch_bands(samples: DataFrame, keys: list[str], *, fs: float) -> DataFrame:
+    """Absolute and relative power of each band (closed ends, relative to 1-45 Hz) from 4-second segments."""
+
+    def f(key, rows):
+        freq, power = welch(filled(rows.value.to_numpy(float)), fs, int(4 * fs))
+        area = lambda lo, hi: float(np.trapezoid(power[s := (freq >= lo) & (freq <= hi)], freq[s]))
+        total = area(1, 45)
+        return pd.DataFrame([(*key, name, area(*ends), area(*ends) / total if total > 0 else None) for name, ends in BANDS.items()], columns=[*keys, "band", "power", "power_rel"])
+
+    return _each(samples, keys, f, "band string, power double, power_rel double")
+
+
+def peak_intervals(samples: DataFrame, keys: list[str], *, fs: float, low: float, high: float, order: int, apart: float) -> DataFrame:
+    """Intervals between the peaks of the filtered series: n_peaks, rate per minute, and variation in percent."""
+
+    def f(key, rows):
+        x = band_filter(rows.value.to_numpy(float), fs, low, high, order)
+        gap = np.diff(peaks(x, max(1, int(apart * fs)))) / fs
+        rate = 60 / gap.mean() if len(gap) else None
+        return pd.DataFrame([(*key, len(gap) + 1, rate, float(gap.std(ddof=1) / gap.mean() * 100) if len(gap) > 1 else None)], columns=[*keys, "n_peaks", "rate_per_min", "interval_cv"])
+
+    return _each(samples, keys, f, "n_peaks long, rate_per_min double, interval_cv double")
+
+
+def phase_locking(samples: DataFrame, a: str, b: str, *, fs: float, low: float, high: float) -> DataFrame:
+    """Phase-locking value and mean coherence in a band of two signals of each session, over the places both have."""
+    both = samples.filter(F.col("signal").isin(a, b)).groupBy("session_id", "sample_idx").agg(F.max(F.when(F.col("signal") == a, F.col("value"))).alias("x"), F.max(F.when(F.col("signal") == b, F.col("value"))).alias("y"))
+
+    def f(key, rows):
+        rows = rows.dropna(subset=["x", "y"]).sort_values("sample_idx")
+        x, y = (detrended(rows[c].to_numpy(float)) if len(rows) else np.zeros(0) for c in "xy")
+        if len(x) < 40:
+            return pd.DataFrame([(key[0], None, None)], columns=["session_id", "plv", "coherence"])
+        plv = np.abs(np.mean(np.exp(1j * (np.angle(analytic(band_filter(x, fs, low, high, 4))) - np.angle(analytic(band_filter(y, fs, low, high, 4)))))))
+        size = min(len(x) // 2, int(fs))
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+        fx, fy = (np.fft.rfft(np.lib.stride_tricks.sliding_window_view(s, size)[:: size - size // 2] * window, axis=1) for s in (x, y))
+        coh = np.abs((fx * np.conj(fy)).mean(axis=0)) ** 2 / np.maximum((np.abs(fx) ** 2).mean(axis=0) * (np.abs(fy) ** 2).mean(axis=0), 1e-30)
+        freq = np.fft.rfftfreq(size, 1 / fs)
+        inside = (freq >= low) & (freq <= high)
+        return pd.DataFrame([(key[0], float(plv), float(coh[inside].mean()) if inside.any() else None)], columns=["session_id", "plv", "coherence"])
+
+    return both.groupBy("session_id").applyInPandas(f, "session_id long, plv double, coherence double")
+
+
+def random_intercept(rows: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """y = a + b x + u(group) + e by maximum likelihood: slope, intercept, both variances, groups and rows.
+
+    Each group enters by its sums alone, in one aggregate; for a variance ratio r the estimate is closed, so the profile
+    over a grid of ratios is a second aggregate of one row per ratio. Only those few rows reach the driver's plan.
+    """
+    s = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(y) * F.col(y)).alias("syy"))
+    ratio = F.explode(F.array(*[F.lit(float(r)) for r in (0.0, *np.logspace(-6, 2, 65))]))
+    s = s.withColumn("r", ratio).withColumn("w", F.col("r") / (1 + F.col("n") * F.col("r")))
+    t = lambda a, b, ab: F.sum(F.col(ab) - F.col("w") * F.col(a) * F.col(b))
+    g = s.groupBy("r").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_rows"), t("n", "n", "n").alias("p11"), t("n", "sx", "sx").alias("p1x"), t("n", "sy", "sy").alias("p1y"), t("sx", "sx", "sxx").alias("pxx"), t("sx", "sy", "sxy").alias("pxy"), t("sy", "sy", "syy").alias("pyy"), F.sum(F.log(1 + F.col("n") * F.col("r"))).alias("logdet"))
+    det = F.col("p11") * F.col("pxx") - F.col("p1x") * F.col("p1x")
+    g = g.withColumn("slope", (F.col("p11") * F.col("pxy") - F.col("p1x") * F.col("p1y")) / det).withColumn("intercept", (F.col("pxx") * F.col("p1y") - F.col("p1x") * F.col("pxy")) / det)
+    rss = F.col("pyy") - F.col("slope") * F.col("pxy") - F.col("intercept") * F.col("p1y")
+    g = g.withColumn("residual_variance", rss / F.col("n_rows")).withColumn("_d", F.col("n_rows") * F.log("residual_variance") + F.col("logdet"))
+    best = g.agg(F.min_by(F.struct("n_groups", "n_rows", "slope", "intercept", "residual_variance", (F.col("r") * F.col("residual_variance")).alias("group_variance")), "_d").alias("b"))
+    return best.select("b.*").withColumn("n_rows", F.col("n_rows").cast("long"))

@@ -1,0 +1,157 @@
+"""Study queries: orders as sessions, customers as participants, line items as per-signal quality rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from neurolith.operators import kernels as K
+from neurolith.operators import signal as S
+from neurolith.operators import study as T
+from neurolith.plans.fixtures import SQL, samples, table
+from neurolith.plans.quality import rounded
+from neurolith.plans.registry import query
+
+MASTER = """WITH q AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS artifact, max(l_extendedprice) AS rms FROM lineitem GROUP BY ALL),
+p AS (SELECT l_orderkey AS session_id, max(CASE WHEN l_linenumber = 1 THEN artifact END) AS artifact_1, max(CASE WHEN l_linenumber = 2 THEN artifact END) AS artifact_2, max(CASE WHEN l_linenumber = 1 THEN rms END) / nullif(max(CASE WHEN l_linenumber = 2 THEN rms END), 0) AS eeg_rms_ratio FROM q GROUP BY 1),
+o AS (SELECT o_orderkey AS session_id, o_custkey AS participant_key, CAST(1 + o_orderkey % 12 AS INT) AS study_day, CASE WHEN o_orderpriority = '5-LOW' THEN 'invalid_attempt' ELSE 'primary_valid' END AS session_role, o_orderpriority <> '4-NOT SPECIFIED' AS eligible,
+  CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'P' THEN 'CONDITIONAL_PASS' WHEN 'O' THEN 'PASS' END AS overall_label, CASE WHEN o_totalprice < 100000 THEN 'longest_continuous_block_below_minimum' ELSE 'severe_multimodal_artifact' END AS reasons, o_totalprice, o_orderdate FROM orders),
+m AS (SELECT o.*, artifact_1, artifact_2, eeg_rms_ratio, CASE WHEN NOT eligible THEN 'EXCLUDED_L1' WHEN overall_label IS NULL THEN 'L2_NOT_RUN' WHEN overall_label = 'FAIL' THEN CASE WHEN contains(reasons, 'longest_continuous_block_below_minimum') THEN 'EXCLUDED_L2_DURATION' ELSE 'EXCLUDED_L2_SIGNAL' END
+  WHEN overall_label = 'CONDITIONAL_PASS' THEN 'INCLUDED_CONDITIONAL' WHEN overall_label = 'PASS' THEN 'INCLUDED' ELSE 'UNKNOWN' END AS final_label FROM o LEFT JOIN p USING (session_id))"""
+
+
+def sessions(spark, sf):
+    o = table(spark, sf, "orders")
+    overall = F.when(F.col("o_orderstatus") == "F", "FAIL").when(F.col("o_orderstatus") == "P", "CONDITIONAL_PASS").when(F.col("o_orderstatus") == "O", "PASS")
+    return o.select(
+        F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("participant_key"), (1 + F.col("o_orderkey") % 12).cast("int").alias("study_day"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "invalid_attempt").otherwise("primary_valid").alias("session_role"), (F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("analysis_eligible"),
+        overall.alias("overall_label"), F.when(F.col("o_totalprice") < 100000, "longest_continuous_block_below_minimum").otherwise("severe_multimodal_artifact").alias("reasons"), "o_totalprice", "o_orderdate",
+    )
+
+
+def master(spark, sf):
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("artifact"), F.max("l_extendedprice").alias("rms"))
+    q = T.pivot_quality(rows, "l_orderkey", "l_linenumber", [1, 2], ["artifact", "rms"], F.col("artifact"))
+    q = q.select(F.col("l_orderkey").alias("session_id"), F.col("1_artifact").alias("artifact_1"), F.col("2_artifact").alias("artifact_2"), (F.col("1_rms") / F.nullif(F.col("2_rms"), F.lit(0.0))).alias("eeg_rms_ratio"))
+    return T.master_sessions(sessions(spark, sf), q)
+
+
+@query("master_sessions", MASTER + "SELECT session_id, participant_key, study_day, session_role, overall_label, final_label, artifact_1, artifact_2, round(eeg_rms_ratio, 6) AS eeg_rms_ratio FROM m")
+def master_sessions(spark, sf):
+    return rounded(master(spark, sf).select("session_id", "participant_key", "study_day", "session_role", "overall_label", "final_label", "artifact_1", "artifact_2", "eeg_rms_ratio"), "eeg_rms_ratio")
+
+
+@query("final_label_counts", MASTER + "SELECT final_label, count(*) AS n FROM m GROUP BY 1")
+def final_label_counts(spark, sf):
+    return master(spark, sf).groupBy("final_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+SUMMARY = MASTER + """,
+u AS (SELECT participant_key, count(*) AS total_sessions, count(*) FILTER (session_role = 'primary_valid') AS primary_valid_sessions, count(*) FILTER (session_role = 'invalid_attempt') AS invalid_attempt_sessions,
+  count(DISTINCT CASE WHEN session_role = 'primary_valid' THEN study_day END) AS days_attempted, count(DISTINCT CASE WHEN final_label IN ('INCLUDED', 'INCLUDED_CONDITIONAL') THEN study_day END) AS days_included, count(DISTINCT CASE WHEN final_label = 'INCLUDED' THEN study_day END) AS days_pass_only,
+  avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN overall_label = 'FAIL' THEN 1.0 ELSE 0.0 END END) * 100 AS fail_rate_percent, count(*) FILTER (final_label IN ('EXCLUDED_L2_SIGNAL', 'EXCLUDED_L2_DURATION')) AS any_excluded_l2, list_sort(list(DISTINCT study_day)) AS days FROM m GROUP BY 1),
+us AS (SELECT *, CASE WHEN days_attempted > 0 THEN list_filter(range(list_min(days), list_max(days) + 1), lambda x: NOT list_contains(days, x)) ELSE [] END AS gone FROM u)"""
+
+
+@query("participant_summary", SUMMARY + "SELECT participant_key, total_sessions, primary_valid_sessions, invalid_attempt_sessions, days_attempted, days_included, days_pass_only, round(fail_rate_percent, 6) AS fail_rate_percent, any_excluded_l2, CASE WHEN days_attempted > 0 THEN round_even(days_included / days_attempted * 100, 1) END AS yield_percent, array_to_string(days, ',') AS study_days_covered, array_to_string(gone, ',') AS missing_days FROM us")
+def participant_summary(spark, sf):
+    s = T.participant_summary(master(spark, sf))
+    return rounded(s.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("study_days_covered", "missing_days")}), "fail_rate_percent")
+
+
+@query("study_day_summary", MASTER + "SELECT study_day, count(*) AS total_sessions, count(DISTINCT participant_key) AS n_participants, count(*) FILTER (final_label IN ('INCLUDED', 'INCLUDED_CONDITIONAL')) AS n_included, round(avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN overall_label = 'FAIL' THEN 1.0 ELSE 0.0 END END) * 100, 6) AS fail_rate_percent, round(avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN overall_label = 'PASS' THEN 1.0 ELSE 0.0 END END) * 100, 6) AS pass_rate_percent FROM m GROUP BY 1")
+def study_day_summary(spark, sf):
+    return rounded(T.study_day_summary(master(spark, sf)), "fail_rate_percent", "pass_rate_percent")
+
+
+@query("analysis_roster", MASTER + ", d AS (SELECT participant_key FROM m WHERE final_label IN ('INCLUDED', 'INCLUDED_CONDITIONAL') GROUP BY 1 HAVING count(DISTINCT study_day) >= 4) SELECT participant_key, study_day, session_id, final_label FROM m WHERE final_label IN ('INCLUDED', 'INCLUDED_CONDITIONAL') AND participant_key IN (SELECT participant_key FROM d)")
+def analysis_roster(spark, sf):
+    return T.roster(master(spark, sf), 4).select("participant_key", "study_day", "session_id", "final_label")
+
+
+@query("review_flags", SUMMARY + """,
+x AS (SELECT *, final_label IN ('EXCLUDED_L1', 'EXCLUDED_L2_DURATION', 'EXCLUDED_L2_SIGNAL') AS ex FROM m), y AS (SELECT *, lead(ex) OVER w AS nx, lead(study_day) OVER w AS nd FROM x WINDOW w AS (PARTITION BY participant_key ORDER BY study_day, session_id)),
+z AS (SELECT * FROM y WHERE ex AND nx QUALIFY row_number() OVER (PARTITION BY participant_key ORDER BY study_day, session_id) = 1)
+SELECT DISTINCT * FROM (SELECT final_label AS flag_type, CASE final_label WHEN 'EXCLUDED_L2_SIGNAL' THEN 'HIGH' ELSE 'LOW' END AS priority, participant_key, study_day, session_id, reasons AS detail FROM m WHERE final_label IN ('EXCLUDED_L2_SIGNAL', 'EXCLUDED_L2_DURATION')
+UNION ALL SELECT 'CONSECUTIVE_EXCLUSIONS', 'HIGH', participant_key, study_day, NULL, 'Day ' || study_day || ' and ' || nd || ' both excluded' FROM z
+UNION ALL SELECT 'MISSING_DAYS', 'MEDIUM', participant_key, NULL, NULL, 'Missing days: [' || array_to_string(gone, ', ') || ']' FROM us WHERE len(gone) > 0
+UNION ALL SELECT 'EEG_CHANNEL_IMBALANCE', 'MEDIUM', participant_key, study_day, session_id, printf('EEG RMS ratio = %.1f', eeg_rms_ratio) FROM m WHERE eeg_rms_ratio > 10)""")
+def review_flags(spark, sf):
+    m = master(spark, sf)
+    return T.review_flags(m, T.participant_summary(m))
+
+
+@query("tier1_latest", MASTER + "SELECT participant_key, study_day, session_id, final_label FROM m QUALIFY row_number() OVER (PARTITION BY participant_key ORDER BY study_day DESC, session_id DESC) = 1")
+def tier1_latest(spark, sf):
+    return T.latest(master(spark, sf), "participant_key", ["study_day", "session_id"], ["study_day", "session_id", "final_label"])
+
+
+@query("tier2_spearman", MASTER + """, r AS (SELECT participant_key, rank() OVER (PARTITION BY participant_key ORDER BY study_day) + (count(*) OVER (PARTITION BY participant_key, study_day) - 1) / 2 AS a, rank() OVER (PARTITION BY participant_key ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY participant_key, o_totalprice) - 1) / 2 AS b FROM m)
+SELECT participant_key, count(*) AS n_pairs, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN round(corr(a, b), 6) + 0.0 END AS rho FROM r GROUP BY 1""")
+def tier2_spearman(spark, sf):
+    return rounded(T.spearman(master(spark, sf), ["participant_key"], "study_day", "o_totalprice"), "rho").withColumn("rho", F.col("rho") + F.lit(0.0))
+
+
+@query("tier3_reference", MASTER + ", a AS (SELECT participant_key, median(o_totalprice) AS own FROM m GROUP BY 1) SELECT participant_key, round(own, 4) AS own, round((SELECT median(own) FROM a), 4) AS population, round(own - (SELECT median(own) FROM a), 4) AS difference FROM a")
+def tier3_reference(spark, sf):
+    own = master(spark, sf).groupBy("participant_key").agg(F.median("o_totalprice").alias("own"))
+    d = own.crossJoin(F.broadcast(own.agg(F.median("own").alias("population"))))  # one row on the right
+    return rounded(d.withColumn("difference", F.col("own") - F.col("population")), "own", "population", "difference", places=4)
+
+
+@query("composite_zscore", "WITH s AS (SELECT avg(l_quantity) AS m1, stddev_pop(l_quantity) AS s1, avg(l_discount) AS m2, stddev_pop(l_discount) AS s2, avg(l_tax) AS m3, stddev_pop(l_tax) AS s3 FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_quantity - m1) / s1 - (l_discount - m2) / s2 + (l_tax - m3) / s3) / 3, 5) AS composite FROM lineitem, s")
+def composite_zscore(spark, sf):
+    d = T.composite(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"), ["l_quantity", "l_discount", "l_tax"], {"l_discount": -1}, 3)
+    return rounded(d.drop("l_quantity", "l_discount", "l_tax"), "composite", places=5)
+
+
+@query("bh_fdr", "WITH t AS (SELECT p_partkey, p_brand, ((p_partkey * 7919) % 10007) / 10007.0::DOUBLE AS p FROM part), r AS (SELECT *, count(p) OVER (PARTITION BY p_brand) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p) AS k FROM t) SELECT p_partkey, p_brand, round(p, 8) AS p, round(least(1.0, min(p * n / k) OVER (PARTITION BY p_brand ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 8) AS q, least(1.0, min(p * n / k) OVER (PARTITION BY p_brand ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) <= 0.05 AS significant FROM r")
+def bh_fdr(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", "p_brand", (((F.col("p_partkey") * 7919) % 10007) / F.lit(10007.0)).alias("p"))
+    return rounded(T.benjamini_hochberg(t, ["p_brand"], "p"), "p", "q", places=8)
+
+
+_BINS = SQL + ", n AS (SELECT *, count(*) OVER (PARTITION BY session_id, signal) AS n FROM s), b AS (SELECT session_id, signal, (SELECT max(k) FROM range(20) t(k) WHERE k * n // 20 <= sample_idx) AS bin, value, sample_idx FROM n), c AS (SELECT session_id, signal, bin, median(value) AS y, median(sample_idx) AS x FROM b GROUP BY ALL)"
+
+
+@query("theil_sen_slope", _BINS + ", p AS (SELECT a.session_id, a.signal, median((b.y - a.y) / (b.x - a.x)) AS slope FROM c a JOIN c b ON a.session_id = b.session_id AND a.signal = b.signal AND a.x < b.x GROUP BY ALL), m AS (SELECT session_id, signal, median(x) AS mx, median(y) AS my FROM c GROUP BY ALL) SELECT session_id, signal, round(slope, 6) AS slope, round(my - slope * mx, 5) AS intercept FROM p JOIN m USING (session_id, signal)")
+def theil_sen_slope(spark, sf):
+    b = S.even_bins(samples(spark, sf), 20)
+    d = T.theil_sen(b, ["session_id", "signal"], "place", "value")
+    return rounded(rounded(d, "slope"), "intercept", places=5)
+
+
+@query("zero_phase_filter")
+def zero_phase_filter(spark, sf):
+    return K.band_pass(samples(spark, sf), ["session_id", "signal"], fs=100.0, low=0.5, high=8.0, order=3)
+
+
+@query("welch_bands")
+def welch_bands(spark, sf):
+    return K.welch_bands(samples(spark, sf), ["session_id", "signal"], fs=100.0)
+
+
+@query("tddr")
+def tddr(spark, sf):
+    return K.tddr(samples(spark, sf), ["session_id", "signal"], fs=10.0)
+
+
+@query("ppg_hrv")
+def ppg_hrv(spark, sf):
+    return K.peak_intervals(samples(spark, sf), ["session_id", "signal"], fs=100.0, low=0.5, high=8.0, order=3, apart=0.35)
+
+
+@query("ppg_resp")
+def ppg_resp(spark, sf):
+    return K.peak_intervals(samples(spark, sf), ["session_id", "signal"], fs=10.0, low=0.1, high=0.5, order=4, apart=2.0)
+
+
+@query("plv_coherence")
+def plv_coherence(spark, sf):
+    return K.phase_locking(samples(spark, sf), "AF3", "AF4", fs=100.0, low=8.0, high=13.0)
+
+
+@query("lmm_random_intercept")
+def lmm_random_intercept(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return K.random_intercept(rows, "g", "x", "y")
