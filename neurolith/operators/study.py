@@ -93,8 +93,8 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -
     for c in (x, y):
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
         d = d.withColumn(f"_r{c}", F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (ties - 1) / 2)
-    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.corr(f"_r{x}", f"_r{y}").alias("_c"), F.stddev_pop(f"_r{x}").alias("_a"), F.stddev_pop(f"_r{y}").alias("_b"))
-    return g.select(*keys, "n_pairs", F.when((F.col("n_pairs") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c")).alias("rho"))
+    g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"), F.covar_pop(f"_r{x}", f"_r{y}").alias("_c"), F.stddev_pop(f"_r{x}").alias("_a"), F.stddev_pop(f"_r{y}").alias("_b"))
+    return g.select(*keys, "n_pairs", F.when((F.col("n_pairs") >= least) & (F.col("_a") > 0) & (F.col("_b") > 0), F.col("_c") / (F.col("_a") * F.col("_b"))).alias("rho"))
 
 
 def composite(rows: DataFrame, columns: list[str], signs: dict[str, int], least: int) -> DataFrame:
