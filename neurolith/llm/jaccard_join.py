@@ -116,7 +116,8 @@ def jaccard_join(docs: DataFrame, *, text: str = "text", n: int = 5, threshold:
     signed = cut(d.select("doc_id", text_key.alias("text_key"), "text").mapInArrow(sign, f"doc_id {kind}, text_key binary, prefixes array<long>"))
     texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("copy_id"), F.first("prefixes").alias("prefixes"))
     prefixes = cut(texts.select("text_key", F.posexplode("prefixes").alias("tree", "prefix")))
-    met = prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("text_key").alias("least")).filter("_n > 1").drop("_n")
+    # Written first: then the join's sides are plain shuffles, and adaptive execution can split a hot prefix.
+    met = cut(prefixes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("text_key").alias("least")).filter("_n > 1").drop("_n"))
     ties = prefixes.join(met, ["tree", "prefix"]).filter("text_key <> least").select(F.col("text_key").alias("a"), F.col("least").alias("b")).distinct()
     groups = components(ties)
     sizes = groups.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
