@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurolith.llm.common import cut
+
 #: Fixed patterns of the base kinds. Maximal runs make the length bounds of access and hex safe inside the pattern.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -45,7 +47,7 @@ def _found(k: int, text: Column) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(fenced, start, add, lambda a: a["out"])).otherwise(F.array().cast(_SPANS))
 
 
-def secret_spans(docs: DataFrame, *, text: str = "text", scope: int = 200) -> DataFrame:
+def secret_spans(docs: DataFrame, *, text: str = "text", scope: int = 200, most_broadcast_rows: int = 200_000) -> DataFrame:
     """Add secrets, an array of (kind, start, end): every base span, and each weak part that something completes.
 
     kind is a place in KINDS, start and end are code points, end exclusive; sorted by start, then kind. A part's scope is
@@ -74,7 +76,13 @@ def secret_spans(docs: DataFrame, *, text: str = "text", scope: int = 200) -> Da
     near = lambda is_: (F.max(F.when(is_, F.col("end"))).over(before) > F.col("start") - scope) | (F.min(F.when(is_, F.col("start"))).over(after) < F.col("end") + scope)
     parts = parts.withColumn("_by", F.when(secret, near(other)).otherwise(near(secret)))
     linked = parts.filter((F.col("kind") >= STRONG) & F.coalesce("_by", F.lit(False))).groupBy("_key").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_linked"))
-    d = d.join(linked, "_key", "left")
+    # Few texts have such parts: their answers are sent where they are few, and else joined by the key, under which texts
+    # without parts are spread by a hash of their own.
+    linked = cut(linked)
+    if linked.count() <= most_broadcast_rows:
+        d = d.join(F.broadcast(linked), "_key", "left")
+    else:
+        d = d.withColumn("_key", F.coalesce("_key", F.concat(F.lit("none-"), F.xxhash64(text).cast("string")))).join(linked, "_key", "left")
     spans = F.concat("_strong", F.coalesce("_linked", F.array().cast(_SPANS)))
     by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return d.withColumn("secrets", F.transform(by_start, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))).drop("_strong", "_weak", "_key", "_linked")
