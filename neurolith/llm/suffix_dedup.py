@@ -181,11 +181,12 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, contexts_per_key: int
 
     d = docs.select(_row_key(docs).alias("ref"), "text").filter(F.octet_length("text") >= length)
     rows = cut(d.mapInArrow(find, "key long, ctx long, ref long, lo int, span short"))
-    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
+    # What joins a hot key is written first: then both sides are plain shuffles, which adaptive execution can split.
+    twice = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"))
     rows = cut(rows.join(twice, "key"))
     contexts = rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "lo", "span")).alias("one"))
     contexts = cut(contexts.select("key", "ctx", "n", "one.*"))
-    per_key = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    per_key = cut(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"))
     compare = cut(contexts.join(per_key, "key"))
     n_compare, size = compare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("span") + length), F.lit(0))).first()
 
@@ -234,7 +235,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, contexts_per_key: int
     again = spread.groupBy("key", "window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     by_hash = spread.join(again, ["key", "window"]).select("key", "ctx", F.col("start").alias("first"), F.col("start").alias("last"))
     whole = contexts.filter("n > 1").select("key", "ctx", F.lit(0).alias("first"), F.col("span").cast("int").alias("last"))
-    ranges = whole.unionByName(by_sort).unionByName(by_hash).groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = cut(whole.unionByName(by_sort).unionByName(by_hash).groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
     hits = rows.join(ranges, ["key", "ctx"]).select("ref", F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("from"), (F.col("lo") + r["last"] + length).alias("to"))).alias("spans")).distinct()
     return hits.groupBy("ref").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
