@@ -73,6 +73,27 @@ def phase_changes(features: DataFrame, keys: list[str], metrics: list[str], pair
     return out.filter("value_from IS NOT NULL AND value_to IS NOT NULL").withColumn("change", F.col("value_to") - F.col("value_from"))
 
 
+def phase_baseline(samples: DataFrame, phase: str, *, last: int, least: int, most_ratio: float) -> DataFrame:
+    """The median of a phase's last samples per session and signal, for phases of at least `least` samples, and whether
+    they spread more than most_ratio times the whole signal's scaled MAD."""
+    keys = ["session_id", "signal"]
+    w = Window.partitionBy(*keys)
+    own = samples.filter(F.col("phase") == phase).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_ahead", F.row_number().over(w.orderBy(F.col("sample_idx").desc())) - 1)
+    own = own.filter((F.col("_ahead") < last) & (F.col("_n") >= least)).groupBy(*keys).agg(F.median("value").alias("baseline"), F.stddev_pop("value").alias("_sd"))
+    mad = samples.withColumn("_m", F.median("value").over(w)).groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("value") - F.col("_m")))).alias("_mad"))
+    return own.join(mad, keys).select(*keys, "baseline", (F.col("_sd") > most_ratio * F.col("_mad")).alias("baseline_high_variability"))
+
+
+def align_events(events: DataFrame, n_samples: int) -> DataFrame:
+    """events (session_id, event_order, start_idx, stop_idx, phase_rank) within [0, n_samples], with flags; none is dropped."""
+    w = Window.partitionBy("session_id").orderBy("event_order")
+    a, b = F.col("start_idx"), F.col("stop_idx")
+    d = events.withColumn("_p", F.lag("stop_idx").over(w)).withColumn("_r", F.lag("phase_rank").over(w))
+    flags = F.concat_ws(";", F.when((a < 0) | (b > n_samples), "EVENT_CLIPPED"), F.when((b <= 0) | (a >= n_samples), "EVENT_OUT_OF_RANGE"), F.when(a < F.col("_p"), "EVENT_OVERLAP"), F.when(F.col("phase_rank") < F.col("_r"), "EVENT_ORDER"))
+    inside = lambda c: F.least(F.greatest(c, F.lit(0).cast("long")), F.lit(n_samples).cast("long"))
+    return d.withColumn("flags", flags).withColumn("start_idx", inside(a)).withColumn("stop_idx", inside(b)).drop("_p", "_r")
+
+
 def thirds(segments: DataFrame, start: str, stop: str) -> DataFrame:
     """Split [start, stop) into three by rounded cuts: part (0 to 2), part_start, part_stop."""
     cut = lambda k: F.col(start) + F.bround((F.col(stop) - F.col(start)) * k / 3).cast("long")

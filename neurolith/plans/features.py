@@ -58,9 +58,9 @@ pf AS (SELECT session_id, signal, phase, avg(value) AS mean, median(value) AS me
 METRICS = ["mean", "median", "sd", "mad", "iqr", "ptp", "trimmed10", "slope_per_min", "auc", "valid_seconds"]
 
 
-@query("phase_features", FEATURES + "SELECT session_id, signal, phase, " + ", ".join(f'round({m}, {6 if m == "auc" else 4}) AS "{m}"' for m in METRICS) + " FROM pf")
+@query("phase_features", FEATURES + "SELECT session_id, signal, phase, " + ", ".join(f'round({m}, {6 if m in ("auc", "trimmed10") else 4}) AS "{m}"' for m in METRICS) + " FROM pf")
 def phase_features(spark, sf):
-    return rounded(X.phase_features(phases(spark, sf), KEYS, 100.0), *[m for m in METRICS if m != "auc"], places=4).withColumn("auc", F.round("auc", 6))
+    return rounded(X.phase_features(phases(spark, sf), KEYS, 100.0), *[m for m in METRICS if m not in ("auc", "trimmed10")], places=4).withColumns({m: F.round(m, 6) for m in ("auc", "trimmed10")})
 
 
 @query("phase_changes", FEATURES + """,
@@ -231,3 +231,28 @@ def haar_shrink(spark, sf):
     kept = X._sum(F.transform("d", lambda x: F.greatest(F.abs(x) - F.col("threshold"), F.lit(0.0))))
     d = d.withColumn("kept", kept)
     return d.select("vec_id", F.round("sigma", 8).alias("sigma"), F.round("threshold", 6).alias("threshold"), F.round("kept", 6).alias("kept"))
+
+
+@query("phase_baseline", SQL + """, b AS (SELECT *, count(*) OVER (PARTITION BY session_id, signal) - row_number() OVER (PARTITION BY session_id, signal ORDER BY sample_idx) AS ahead, count(*) OVER (PARTITION BY session_id, signal) AS n FROM ph WHERE phase = 'REST_BEFORE'),
+m AS (SELECT *, median(value) OVER (PARTITION BY session_id, signal) AS md FROM s), a AS (SELECT session_id, signal, 1.4826 * median(abs(value - md)) AS mad FROM m GROUP BY ALL),
+g AS (SELECT session_id, signal, median(value) AS baseline, stddev_pop(value) AS sd, max(n) AS n FROM b WHERE ahead < 10 GROUP BY ALL)
+SELECT session_id, signal, round(baseline, 6) AS baseline, sd > 1.2 * mad AS baseline_high_variability FROM g JOIN a USING (session_id, signal) WHERE n >= 5""")
+def phase_baseline(spark, sf):
+    return rounded(X.phase_baseline(phases(spark, sf), "REST_BEFORE", last=10, least=5, most_ratio=1.2), "baseline")
+
+
+@query("event_align", """WITH e AS (SELECT o_custkey AS session_id, o_orderkey AS event_order, CAST(o_orderkey % 1300 AS BIGINT) - 100 AS a, CAST(o_orderkey % 1300 AS BIGINT) - 100 + 150 AS b, CAST(o_orderkey % 3 AS INT) AS phase_rank FROM orders),
+f AS (SELECT *, least(greatest(a, 0), 1000) AS start_idx, least(greatest(b, 0), 1000) AS stop_idx, lag(b) OVER w AS p, lag(phase_rank) OVER w AS r FROM e WINDOW w AS (PARTITION BY session_id ORDER BY event_order))
+SELECT session_id, event_order, start_idx, stop_idx, concat_ws(';', CASE WHEN a < 0 OR b > 1000 THEN 'EVENT_CLIPPED' END, CASE WHEN b <= 0 OR a >= 1000 THEN 'EVENT_OUT_OF_RANGE' END, CASE WHEN a < p THEN 'EVENT_OVERLAP' END, CASE WHEN phase_rank < r THEN 'EVENT_ORDER' END) AS flags FROM f""")
+def event_align(spark, sf):
+    o = table(spark, sf, "orders")
+    a = (F.col("o_orderkey") % 1300).cast("long") - 100
+    e = o.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("event_order"), a.alias("start_idx"), (a + 150).alias("stop_idx"), (F.col("o_orderkey") % 3).cast("int").alias("phase_rank"))
+    return X.align_events(e, 1000).drop("phase_rank")
+
+
+@query("phase_coverage", SQL + "SELECT session_id, signal, CAST(count(DISTINCT phase) AS INT) AS n_phases, count(DISTINCT phase) = 3 AS complete FROM ph WHERE value > 20 GROUP BY ALL")
+def phase_coverage(spark, sf):
+    wide = phases(spark, sf).filter("value > 20").groupBy("session_id", "signal").pivot("phase", list(X.PHASES)).agg(F.count("value"))
+    n = F.size(F.array_compact(F.array(*[F.col(p) for p in X.PHASES])))
+    return wide.select("session_id", "signal", n.alias("n_phases"), (n == 3).alias("complete"))
