@@ -83,11 +83,12 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return f.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def quality_flags(rows: DataFrame) -> DataFrame:
-    """Add happe_quality_flags and happe_quality_pass from File_Length_s and Pct_Var_Retained_PostWavelet."""
-    length, kept = F.col("File_Length_s"), F.col("Pct_Var_Retained_PostWavelet")
-    flags = F.concat_ws(";", F.when(length < 700, "SHORT_RECORDING"), F.when(length > 1100, "LONG_RECORDING"), F.when(kept < 10, "LOW_VARIANCE_RETAINED"))
-    return rows.withColumn("happe_quality_flags", flags).withColumn("happe_quality_pass", flags == "")
+def quality_flags(rows: DataFrame, *, length: str = "File_Length_s", kept: str = "Pct_Var_Retained_PostWavelet", shortest: float = 700.0, longest: float = 1100.0, least_kept: float = 10.0, prefix: str = "") -> DataFrame:
+    """Add eeg_quality_flags and eeg_quality_pass. A missing figure sets no flag: missing is not failed. No row goes."""
+    n, v = F.col(length), F.col(kept)
+    fired = {"TRUNCATED_RECORDING": n < shortest, "ANOMALOUS_LONG_RECORDING": n > longest, "LOW_VARIANCE_RETAINED": v < least_kept}
+    flags = F.concat_ws(";", *[F.when(c, F.lit(prefix + name)) for name, c in fired.items()])
+    return rows.withColumn("eeg_quality_flags", flags).withColumn("eeg_quality_pass", F.col("eeg_quality_flags") == "")
 
 
 # --- EDF ---------------------------------------------------------------------------------------------------------------

@@ -141,6 +141,18 @@ def test_device_csv(spark, tmp_path):
         R.resolve_columns(["timestamp", "AF3", "AF4"])
 
 
+def test_quality_flags(spark):
+    d = spark.createDataFrame([(600.0, 5.0), (1200.0, 50.0), (None, None), (900.0, 50.0)], "File_Length_s double, Pct_Var_Retained_PostWavelet double")
+    got = [r.eeg_quality_flags for r in R.quality_flags(d).collect()]
+    assert got == ["TRUNCATED_RECORDING;LOW_VARIANCE_RETAINED", "ANOMALOUS_LONG_RECORDING", "", ""]
+
+
+def test_align_events(spark):
+    d = spark.createDataFrame([(1, 0, -5, 50, 0), (1, 1, 40, 90, 1), (1, 2, 120, 150, 0)], "session_id long, event_order long, start_idx long, stop_idx long, phase_rank int")
+    got = [(r.start_idx, r.stop_idx, r.flags) for r in X.align_events(d, 100).orderBy("event_order").collect()]
+    assert got == [(0, 50, "EVENT_CLIPPED"), (40, 90, "EVENT_OVERLAP"), (100, 100, "EVENT_CLIPPED;EVENT_OUT_OF_RANGE;EVENT_ORDER")]
+
+
 def test_sidecar(spark):
     got = json.loads(R.sidecar(series(spark, [1, 2, 3]), "session_id", 10.0).first().json)
     assert np.frombuffer(base64.b64decode(got["channels"]["A"]), np.float32).tolist() == [1, 2, 3] and got["n_samples"] == 3
