@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from neurolith.operators import features as X
+from neurolith.operators import kernels as K
 from neurolith.plans.fixtures import SQL, phases, samples, table
 from neurolith.plans.quality import rounded
 from neurolith.plans.registry import query
@@ -256,3 +257,9 @@ def phase_coverage(spark, sf):
     wide = phases(spark, sf).filter("value > 20").groupBy("session_id", "signal").pivot("phase", list(X.PHASES)).agg(F.count("value"))
     n = F.size(F.array_compact(F.array(*[F.col(p) for p in X.PHASES])))
     return wide.select("session_id", "signal", n.alias("n_phases"), (n == 3).alias("complete"))
+
+
+@query("hrv_frequency")
+def hrv_frequency(spark, sf):
+    i = X.intervals(beats(spark, sf), "user_id", "t", 1 / 30000.0, 0.3, 1.8).withColumn("t", F.col("t") / 30000.0)
+    return K.tachogram_power(i, "user_id", "t")

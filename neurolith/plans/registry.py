@@ -22,5 +22,5 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for name in ("quality", "features", "study"):
+    for name in ("quality", "features", "epochs", "study"):
         importlib.import_module(f"neurolith.plans.{name}")

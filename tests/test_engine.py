@@ -11,6 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from neurolith.operators import epochs as E
 from neurolith.operators import features as X
 from neurolith.operators import kernels as K
 from neurolith.operators import signal as S
@@ -169,8 +170,57 @@ def test_stream(spark, tmp_path):
     assert got and all(r.n == 2 for r in got) and any(r.artifact for r in got) and not all(r.artifact for r in got)
 
 
+def epoch_rows(spark, rows):
+    return spark.createDataFrame([(1, e, c, [float(x) for x in a]) for e, c, a in rows], "session_id long, epoch long, channel long, a array<double>")
+
+
+def test_joint_probability(spark):
+    d = epoch_rows(spark, [(i, 0, [50.0 if i == 9 else 1.0 + i % 2] * 4) for i in range(10)])
+    assert [r.epoch for r in E.joint_probability(d, "session_id", 2.0).filter("rejected").collect()] == [9]
+    same = E.joint_probability(epoch_rows(spark, [(i, 0, [1, 1]) for i in range(3)]), "session_id", 2.0)
+    assert [(r.surprisal, r.rejected) for r in same.collect()] == [(0.0, False)] * 3
+
+
+def test_channel_properties(spark):
+    x = np.random.default_rng(3).normal(0, 1, 64)
+    got = {r.channel: r for r in E.channel_properties(epoch_rows(spark, [(0, 0, x), (0, 1, -2 * x), (0, 2, np.ones(64))]), "session_id").collect()}
+    z = np.cumsum(x - x.mean())
+    assert np.isclose(got[0].hurst, np.log((z.max() - z.min()) / x.std()) / np.log(64)) and got[2].hurst == 0.5
+    assert np.isclose(got[0].mean_correlation, 1) and got[2].mean_correlation is None
+    assert np.isclose(got[1].variance, 4 * x.var()) and np.isclose(got[0].max_gradient, np.abs(np.diff(x)).max())
+
+
+def test_bad_channels(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for e in range(3):
+        x = rng.normal(0, 1, 200)
+        rows += [(e, 0, x), (e, 1, x + rng.normal(0, 0.1, 200)), (e, 2, rng.normal(0, 1, 200)), (e, 3, np.full(200, 2.0))]
+    got = {r.channel: (r.flat, r.uncorrelated) for r in E.bad_channels(epoch_rows(spark, rows), "session_id", 0.485).collect()}
+    assert got == {0: (False, False), 1: (False, False), 2: (False, True), 3: (True, True)}
+    assert E.bad_channels(epoch_rows(spark, [(0, 0, [1, 2, 3])]), "session_id", 0.4).first().uncorrelated
+
+
+def test_step_quality(spark):
+    x = np.random.default_rng(5).normal(0, 1, 64)
+    d = epoch_rows(spark, [(0, 0, x), (1, 0, x[::-1])]).withColumnRenamed("a", "pre")
+    same = E.step_quality(d.withColumn("post", F.col("pre")), "session_id").first()
+    assert np.isclose(same.cross_correlation, 1) and (same.rmse, same.mae, same.snr_db, same.peak_snr_db) == (0, 0, None, None)
+    half = d.withColumn("post", F.transform("pre", lambda v: v / 2))
+    assert np.isclose(E.step_quality(half, "session_id").first().snr_db, 0)
+    assert np.allclose([r.coherence for r in E.step_coherence(half, "session_id", 64, [3, 9]).collect()], 1)
+
+
+def test_tachogram_power(spark):
+    t = np.cumsum(np.full(200, 0.8))
+    beats = spark.createDataFrame([(1, float(v), float(0.8 + 0.05 * np.sin(2 * np.pi * 0.1 * v))) for v in t] + [(2, 1.0, 0.8), (2, 2.0, 0.8)], "k long, t double, ibi double")
+    got = {r.k: r for r in K.tachogram_power(beats, "k", "t").collect()}
+    assert got[1].lf_hf_ratio > 20 and np.isclose(got[1].lf_power, 50**2 / 2, rtol=0.1)
+    assert (got[2].lf_power, got[2].lf_hf_ratio, got[2].seconds) == (None, None, 1.0)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["qc_session_label", "qc_artifact_intervals", "phase_changes", "ibi_time_domain", "participant_summary", "review_flags", "tier2_spearman", "epoch_phase_label"])
+@pytest.mark.parametrize("name", ["qc_session_label", "qc_artifact_intervals", "phase_changes", "ibi_time_domain", "participant_summary", "review_flags", "tier2_spearman", "epoch_phase_label", "epoch_joint_prob", "faster_props", "bad_channels_flat_corr", "step_qc_metrics", "step_coherence"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
