@@ -15,8 +15,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def thresholds(base: float = 1.5, levels: int = 96) -> np.ndarray:
-    """The least count of each level: 0 at level 0, 2 at level 1, then by the base. One occurrence is level 0, like none."""
-    out = [0, 2]
+    """The least count of each level: 0 at level 0, 1 at level 1, then by the base. Every counted n-gram has a level."""
+    out = [0, 1]
     while len(out) <= levels:
         out.append(max(out[-1] + 1, int(np.ceil(out[-1] * base))))
     return np.array(out, np.float64)
@@ -135,7 +135,7 @@ def count_ngrams(texts: DataFrame, segments: int, most_bytes: int = 12 << 20) ->
 def count_tables(texts: DataFrame, *, segments: int, probes: tuple[int, int], bits_per_probe: float) -> DataFrame:
     """texts (text) -> one row for each (kind, segment): sorted hashes, their counts, and for pairs the filter's segment.
 
-    Words keep their exact counts; pairs keep the hashes and levels of those that have a level, and the filter made of them.
+    Words keep their exact counts; pairs keep their hashes and levels, and the filter made of them.
     """
 
     def add_up(key, table):
@@ -144,8 +144,7 @@ def count_tables(texts: DataFrame, *, segments: int, probes: tuple[int, int], bi
         h, n = _sum_up(h, n.astype(np.int64))
         made = b""
         if key[0].as_py() == 2:
-            level = level_of(n)
-            h, n = h[level > 0], level[level > 0]
+            n = level_of(n)
             made = make_segment(h, n, probes, bits_per_probe)
         return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([key[1].as_py()], pa.int32()), "size": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "filter": pa.array([made], pa.binary())})
 
@@ -160,7 +159,7 @@ def log_probability(c_word: np.ndarray, c_before: np.ndarray, level: np.ndarray,
     return np.log10(base), np.log10((np.minimum(LEVELS[level], np.minimum(c_word, c_before)) + strength * base) / (c_before + strength))
 
 
-def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float = 2000.0, probes: tuple[int, int] = (10, 4), bits_per_probe: float = 2.0, segment_tokens: int = 2_000_000, most_broadcast: int = 400 << 20) -> DataFrame:
+def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float = 500.0, probes: tuple[int, int] = (10, 4), bits_per_probe: float = 2.0, segment_tokens: int = 2_000_000, most_broadcast: int = 400 << 20) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     Words and word pairs of the rows where train holds are counted exactly; pairs go by level into the filter. Word counts

@@ -137,6 +137,14 @@ def test_lm_filter_never_loses_a_level():
     assert (f.levels(rng.integers(0, 2**63, 20000).astype(np.uint64)) > 0).mean() < 0.005
 
 
+def test_lm_keeps_pairs_seen_once(spark):
+    assert ngram_lm.level_of(np.array([0, 1, 2, 3, 4, 5])).tolist() == [0, 1, 2, 3, 3, 4]
+    d = spark.createDataFrame([(0, "a b"), (1, "c d"), (2, "a b"), (3, "a d")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score(d, train=ngram_lm.F.col("doc_id") < 2).collect()}
+    assert got[2].held_out and math.isclose(got[2].base_score, got[3].base_score)
+    assert got[2].score > got[3].score  # each of the four words was seen once, and so was the pair (a, b)
+
+
 # --- line cleaning ---------------------------------------------------------------------------------------------------
 
 
