@@ -59,10 +59,19 @@ class LogFilter:
     """
 
     def __init__(self, segments: list[bytes], probes: tuple[int, int]):
-        self.probes = probes
-        self.size = np.array([8 * len(s) for s in segments], np.int64)
+        self.lay_out([len(s) for s in segments], np.frombuffer(b"".join(segments), np.uint8), probes)
+
+    @classmethod
+    def laid_out(cls, n_bytes: list[int], bits: np.ndarray, probes: tuple[int, int]) -> LogFilter:
+        """The filter of segments that lie end to end in bits, without a copy of them."""
+        out = cls.__new__(cls)
+        out.lay_out(n_bytes, bits, probes)
+        return out
+
+    def lay_out(self, n_bytes: list[int], bits: np.ndarray, probes: tuple[int, int]) -> None:
+        self.probes, self.bits = probes, bits
+        self.size = 8 * np.array(n_bytes, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level by level, until a member is missing; after each probe only those not yet missing go on."""
@@ -133,9 +142,9 @@ def count_ngrams(texts: DataFrame, segments: int, most_bytes: int = 12 << 20) ->
 
 
 def count_tables(texts: DataFrame, *, segments: int, probes: tuple[int, int], bits_per_probe: float) -> DataFrame:
-    """texts (text) -> one row for each (kind, segment): sorted hashes, their counts, and for pairs the filter's segment.
+    """texts (text) -> one row for each (kind, segment): sorted hashes and their counts of words, the filter's segment of pairs.
 
-    Words keep their exact counts; pairs keep their hashes and levels, and the filter made of them.
+    Words keep their exact counts; of pairs, only the filter of their levels is kept.
     """
 
     def add_up(key, table):
@@ -144,8 +153,8 @@ def count_tables(texts: DataFrame, *, segments: int, probes: tuple[int, int], bi
         h, n = _sum_up(h, n.astype(np.int64))
         made = b""
         if key[0].as_py() == 2:
-            n = level_of(n)
-            made = make_segment(h, n, probes, bits_per_probe)
+            made = make_segment(h, level_of(n), probes, bits_per_probe)
+            h, n = h[:0], n[:0]
         return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([key[1].as_py()], pa.int32()), "size": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "filter": pa.array([made], pa.binary())})
 
     counted = count_ngrams(texts, segments)
@@ -164,7 +173,8 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float
 
     Words and word pairs of the rows where train holds are counted exactly; pairs go by level into the filter. Word counts
     (12 bytes a distinct word) and filter are sent to all tasks if they are within most_broadcast bytes together; beyond
-    that, tokens are joined with the count tables instead (the same levels, without the filter's rare false members).
+    that, word pairs are sent to the filter's segments and probed there, and words are joined with their counts: the same
+    filter, and the same scores.
     Null texts are empty texts, which have one token, their end; very long texts are scored whole; repeated rows each get
     their row; without training rows every probability is that of an unseen word, 1; other columns are not looked at.
     """
@@ -173,23 +183,28 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     segments = max(4, -(-size // (6 * segment_tokens)))
     tables = count_tables(d.filter("_train").withColumn("text", F.coalesce("text", F.lit(""))), segments=segments, probes=probes, bits_per_probe=bits_per_probe)
-    facts = tables.groupBy("kind").agg(F.sum("size"), F.sum("total"), F.sum(F.octet_length("filter"))).collect()
-    distinct, total, _ = next((tuple(r)[1:] for r in facts if r[0] == 1), (0, 0, 0))
-    bytes_ = 12 * distinct + sum(r[3] for r in facts)
-    if bytes_ > most_broadcast:
-        return _score_joined(d, tables, total, distinct, strength)
-
-    h, n, made = [], [], [b"\0"] * (segments if total else 0)
-    for r in tables.select("kind", "segment", F.when(F.col("kind") == 1, F.col("h")), F.when(F.col("kind") == 1, F.col("n")), "filter").toLocalIterator():
+    facts = tables.select("kind", "segment", "size", "total", F.octet_length("filter")).collect()
+    distinct, total = (sum(r[i] for r in facts if r[0] == 1) for i in (2, 3))
+    n_bytes = [0] * (segments if total else 0)
+    for r in facts:
+        if r[0] == 2:
+            n_bytes[r[1]] = r[4]
+    n_bytes = [max(1, x) for x in n_bytes]  # a segment without members has a byte of zeros
+    if 12 * distinct + sum(n_bytes) > most_broadcast:
+        return _score_routed(d, tables, segments, probes, total, distinct, strength)
+
+    h, n, bits = np.zeros(distinct, np.uint64), np.zeros(distinct, np.uint32 if total < 1 << 32 else np.int64), np.zeros(sum(n_bytes), np.uint8)
+    starts, at = np.concatenate([[0], np.cumsum(n_bytes)]).astype(np.int64), 0
+    for r in tables.select("kind", "segment", "h", "n", "filter").toLocalIterator():
         if r[0] == 1:
-            h.append(np.frombuffer(r[2], np.uint64))
-            n.append(np.frombuffer(r[3], np.int64).astype(np.uint32 if total < 1 << 32 else np.int64))
+            part = np.frombuffer(r[2], np.uint64)
+            h[at : at + len(part)], n[at : at + len(part)] = part, np.frombuffer(r[3], np.int64)
+            at += len(part)
         else:
-            made[r[1]] = bytes(r[4])
-    h, n = (np.concatenate(h), np.concatenate(n)) if h else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            bits[starts[r[1]] : starts[r[1]] + len(r[4])] = np.frombuffer(r[4], np.uint8)
     order = np.argsort(h)
-    sent = docs.sparkSession.sparkContext.broadcast((h[order], n[order], LogFilter(made, probes)))
-    del h, n, order, made
+    sent = docs.sparkSession.sparkContext.broadcast((h[order], n[order], LogFilter.laid_out(n_bytes, bits, probes)))
+    del h, n, order, bits
 
     def rate(batches):
         known, count, held = sent.value
@@ -205,11 +220,14 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float
             sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, model)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(~np.asarray(batch.column("_train"))), pa.array(n_tokens, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(np.full(len(first), total), pa.int64()), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return d.mapInArrow(rate, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = cut(d.mapInArrow(rate, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    sent.destroy()  # what was sent is held by driver and executors only until the scores are written
+    return out
 
 
-def _score_joined(d: DataFrame, tables: DataFrame, total: int, distinct: int, strength: float) -> DataFrame:
-    """The scores where the tables are too large to send: (row, word before, word, pair, times) joined with each of them."""
+def _score_routed(d: DataFrame, tables: DataFrame, segments: int, probes: tuple[int, int], total: int, distinct: int, strength: float) -> DataFrame:
+    """The scores where filter and counts are too large to send: of (row, word before, word, pair, times), the different
+    pairs go to their segments of the filter and are probed there; levels and word counts are joined to the rows."""
 
     def spread(batches):
         for batch in pieces(batches, 4 << 20):
@@ -223,10 +241,21 @@ def _score_joined(d: DataFrame, tables: DataFrame, total: int, distinct: int, st
                 for i in range(0, len(h), 1 << 20):
                     yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h[i : i + (1 << 20)], np.int64)), pa.array(np.frombuffer(n[i : i + (1 << 20)], np.int64))], ["h", "n"])
 
+    def probe(pairs, made):
+        h = pairs.column("pair").to_numpy().view(np.uint64)
+        level = np.zeros(len(h), np.int64)
+        for bits in made.column("filter").to_pylist():
+            level = LogFilter([bits], probes).levels(h)
+        return pa.table({"pair": pairs.column("pair"), "level": pa.array(level.astype(np.int32))})
+
     d = cut(d.withColumn("_row", F.monotonically_increasing_id()))
-    of = lambda kind, h, n: tables.filter(F.col("kind") == kind).select("h", "n").mapInArrow(unpack, "h long, n long").toDF(h, n)
+    of = lambda h, n: tables.filter("kind = 1").select("h", "n").mapInArrow(unpack, "h long, n long").toDF(h, n)
     t = d.select("_row", "text").mapInArrow(spread, "_row long, before long, word long, pair long").groupBy("_row", "before", "word", "pair").agg(F.count(F.lit(1)).alias("times"))
-    t = t.join(of(2, "pair", "level"), "pair", "left").join(of(1, "word", "c"), "word", "left").join(of(1, "before", "c_before"), "before", "left")
+    t = cut(t)
+    asked = t.select("pair").distinct().withColumn("segment", (F.shiftrightunsigned("pair", 40) % segments).cast("int"))
+    held = tables.filter("kind = 2").select("segment", "filter")
+    levels = cut(asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(probe, "pair long, level int"))
+    t = t.join(levels, "pair", "left").join(of("word", "c"), "word", "left").join(of("before", "c_before"), "before", "left")
     c, b = F.coalesce("c", F.lit(0)), F.coalesce("c_before", F.lit(0))
     base = (c + 1.0) / F.lit(total + 1.0 * (distinct + 1))
     least = F.get(F.array(*[F.lit(float(x)) for x in LEVELS]), F.coalesce("level", F.lit(0)).cast("int"))

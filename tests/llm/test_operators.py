@@ -145,6 +145,15 @@ def test_lm_keeps_pairs_seen_once(spark):
     assert got[2].score > got[3].score  # each of the four words was seen once, and so was the pair (a, b)
 
 
+def test_lm_scores_do_not_depend_on_size(spark, table, empty):
+    kw = {"train": ngram_lm.F.coalesce(ngram_lm.F.col("doc_id") % 3 != 0, ngram_lm.F.lit(True)), "probes": (2, 1)}  # many false members
+    runs = [sorted((repr(tuple(r)[:5]), r.base_score, r.score) for r in ngram_lm.score(table, most_broadcast=m, **kw).collect()) for m in (400 << 20, -1)]
+    assert len(runs[0]) == len(runs[1]) == table.count()
+    for a, b in zip(*runs, strict=True):
+        assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) and math.isclose(a[2], b[2], rel_tol=1e-9)
+    assert ngram_lm.score(empty, most_broadcast=-1, **kw).count() == 0
+
+
 # --- line cleaning ---------------------------------------------------------------------------------------------------
 
 
