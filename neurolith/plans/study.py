@@ -159,13 +159,11 @@ def lmm_random_intercept(spark, sf):
 
 @query("optical_unpack", "WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice AS value, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS row_idx, l_returnflag AS k FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT *, max(row_idx) OVER () + 1 AS n FROM r) SELECT row_idx, (row_idx // 244) * 100 + row_idx % 244 AS sample_idx, value FROM n WHERE row_idx % 244 < 100 AND row_idx // 244 < n // 244")
 def optical_unpack(spark, sf):
-    from pyspark.sql import Window
-
-    from neurolith.sources.recordings import unpack_optical
+    from neurolith.sources.recordings import numbered, unpack_optical
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    r = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").withColumn("row_idx", (F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order)) - 1).cast("long"))
-    return unpack_optical(r, ["l_returnflag"]).select("row_idx", "sample_idx", F.col("l_extendedprice").alias("value"))
+    r, n = numbered(table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(*order), order)
+    return unpack_optical(r, [], n=F.lit(n)).select("row_idx", "sample_idx", F.col("l_extendedprice").alias("value"))
 
 
 @query("ingest_numeric", "SELECT event_id, try_cast(CASE WHEN event_id % 5 = 0 THEN 'n/a' WHEN event_id % 7 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) || '.5' END AS DOUBLE) AS x FROM events")

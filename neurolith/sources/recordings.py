@@ -57,9 +57,28 @@ def read_device_csv(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumns(identity(F.col("file"))).drop("_id")
 
 
-def unpack_optical(rows: DataFrame, keys: Iterable[str], row_idx: str = "row_idx", packet: int = PACKET, optical: int = OPTICAL) -> DataFrame:
-    """The rows that hold optical samples, of whole packets only, with their place as sample_idx."""
-    n = F.max(row_idx).over(Window.partitionBy(*keys)) + 1
+def numbered(rows: DataFrame, order: Iterable[str], row_idx: str = "row_idx") -> tuple[DataFrame, int]:
+    """The rows with their place from 0 in this order, and their number: sorted by ranges, each with the rows before it added.
+
+    The sorted rows are kept by executors, since the ranges' sizes and the rows have to be of one and the same sort.
+    """
+    d = rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    sizes = sorted(d.groupBy(F.shiftright("_id", 33).alias("part")).count().collect())
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r[0], total))
+        total += r[1]
+    before = d.sparkSession.createDataFrame(starts, "_part long, _start long")
+    d = d.withColumn("_part", F.shiftright("_id", 33)).join(F.broadcast(before), "_part")  # one row a range on the right
+    return d.withColumn(row_idx, F.col("_start") + F.col("_id") % (1 << 33)).drop("_id", "_part", "_start"), total
+
+
+def unpack_optical(rows: DataFrame, keys: Iterable[str], row_idx: str = "row_idx", packet: int = PACKET, optical: int = OPTICAL, n: Column | None = None) -> DataFrame:
+    """The rows that hold optical samples, of whole packets only, with their place as sample_idx.
+
+    n is the number of rows of a row's recording where it is known; else it is looked up by a window per recording.
+    """
+    n = F.max(row_idx).over(Window.partitionBy(*keys)) + 1 if n is None else n
     d = rows.withColumn("_n", n).withColumn("_p", F.floor(F.col(row_idx) / packet)).withColumn("_o", F.col(row_idx) % packet)
     d = d.filter((F.col("_o") < optical) & (F.col("_p") < F.floor(F.col("_n") / packet)))
     return d.withColumn("sample_idx", F.col("_p") * optical + F.col("_o")).drop("_n", "_p", "_o")

@@ -142,6 +142,19 @@ def test_device_csv(spark, tmp_path):
         R.resolve_columns(["timestamp", "AF3", "AF4"])
 
 
+def test_optical_unpack_numbers_rows_in_ranges(spark, tmp_path, capsys):
+    from neurolith.plans.study import optical_unpack
+
+    rows = [((i * 7919) % 1009, 1 + i % 7, i % 11, i % 5, float(i), float(i % 50), f"2024-01-{1 + i % 28:02d}", "RAN"[i % 3]) for i in range(3000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate string, l_returnflag string").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    d = optical_unpack(spark, str(tmp_path))
+    kept = sorted(r for r in rows if r[7] == "R")
+    want = {(i, i // 244 * 100 + i % 244, r[4]) for i, r in enumerate(kept) if i % 244 < 100 and i // 244 < len(kept) // 244}
+    assert {tuple(r) for r in d.collect()} == want and d.count() == len(want)
+    d.explain()
+    assert "Window" not in capsys.readouterr().out
+
+
 def test_quality_flags(spark):
     d = spark.createDataFrame([(600.0, 5.0), (1200.0, 50.0), (None, None), (900.0, 50.0)], "File_Length_s double, Pct_Var_Retained_PostWavelet double")
     got = [r.eeg_quality_flags for r in R.quality_flags(d).collect()]
