@@ -46,7 +46,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained network decides in the first stage, which SQL cannot express; tests hold every stage against brute force.
+#: A trained network decides in the first stage, which SQL cannot express. Tests hold most operators against brute force on
+#: their own; of the stages run one after the other they only look at the columns and at whether rows come out.
 ORACLE_SQL = None
 
 
