@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sheltered(docs: DataFrame, *need: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with the needed columns under these names and all others as other0, other1, ..., so that no name of an operator's
+    own clashes with theirs; and the way back: its columns as they were, with those of `added` (name: column) after them.
+
+    A needed column is the one of exactly that name, or else the first that differs from it in case only.
+    """
+    names = docs.columns
+    inner = [f"other{i}" for i in range(len(names))]
+    for n in need:
+        inner[names.index(n) if n in names else [x.lower() for x in names].index(n.lower())] = n
+
+    def back(d: DataFrame, added: dict[str, str] | None = None) -> DataFrame:
+        return d.select(*inner, *(added or {}).values()).toDF(*names, *(added or {}))
+
+    return docs.toDF(*inner), back
+
+
 def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
     """From now on this session sends texts to Python in Arrow batches of about most_bytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))

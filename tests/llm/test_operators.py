@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -199,9 +200,57 @@ def test_secret_spans_match_python(spark):
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest(), (t[:60], got[i].spans, line)
         assert set(line.split(",")) <= {*got[i].spans.split(","), ""}
     assert "linked_endpoint" in got[8].spans and got[9].spans == ""
-    both = secrets.secret_spans(docs(spark, rows), most_broadcast_rows=-1).select("doc_id", "secrets").collect()
-    counted = {r.doc_id: len(r.secrets) for r in both}
-    assert counted == {k: len([x for x in v.spans.split(",") if x]) for k, v in got.items()}
+
+
+def plain_spans(t: str, scope: int = 200) -> list[tuple]:
+    """Every base span and every completed weak part by looking at all pairs."""
+    found = []
+    for k, (_, pattern, role, least, _) in enumerate(secrets.KINDS):
+        found += [(m.start(), k, m.end(), role) for m in re.finditer(pattern, t) if not least or len(m[2]) >= least]
+    strong = [x for x in found if x[1] < secrets.STRONG]
+    weak = [x for x in found if x[1] >= secrets.STRONG and not any(s[0] < x[2] and x[0] < s[2] for s in strong)]
+    near = lambda x: any((x[3] == "secret") != (y[3] == "secret") and y[2] > x[0] - scope and y[0] < x[2] + scope for y in strong + weak)
+    return sorted(x[:3] for x in strong + [x for x in weak if near(x)])
+
+
+def secret_soup(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    part = lambda: rng.choice(["password=hunter%05d", "https://h%d.example.com/a", "user=alice%d", "AKIAABCDEFGH1234%04d", "deadbeef" * 4 + "%d", "Zx9Zx9Zx9Zx9Zx9Zx9Zx%d", "token: https://x%d.example.com/yyyy", "login = bob%d"]) % rng.randrange(10000)
+    return "".join(part() + rng.choice([" ", " ", "\n", " é" * rng.randint(0, 250)]) for _ in range(n))
+
+
+def test_linked_spans_match_all_pairs(spark):
+    rows = [secret_soup(seed, n) for seed, n in enumerate([1, 2, 2, 3, 3, 5, 8, 30, 200])]
+    got = {r.doc_id: sorted((s.start, s.kind, s.end) for s in r.secrets) for r in secrets.secret_spans(docs(spark, rows)).filter("doc_id IS NOT NULL").collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == plain_spans(t), i
+    assert secrets.secret_spans(docs(spark, [])).count() == 0
+
+
+def test_many_parts_in_one_text(spark):
+    t = secret_soup(99, 20_000)
+    began = time.time()
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    got = secrets.redact(secrets.secret_spans(d)).first()
+    assert time.time() - began < 60
+    want, at, out = plain_spans_of_many(t), 0, []
+    assert [(s.start, s.kind, s.end) for s in got.secrets] == want
+    end = -1
+    for a, _, b in want:
+        if a > end:
+            out += [t[at:a], "[SECRET]"]
+        at = end = max(end, b)
+    assert got.text == "".join(out) + t[at:]
+
+
+def plain_spans_of_many(t: str, step: int = 4000, margin: int = 2000) -> list[tuple]:
+    """plain_spans by overlapping pieces, whose edges are cut at spaces far from what is taken from them."""
+    out, lo = set(), 0
+    while lo < len(t):
+        a, b = t.rfind(" ", 0, max(0, lo - margin)) + 1, t.find(" ", min(len(t), lo + step + margin))
+        out |= {(x + a, k, y + a) for x, k, y in plain_spans(t[a : len(t) if b < 0 else b]) if lo <= x + a < lo + step}
+        lo += step
+    return sorted(out)
 
 
 def test_redaction(spark):
