@@ -35,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(d: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """d, to be sent to all executors in a join if its rows written as JSON have at most most_bytes; d should be cut."""
+    size = d.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return F.broadcast(d) if size <= most_bytes else d
+
+
 def sheltered(docs: DataFrame, *need: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
     """docs with the needed columns under these names and all others as other0, other1, ..., so that no name of an operator's
     own clashes with theirs; and the way back: its columns as they were, with those of `added` (name: column) after them.

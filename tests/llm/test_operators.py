@@ -354,9 +354,9 @@ def shingle_set(t) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block", [500, 4])
-def test_jaccard_join_is_whole(table, empty, block):
-    got = jaccard_join.jaccard_join(table, block=block).collect()
+@pytest.mark.parametrize("how", [{}, {"block": 4}, {"block": 4, "whole_up_to": 0.0, "rows_per_run": 200}])
+def test_jaccard_join_is_whole(table, empty, how):
+    got = jaccard_join.jaccard_join(table, **how).collect()
     rows = rows_of(table)
     assert len(got) == len(rows)
     ids = collections.defaultdict(list)
@@ -389,6 +389,44 @@ def test_jaccard_join_is_whole(table, empty, block):
     assert jaccard_join.join_documents(empty).count() == 0
 
 
+def test_forest_recall_and_depths():
+    """At several similarities, pairs of sets meet in some tree as often as worked out, and at the threshold as often as asked."""
+    rng = np.random.default_rng(8)
+    trees, deepest, pairs = 24, 7, 1500
+    for similarity in (0.8, 0.85, 0.9):
+        both, each = int(200 * similarity), (200 - int(200 * similarity)) // 2
+        h = rng.integers(0, 2**63, (pairs, 200), dtype=np.uint64)
+        a, b = h[:, : both + each], np.concatenate([h[:, :both], h[:, both + each :]], axis=1)
+        sign = [jaccard_join.signatures(x.ravel(), np.arange(0, x.size + 1, x.shape[1]), trees, deepest) for x in (a, b)]
+        for depth in (5, 7):
+            met = (sign[0][:, :, :depth] == sign[1][:, :, :depth]).all(axis=2).any(axis=1).mean()
+            assert abs(met - (1 - (1 - (both / (both + 2 * each)) ** depth) ** trees)) < 0.02
+            assert depth == 7 or met > 0.998
+    stops = jaccard_join.depths(0.8, trees, deepest, 0.9998)
+    assert stops[1] == stops[3] == deepest and stops[4] == stops[-1] == 5 and (stops >= 5).all() and stops[7] > 5
+
+
+def test_trie_runs_in_any_cut(spark):
+    """Nodes of a sorted forest are whole wherever it is cut into runs."""
+    rng = np.random.default_rng(9)
+    path = rng.integers(0, 3, (300, 4)).astype(np.uint16)
+    tree, own = rng.integers(0, 3, 300), rng.choice([2, 3, 4], 300)
+    order = np.lexsort((*path.T[::-1], tree))
+    path, tree, own = path[order], tree[order], own[order]
+    found = collections.defaultdict(set)
+    cuts = [0, *sorted(rng.choice(300, 7, replace=False).tolist()), 300]
+    for lo, hi in zip(cuts, cuts[1:]):
+        for k, at in jaccard_join.met_in_trie(tree[lo:hi], path[lo:hi], own[lo:hi]) if hi > lo else []:
+            for i in at:
+                found[int(tree[lo + i]), k, tuple(path[lo + i, :k].tolist())].add(lo + int(i))
+    met = {(a, b) for v in found.values() for a in v for b in v if a < b}
+    for a in range(300):
+        for b in range(a + 1, 300):
+            k = min(own[a], own[b])
+            if tree[a] == tree[b] and (path[a, :k] == path[b, :k]).all():
+                assert (a, b) in met
+
+
 def test_keep_first_leaves_one_of_each(table):
     left = jaccard_join.keep_first(table)
     ids = [r.doc_id for r in left.collect()]
