@@ -9,13 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import cut
+from neurolith.llm.common import cut, sheltered, small_batches
 
 #: Rounding of chord distances between unit vectors; pruning and ties allow for it.
 SLACK = 1e-7
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by a power of two, so that its largest component is from 1/2 to 1: no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
@@ -98,7 +104,8 @@ def search_tree(tree: dict[str, np.ndarray], points: np.ndarray, ids: np.ndarray
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of a and b in double precision, the sums taken in order."""
+    """Of rows of a and b in double precision, the sums taken in order; of any finite size, since powers of two change no digit."""
+    a, b = scaled(a), scaled(b)
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for x, y in zip(a.T, b.T, strict=True):
         dot += x * y
@@ -117,31 +124,28 @@ def _unpack(data: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def vp_search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, factor: float = 1.0, rows_per_shard: int = 20_000, queries_per_block: int = 2_000, leaf: int = 128) -> DataFrame:
+def vp_search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, factor: float = 1.0, rows_per_shard: int = 10_000, queries_per_block: int = 2_000, leaf: int = 128) -> DataFrame:
     """The k nearest vectors of each query by cosine: query_id, rank, vec_id, score.
 
-    vectors and queries: vec_id long, embedding array of numbers, of one length. Rows are hashed to shards of about
-    rows_per_shard, each with a tree of its own (one packed row, written to the shared folder); queries travel in blocks of
-    about queries_per_block to every shard, and the shards' answers meet in one top-k per query. No task holds more than a
-    shard and a block. Of equal vectors only the k + 1 least ids are indexed, since no others can be in an answer; they are
-    found by a grouping on the vector with partial aggregation.
+    vectors and queries: vec_id long, embedding array of numbers. Rows are hashed to shards of about rows_per_shard, each
+    with a tree of its own (one packed row, written to the shared folder). Each shard is one task, which reads its tree once
+    and then takes the queries in blocks of about queries_per_block, one after the other; the shards' answers meet in one
+    top-k per query. No task holds more than a shard and a block. factor 1 is exact; a larger one prunes more and may miss
+    neighbours. Of equal vectors only the k + 1 least ids are indexed, since no others can be in an answer; a group limit
+    before the shuffle finds them.
 
     Vectors that are null, empty or zero, or that hold null or non-finite components, take no part, on either side; vectors
-    of another length than a query are not its candidates. Rows with the query's own id are not its candidates; ties go to
-    the smaller id; repeated (vec_id, embedding) rows count once; empty tables give an empty result; other columns are not
-    looked at.
+    of another length than a query are not its candidates; finite components may be of any size. A row is known by its
+    vec_id: rows with the query's own id are that query and not its candidates, and a row that occurs twice, id and vector,
+    is one candidate, as it could take but one rank by the tie rule. Ties go to the smaller id; null ids take no part; empty
+    tables give an empty result; other columns, whatever their names, are not looked at.
     """
+    small_batches(vectors.sparkSession)
     e = F.col("embedding").cast("array<double>")
-    good = lambda d: d.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    rows = good(vectors).distinct()
-    # Partial sums of the least ids: a bucket of each group of copies first, then the group.
-    some = rows.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("_b")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    some = some.groupBy("embedding").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    indexed = cut(some.select("embedding", F.explode("ids").alias("vec_id")).withColumn("dim", F.size("embedding")))
-    dims = [r[0] for r in indexed.select("dim").distinct().limit(10_001).collect()]
-    assert len(dims) <= 10_000, "vectors of more than 10,000 lengths"
-    n = indexed.count()
-    shards = max(1, -(-n // rows_per_shard))
+    good = lambda d: sheltered(d, "vec_id", "embedding")[0].select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    indexed = cut(good(vectors).distinct().withColumn("copy", copy).filter(F.col("copy") <= k + 1).drop("copy").withColumn("dim", F.size("embedding")))
+    shards = max(1, -(-indexed.count() // rows_per_shard))
     indexed = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def build(key, rows):
@@ -150,29 +154,35 @@ def vp_search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, factor: flo
         return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "tree": [_pack(points=points, ids=ids, **build_tree(unit(points), leaf))]})
 
     trees = cut(indexed.groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, tree binary"))
-    q = good(queries).distinct().withColumn("dim", F.size("embedding"))
+    q = cut(good(queries).distinct().withColumn("dim", F.size("embedding")))
     blocks = max(1, -(-q.count() // queries_per_block))
 
     def block(key, rows):
-        return pd.DataFrame({"dim": [key[1]], "queries": [_pack(vectors=np.array(rows.embedding.tolist(), np.float64), ids=rows.vec_id.to_numpy(np.int64))]})
+        return pd.DataFrame({"dim": [key[1]], "block": [key[0]], "queries": [_pack(vectors=np.array(rows.embedding.tolist(), np.float64), ids=rows.vec_id.to_numpy(np.int64))]})
 
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInPandas(block, "dim int, queries binary")
-    pairs = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, ["shard", "dim"]).select("queries", "tree")
+    q = cut(q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("block", "dim").applyInPandas(block, "dim int, block int, queries binary"))
+    asked = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "dim", "block", F.col("queries").alias("body"))
+    held = trees.select("shard", "dim", F.lit(-1).alias("block"), F.col("tree").alias("body"))
 
     def search(batches):
+        at, t, p = None, None, None
         for batch in batches:
-            for queries, tree in batch.itertuples(index=False):
-                a, t = _unpack(queries), _unpack(tree)
-                found, at = search_tree(t, unit(t["points"]), t["ids"], unit(a["vectors"]), a["ids"], k, factor)
-                yield pd.DataFrame({"query_id": a["ids"][found], "vec_id": t["ids"][at], "score": cosine(a["vectors"][found], t["points"][at])})
-
-    hits = pairs.repartition(max(1, min(shards * blocks, 10_000))).mapInPandas(search, "query_id long, vec_id long, score double")
+            for shard, dim, block, body in batch.itertuples(index=False):
+                if block < 0:  # a shard's tree of a length comes before all queries of that length
+                    at, t = (shard, dim), _unpack(body)
+                    p = unit(t["points"])
+                elif at == (shard, dim):
+                    a = _unpack(body)
+                    found, near = search_tree(t, p, t["ids"], unit(a["vectors"]), a["ids"], k, factor)
+                    yield pd.DataFrame({"query_id": a["ids"][found], "vec_id": t["ids"][near], "score": cosine(a["vectors"][found], t["points"][near])})
+
+    hits = held.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "dim", "block").mapInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_embeddings(vectors: DataFrame) -> DataFrame:
-    """Every vector whose id 50 divides against all, with the exact factor."""
+    """Every vector whose id 50 divides against all, with the exact factor. Nulls, ties and repeats: as in vp_search."""
     return vp_search(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
