@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import arrow_bytes, cut, mix, pieces, small_batches, words
+from neurolith.llm.common import arrow_bytes, cut, mix, pieces, sheltered, small_batches, words
 
 #: Stands for the end of a text, and before its first word for its start.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -168,7 +168,7 @@ def log_probability(c_word: np.ndarray, c_before: np.ndarray, level: np.ndarray,
     return np.log10(base), np.log10((np.minimum(LEVELS[level], np.minimum(c_word, c_before)) + strength * base) / (c_before + strength))
 
 
-def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float = 500.0, probes: tuple[int, int] = (10, 4), bits_per_probe: float = 2.0, segment_tokens: int = 2_000_000, most_broadcast: int = 400 << 20) -> DataFrame:
+def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float = 500.0, probes: tuple[int, int] = (10, 4), bits_per_probe: float = 2.0, segment_tokens: int = 500_000, most_broadcast: int = 400 << 20) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     Words and word pairs of the rows where train holds are counted exactly; pairs go by level into the filter. Word counts
@@ -265,5 +265,9 @@ def _score_routed(d: DataFrame, tables: DataFrame, segments: int, probes: tuple[
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """documents scored by what the six sevenths of them say whose crc32(doc_id) mod 7 is not 2 (null ids are among them)."""
+    """documents scored by what the six sevenths of them say whose crc32(doc_id) mod 7 is not 2 (null ids are among them).
+
+    Nulls, long and repeated texts and empty tables: as in score, whatever the columns' names.
+    """
+    docs, _ = sheltered(docs, "doc_id", "text")
     return score(docs, train=F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) != 2)
