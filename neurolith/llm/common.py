@@ -19,17 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one in the warehouse, or a fresh
+    local folder if driver and executors are one process."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
+        alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+        where = tempfile.mkdtemp(prefix="spark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{uuid.uuid4().hex}"
         sc.setCheckpointDir(where)
     return where
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and no executor is needed to keep it."""
+    """Write df to the shared folder and read it back: lineage ends there, and no executor is needed to keep it.
+
+    What is written stays until the shared folder is cleared, since a result that is read later may need it.
+    """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import WORD
+from neurolith.llm.common import WORD, sheltered
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\f\r"
@@ -31,8 +31,11 @@ def clean_lines(docs: DataFrame, *, text: str = "text", most_lost: float = 0.5)
 
     A document is kept by this rule if lost <= most_lost. Null and empty texts have no lines, lose nothing (lost is 0) and
     are kept here; very long texts are judged whole; a row depends on itself alone, so ties and repeated rows stay as they
-    are, and an empty table gives an empty one. Columns of docs named like an added one are replaced.
+    are, and an empty table gives an empty one. All other columns pass through, whatever their names; only columns named like
+    an added one are replaced.
     """
+    added = ("clean_text", "n_lines", "n_failed_lines", "lost", "line_kept")
+    docs, back = sheltered(docs.drop(*added), text)
     solid = lambda s: F.length(F.translate(s, SPACES, ""))
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     out = docs.withColumn("_lines", lines)
@@ -41,7 +44,7 @@ def clean_lines(docs: DataFrame, *, text: str = "text", most_lost: float = 0.5)
     all_, left = solid(F.coalesce(F.col(text), F.lit(""))), solid(F.coalesce(F.col("clean_text"), F.lit("")))
     out = out.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_failed_lines", (F.size("_lines") - F.size("_good")).cast("long"))
     out = out.withColumn("lost", F.when(all_ > 0, (all_ - left) / all_).otherwise(F.lit(0.0)))
-    return out.withColumn("line_kept", F.col("lost") <= most_lost).drop("_lines", "_good")
+    return back(out.withColumn("line_kept", F.col("lost") <= most_lost), {x: x for x in added})
 
 
 def _windows() -> Column:
@@ -55,8 +58,10 @@ def quality_rules(docs: DataFrame, *, least_words: int = 20, most_repeat: int =
 
     All of it is per row and stays in one scan without a shuffle: repeated 8-word windows are found by a hash of each window
     within its document; only documents that have any (their distinct windows are fewer) sort theirs. Nulls count as empty
-    texts and fail for want of words.
+    texts and fail for want of words; very long texts count whole; repeated rows are judged alike; an empty table gives an
+    empty one; other columns, whatever their names, are not looked at.
     """
+    docs, _ = sheltered(docs, "doc_id", "text")
     body = F.coalesce(F.col("text"), F.lit(""))
     d = clean_lines(docs.select("doc_id", "text"), most_lost=most_lost)
     d = d.withColumn("_words", F.regexp_extract_all(body, F.lit(WORD), 0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import cut, n_words
+from neurolith.llm.common import cut, n_words, sheltered
 
 LEVELS = ("domain", "lang", "source")
 
@@ -55,7 +55,7 @@ def leaf_budgets(leaves: DataFrame, total: float, weights: dict[str, dict[str, f
     return low.select(*LEVELS, "avail", F.floor(F.col("budget") + F.lit(1e-6)).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, *, domain: Column, tokens: Column, total: float | None = None, share: float = 1.0, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 4, seed: str = "mix-1", buckets: int = 64) -> DataFrame:
+def mix(docs: DataFrame, *, domain: Column, tokens: Column, total: float | None = None, share: float = 1.0, weights: dict[str, dict[str, float]] | None = None, max_epochs: int = 4, seed: str = "mix-1", rows_per_bucket: int = 100_000) -> DataFrame:
     """Select each leaf's prefix of its token stream: one row (doc_id, domain, lang, source, epoch, n_tokens, take_tokens)
     per document and epoch that it enters.
 
@@ -64,8 +64,8 @@ def mix(docs: DataFrame, *, domain: Column, tokens: Column, total: float | None
     lies within the leaf's budget, and take_tokens says how many of its tokens the budget covers (fewer than n_tokens only
     for the last). Full epochs need no order, so each document is ordered once, for its leaf's last, partial epoch. The
     order's running sums come in two steps (sums by the leading bits of the hash, then a window within each of those
-    buckets), so a leaf with a third of all rows is spread over `buckets` tasks. Texts are read once, to count tokens; the
-    rest works on ids and counts.
+    buckets), so a leaf with a third of all rows is spread over many tasks. Texts are read once, to count tokens; the
+    rest works on ids and counts; the number of buckets grows with the rows, so that one holds about rows_per_bucket at most.
 
     Nulls in lang or source are a node of their own; documents without tokens are in if their place lies before the
     budget's end (never in a leaf without budget); repeated rows each count; an empty table gives an empty result; other
@@ -73,8 +73,10 @@ def mix(docs: DataFrame, *, domain: Column, tokens: Column, total: float | None
     """
     d = cut(docs.select("doc_id", domain.alias("domain"), "lang", "source", tokens.cast("long").alias("n_tokens")))
     leaves = d.groupBy(*LEVELS).agg(F.sum("n_tokens").cast("double").alias("avail"))
+    rows, all_tokens = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    buckets = min(1 << 24, max(64, -(-rows // rows_per_bucket)))
     if total is None:
-        total = share * (d.agg(F.sum("n_tokens")).first()[0] or 0)
+        total = share * all_tokens
     plan = leaf_budgets(leaves, float(total), weights or {}, max_epochs).filter("budget > 0")
     full = F.floor(F.col("budget") / F.col("avail")).cast("int")
     plan = plan.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], full.alias("full"), (F.col("budget") - full * F.col("avail")).cast("long").alias("left"))
@@ -107,15 +109,20 @@ def domain_of(source: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The production mix of documents; tokens are words."""
+    """The production mix of documents; tokens are words. Nulls, repeats and empty tables: as in mix, whatever the columns' names."""
+    docs, _ = sheltered(docs, "doc_id", "text", "lang", "source")
     return mix(docs, domain=domain_of(F.col("source")), tokens=n_words(F.col("text")), share=SHARE, weights=WEIGHTS)
 
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the production mix selects, once per epoch, columns as they are. Rows that share a doc_id share its fate."""
-    chosen = mix_documents(docs).groupBy(F.col("doc_id").alias("_id")).agg((F.max("epoch") + 1).alias("_times"))
+    """The rows of docs that the production mix selects, once per epoch; columns as they are, whatever their names.
+
+    Rows that share a doc_id (null too) share its fate. Nulls, documents without tokens and empty tables: as in mix.
+    """
+    d, back = sheltered(docs, "doc_id", "text", "lang", "source")
+    chosen = mix_documents(d).groupBy(F.col("doc_id").alias("_id")).agg((F.max("epoch") + 1).alias("_times"))
     # Epochs are selected in order, so the highest one counts them.
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    return back(d.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))))
 
 
 def oracle() -> str:

@@ -149,8 +149,19 @@ def redact(docs: DataFrame, *, text: str = "text", spans: str = "secrets", mask:
     return back(d.withColumn(text, F.when(F.size(s) > 0, _let(_let(ends, merged), masked)).otherwise(t)))
 
 
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """documents with their found secrets masked and n_chars after the new text; other columns as they are, whatever their names.
+
+    Null texts stay null (n_chars null), empty ones empty; repeated rows are redacted alike; an empty table gives an empty one.
+    """
+    d, back = sheltered(docs, "text", "n_chars")
+    d = redact(secret_spans(d, out="spans"), spans="spans").drop("spans")
+    return back(d.withColumn("n_chars", F.length("text").cast("long")))
+
+
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """documents -> doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """documents -> doc_id, n_assign, n_access, n_hex, base_sha256, spans; nulls, repeats and empty tables: as in secret_spans."""
+    docs, _ = sheltered(docs, "doc_id", "text")
     d = secret_spans(docs.select("doc_id", "text")).drop("text")
     name = F.array(*[F.lit(kind[0]) for kind in KINDS])
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")

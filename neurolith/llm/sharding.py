@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import cut
+from neurolith.llm.common import cut, sheltered
 
 
 def _range_of(splits: list[tuple[int, int]], key: Column, tie: Column) -> Column:
@@ -42,8 +42,10 @@ def shard_by_sampled_splitters(records: DataFrame, n_shards: int, *, row_id: str
     Adds range, shard (int) and slot (long, gapless from 0 in each shard). The driver sees samples_per_range * ranges
     sampled keys at most, and one row per range. Records must be narrow: carry ids and sizes, not texts. Null keys sort as
     one key of their own (they share a key value), null sizes count as 0; an empty table gives an empty result; repeated
-    rows each get a slot of their own, in no defined order among themselves.
+    rows each get a slot of their own, in no defined order among themselves. Other columns pass through, whatever their names;
+    only columns named range, shard or slot are replaced.
     """
+    records, back = sheltered(records.drop("range", "shard", "slot"), *dict.fromkeys((row_id, size, key)))
     base = cut(records.withColumn("_k", F.coalesce(F.col(key), F.lit(0).cast("long"))).withColumn("_t", F.xxhash64(F.col(row_id), F.lit(seed))).withColumn("_s", F.coalesce(F.col(size), F.lit(0)).cast("long")))
     total, rows = base.agg(F.coalesce(F.sum("_s"), F.lit(0)), F.count(F.lit(1))).first()
     n_ranges = min(max_ranges, max(ranges_per_shard * n_shards, -(-rows // rows_per_range)))
@@ -84,15 +86,17 @@ def shard_by_sampled_splitters(records: DataFrame, n_shards: int, *, row_id: str
     ahead = counts.select("shard", "range", "_part", (F.sum("_n").over(Window.partitionBy("shard").orderBy("range", "_part")) - F.col("_n")).alias("_ahead"))
     slot = F.col("_ahead") + F.row_number().over(Window.partitionBy("range", "_part", "shard").orderBy("_k", "_t", row_id)) - 1
     out = run.join(F.broadcast(ahead), ["shard", "range", "_part"]).withColumn("slot", slot.cast("long"))
-    return out.drop("_k", "_t", "_s", "_part", "_from", "_start", "_ahead")
+    return back(out, {x: x for x in ("range", "shard", "slot")})
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     """documents -> doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1, checksum 0). The law is `bytes`. Copies of one text share a key, so
-    they stay in one shard unless they fill whole ranges by themselves.
+    they stay in one shard unless they fill whole ranges by themselves. Null ids and repeated rows get slots of their own; an
+    empty table gives an empty result; other columns, whatever their names, are not looked at.
     """
+    docs, _ = sheltered(docs, "doc_id", "text")
     body = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     records = docs.select("doc_id", (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("_key"))
     out = shard_by_sampled_splitters(records, n_shards, row_id="doc_id", size="size", key="_key")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import BYTE, MULT, MULT_INV, arrow_bytes, cut, mix, pieces, powers, small_batches
+from neurolith.llm.common import BYTE, MULT, MULT_INV, arrow_bytes, cut, mix, pieces, powers, sheltered, small_batches
 
 #: Bytes of the string whose hash is an anchor.
 GRAM = 32
@@ -250,6 +250,7 @@ def dedup(docs: DataFrame, *, length: int = 200, keep_text: bool = False, most_b
     texts are empty; very long texts count whole; repeated rows repeat each other; an empty table gives an empty result;
     other columns are not looked at.
     """
+    docs, _ = sheltered(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = cut(repeated_spans(d, length=length))

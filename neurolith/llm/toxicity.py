@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolith.llm.common import arrow_bytes, pieces, small_batches, words
+from neurolith.llm.common import arrow_bytes, cut, pieces, sheltered, small_batches, words
 
 HIDDEN = 8
 CHAR_DIM, WORD_DIM = 8, 8
@@ -282,27 +282,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = 2_000, long
     """A network from a bounded sample: of each label at most rows_per_label labelled texts of 1 to longest characters, in
     the order of a hash of their id, none of whose crc32(doc_id) mod 5 is 0.
 
-    The sample (at most 2 * rows_per_label * longest characters) is the only thing that comes to the driver. Labels other
-    than 0 and 1 and null ids take no part; a repeated id has its largest label. With no text of one of the labels the
-    network is untrained, with a bias that calls nothing toxic.
+    The sample (at most 2 * rows_per_label * longest characters) is the only thing that comes to the driver: of an id that
+    repeats, the text with the least hash. Labels other than 0 and 1 and null ids take no part; an id with several labels has
+    its largest. With no text of one of the labels, and so with empty tables, the network is untrained, with a bias that
+    calls nothing toxic. Ids may be of any type that both tables share.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    fine = docs.filter(F.length("text").between(1, longest)).select("doc_id")
-    fine = fine.join(known, "doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
-    ids = [r for label in (0, 1) for r in fine.filter(F.col("toxic") == label).orderBy("_h", "doc_id").limit(rows_per_label).select("doc_id", "toxic").collect()]
-    if {r[1] for r in ids} != {0, 1}:
+    known = labels.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    fine = docs.select("doc_id", "text").filter(F.length("text").between(1, longest))
+    ids = fine.select("doc_id").join(known, "doc_id").distinct().withColumn("_h", F.xxhash64("doc_id"))
+    chosen = None
+    for label in (0, 1):
+        some = ids.filter(F.col("toxic") == label).orderBy("_h", "doc_id").limit(rows_per_label).select("doc_id", "toxic")
+        chosen = some if chosen is None else chosen.unionByName(some)
+    chosen = cut(chosen)
+    if {r[0] for r in chosen.select("toxic").distinct().collect()} != {0, 1}:
         return new_network() | {"out": np.zeros(2 * HIDDEN, np.float32), "bias": np.full(1, -9.0, np.float32)}
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").filter(F.length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted({(r[0], r[1]): r[2] for r in rows}.items(), key=lambda x: x[0])
-    return train([k[1] for k, _ in rows], np.array([v for _, v in rows]))
+    rows = fine.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), F.col("text").alias("text"))).alias("_t"))
+    rows = sorted(rows.select("doc_id", "toxic", "_t.text").collect(), key=lambda r: (r[0], r[1]))
+    return train([r[2] for r in rows], np.array([r[1] for r in rows]))
 
 
-def rate(docs: DataFrame, net: dict[str, np.ndarray], *, keep: list[str]) -> DataFrame:
-    """The columns keep of docs, and toxic_score of its whole text.
+def rate(docs: DataFrame, net: dict[str, np.ndarray], *, keep: list[str], out: str = "toxic_score") -> DataFrame:
+    """The columns keep of docs, and out, the score of its whole text.
 
     Every overlapping window of every text is scored; a row's score depends on its text alone. Null texts and texts without
-    words score 0; very long texts are as many windows as they need; repeated rows score alike.
+    words score 0; very long texts are as many windows as they need; repeated rows score alike; an empty table gives an
+    empty one; out must not be among keep, whose columns pass through whatever they are.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -311,17 +316,22 @@ def rate(docs: DataFrame, net: dict[str, np.ndarray], *, keep: list[str]) -> Dat
 
     def score(batches):
         for batch in pieces(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(rate_texts(sent.value, batch.column("text")))], [*keep, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(rate_texts(sent.value, batch.column("text")))], [*keep, out])
 
-    return kept.mapInArrow(score, schema.add("toxic_score", "double"))
+    return kept.mapInArrow(score, schema.add(out, "double"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents, labels -> doc_id, held_out, score, predicted."""
+    """documents, labels -> doc_id, held_out, score, predicted; nulls, empty texts and tables, repeats: as in fit and rate."""
+    docs, labels = sheltered(docs, "doc_id", "text")[0], sheltered(labels, "doc_id", "toxic")[0]
     scored = rate(docs, fit(docs, labels), keep=["doc_id"])
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxic_score").alias("score"), F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the network does not call toxic, columns as they are."""
-    return rate(docs, fit(docs, labels), keep=docs.columns).filter("toxic_score < 0.5").select(*docs.columns)
+    """The rows of docs that the network does not call toxic, columns as they are, whatever their names.
+
+    Null and empty texts and texts without words stay; repeated rows share their fate; an empty table gives an empty one.
+    """
+    d, back = sheltered(docs, "doc_id", "text")
+    return back(rate(d, fit(d, sheltered(labels, "doc_id", "toxic")[0]), keep=d.columns).filter("toxic_score < 0.5"))
