@@ -84,11 +84,13 @@ def global_artifacts(flagged: DataFrame, least_signals: int = 3) -> DataFrame:
 
 
 def session_labels(signals: DataFrame, global_percent: DataFrame, most_global: float, some_global: float) -> DataFrame:
-    """One row per session from its signals' labels: AF3 and AF4 are EEG, PPG, and fNIRS_1 and fNIRS_2."""
+    """One row per session from its signals' labels: AF3 and AF4 are EEG, PPG, and fNIRS_1 and fNIRS_2; an absent one is
+    NOT_ASSESSABLE and no pass. operators/session.py decides with the recording's packets and duration, too."""
     label = lambda s: F.max(F.when(F.col("signal") == s, F.col("label")))
     s = signals.groupBy("session_id").agg(*[label(x).alias(f"_{x}") for x in ("AF3", "AF4", "PPG", "fNIRS_1", "fNIRS_2")])
     some = lambda x, y, what: (F.col(x) == what) | (F.col(y) == what)
-    worst = lambda x, y: F.when(some(x, y, "FAIL"), "FAIL").when(some(x, y, "CONDITIONAL_PASS"), "CONDITIONAL_PASS").otherwise("PASS")
+    gone = lambda x, y: F.col(x).isNull() | F.col(y).isNull()
+    worst = lambda x, y: F.when(some(x, y, "FAIL"), "FAIL").when(gone(x, y), "NOT_ASSESSABLE").when(some(x, y, "CONDITIONAL_PASS"), "CONDITIONAL_PASS").otherwise("PASS")
     fnirs = F.when((F.col("_fNIRS_1") == "FAIL") & (F.col("_fNIRS_2") == "FAIL"), "FAIL").when((F.col("_fNIRS_1") == "PASS") & (F.col("_fNIRS_2") == "PASS"), "PASS").otherwise("CONDITIONAL_PASS")
     s = s.select("session_id", worst("_AF3", "_AF4").alias("eeg_label"), F.coalesce("_PPG", F.lit("NOT_ASSESSABLE")).alias("ppg_label"), fnirs.alias("fnirs_label")).join(global_percent, "session_id", "left")
     both = (F.col("eeg_label") == "FAIL") & (F.col("ppg_label") == "FAIL")
@@ -157,10 +159,13 @@ def overview_start(flagged: DataFrame, span: int) -> DataFrame:
 
 
 def fill_linear(samples: DataFrame) -> DataFrame:
-    """Add filled: gaps by the line between their neighbours, ends by the nearest value, 0 if all are missing."""
-    w = by(*KEYS, order="sample_idx")
+    """Add filled: gaps by the line between their neighbours, ends by the nearest value, 0 if all are missing.
+
+    Both neighbours come from frames that only grow, one in either order, so the cost is in proportion to the samples.
+    """
     known = F.when(F.col("value").isNotNull(), F.struct("sample_idx", "value"))
-    d = samples.withColumn("_p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_q", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    nearest = lambda order: F.last(known, True).over(by(*KEYS).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    d = samples.withColumn("_p", nearest(F.col("sample_idx"))).withColumn("_q", nearest(F.col("sample_idx").desc()))
     line = F.col("_p.value") + (F.col("_q.value") - F.col("_p.value")) * (F.col("sample_idx") - F.col("_p.sample_idx")) / (F.col("_q.sample_idx") - F.col("_p.sample_idx"))
     return d.withColumn("filled", F.coalesce("value", line, F.col("_p.value"), F.col("_q.value"), F.lit(0.0))).drop("_p", "_q")
 
@@ -182,9 +187,12 @@ def moving_mean(samples: DataFrame, value: str = "value") -> DataFrame:
 
 
 def rolling_median(samples: DataFrame, width: int) -> DataFrame:
-    """Add rolling_median over width (odd) samples; null with fewer than max(3, width / 4) of them."""
+    """Add rolling_median over width (odd) samples; places with fewer than max(3, width / 4) of them take the nearest median,
+    the one before if there is one."""
     w = by(*KEYS, order="sample_idx").rowsBetween(-(width // 2), width // 2)
-    return samples.withColumn("rolling_median", F.when(F.count("value").over(w) >= max(3, width // 4), F.percentile("value", 0.5).over(w)))
+    d = samples.withColumn("rolling_median", F.when(F.count("value").over(w) >= max(3, width // 4), F.percentile("value", 0.5).over(w)))
+    nearest = lambda order: F.last("rolling_median", True).over(by(*KEYS).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("rolling_median", F.coalesce("rolling_median", nearest(F.col("sample_idx")), nearest(F.col("sample_idx").desc())))
 
 
 def downsample(samples: DataFrame, most: int) -> DataFrame:

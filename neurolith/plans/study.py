@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from neurolith.operators import features as X
 from neurolith.operators import kernels as K
 from neurolith.operators import signal as S
 from neurolith.operators import study as T
@@ -136,14 +137,22 @@ def tddr(spark, sf):
     return K.tddr(samples(spark, sf), ["session_id", "signal"], fs=10.0)
 
 
+def _series(spark, sf):
+    return samples(spark, sf).withColumn("series", F.concat_ws("/", F.col("session_id").cast("string"), "signal"))
+
+
 @query("ppg_hrv")
 def ppg_hrv(spark, sf):
-    return K.peak_intervals(samples(spark, sf), ["session_id", "signal"], fs=100.0, low=0.5, high=8.0, order=3, apart=0.35)
+    """Pulse intervals of 0.30 to 1.80 s between prominent peaks, and their measures; series without any are flagged."""
+    at = K.series_peaks(_series(spark, sf), ["series"], fs=25.0, chain="ppg", apart=0.35, prominent=True, least_seconds=1.5)
+    return at.select("series").distinct().join(X.hrv(X.intervals(at.filter("at IS NOT NULL"), "series", "at", 1.0, 0.30, 1.80), "series", "at"), "series", "left").fillna({"n_ibi": 0, "quality_flag": "NO_VALID_IBI"})
 
 
 @query("ppg_resp")
 def ppg_resp(spark, sf):
-    return K.peak_intervals(samples(spark, sf), ["session_id", "signal"], fs=10.0, low=0.1, high=0.5, order=4, apart=2.0)
+    """Breath intervals of 2 to 10 s, their rate and variation; series of less than 30 s or without breaths are flagged."""
+    at = K.series_peaks(_series(spark, sf), ["series"], fs=4.0, chain="respiration", apart=2.0, prominent=False, least_seconds=30.0)
+    return at.select("series").distinct().join(X.breathing(X.intervals(at.filter("at IS NOT NULL"), "series", "at", 1.0, 2.0, 10.0), "series"), "series", "left").fillna({"n_bbi": 0, "quality_flag": "NO_VALID_BREATHS"})
 
 
 @query("plv_coherence")
@@ -157,12 +166,18 @@ def lmm_random_intercept(spark, sf):
     return K.random_intercept(rows, "g", "x", "y")
 
 
-@query("optical_unpack", "WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice AS value, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS row_idx, l_returnflag AS k FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT *, max(row_idx) OVER () + 1 AS n FROM r) SELECT row_idx, (row_idx // 244) * 100 + row_idx % 244 AS sample_idx, value FROM n WHERE row_idx % 244 < 100 AND row_idx // 244 < n // 244")
+@query("lmm_batch")
+def lmm_batch(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_extendedprice")
+    return K.batch_random_intercepts(rows, "l_suppkey", [("l_quantity", "l_extendedprice"), ("l_discount", "l_extendedprice"), ("l_discount", "l_quantity")])
+
+
+@query("optical_unpack", "WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice AS value, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 AS row_idx, l_returnflag AS k FROM lineitem), n AS (SELECT *, max(row_idx) OVER () + 1 AS n FROM r) SELECT row_idx, (row_idx // 244) * 100 + row_idx % 244 AS sample_idx, value FROM n WHERE row_idx % 244 < 100 AND row_idx // 244 < n // 244")
 def optical_unpack(spark, sf):
     from neurolith.sources.recordings import numbered, unpack_optical
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
-    r, n = numbered(table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(*order), order)
+    r, n = numbered(table(spark, sf, "lineitem").select(*order), order)
     return unpack_optical(r, [], n=F.lit(n)).select("row_idx", "sample_idx", F.col("l_extendedprice").alias("value"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import time
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 from neurolith.operators import epochs as E
 from neurolith.operators import features as X
 from neurolith.operators import kernels as K
+from neurolith.operators import session as D
 from neurolith.operators import signal as S
+from neurolith.operators import spectra as P
 from neurolith.operators import study as T
+from neurolith.operators import tables as B
 from neurolith.plans import registry
 from neurolith.sources import recordings as R
 
@@ -114,7 +118,71 @@ def test_peaks_and_random_intercept(spark):
     u = rng.normal(0, 3, 60)
     rows = [(g, float(x), float(2 + 1.5 * x + u[g] + e)) for g in range(60) for x, e in zip(rng.normal(size=20), rng.normal(size=20), strict=True)]
     r = K.random_intercept(spark.createDataFrame(rows, "g long, x double, y double"), "g", "x", "y").first()
-    assert abs(r.slope - 1.5) < 0.1 and abs(r.residual_variance - 1) < 0.15 and 4 < r.group_variance < 16
+    sd = float(np.std([x for _, x, _ in rows]))
+    assert abs(r.slope / sd - 1.5) < 0.1 and r.p < 1e-6 and abs(r.icc - r.group_variance / (r.group_variance + r.residual_variance)) < 1e-9 and abs(r.residual_variance - 1) < 0.15 and 4 < r.group_variance < 16
+
+
+def restricted_likelihood(rows: list, r: float) -> float:
+    """Up to a constant, from the definition: with the covariance matrix of all rows."""
+    g, x, y = (np.array(c) for c in zip(*rows, strict=True))
+    x = (x - x.mean()) / x.std()
+    v = np.eye(len(y)) + r * (g[:, None] == g)
+    m = np.stack([np.ones(len(y)), x], axis=1)
+    w = np.linalg.inv(v)
+    b = np.linalg.solve(m.T @ w @ m, m.T @ w @ y)
+    e = y - m @ b
+    return -0.5 * ((len(y) - 2) * np.log(e @ w @ e) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(m.T @ w @ m)[1])
+
+
+def test_random_intercept_is_restricted_likelihood(spark):
+    rng = np.random.default_rng(3)
+    u = rng.normal(0, 0.7, 12)
+    rows = [(int(g), float(x), float(x + u[g] + rng.normal())) for g, x in zip(rng.integers(0, 12, 80), rng.normal(size=80), strict=True)]
+    got = K.random_intercept(spark.createDataFrame(rows, "g long, x double, y double"), "g", "x", "y").first()
+    at = got.group_variance / got.residual_variance
+    best = restricted_likelihood(rows, at)
+    assert all(restricted_likelihood(rows, r) <= best + 1e-6 for r in [0, *np.logspace(-3, 2, 60), at * 1.05, at / 1.05])
+    assert K.random_intercept(spark.createDataFrame([(1, 1.0, 2.0)], "g long, x double, y double"), "g", "x", "y").first().slope is None
+    both = K.batch_random_intercepts(spark.createDataFrame(rows, "g long, x double, y double"), "g", [("x", "y"), ("y", "x")]).collect()
+    assert len(both) == 2 and all(r.q >= r.p for r in both)
+    from math import erfc
+
+    z = spark.createDataFrame([(float(v),) for v in (0, 0.5, 1.96, 4.0)], "z double")
+    assert all(abs(r.p - erfc(abs(r.z) / 2**0.5)) < 2e-7 for r in z.select("z", K.two_sided_normal(K.F.col("z")).alias("p")).collect())
+
+
+def test_block_recursion_is_the_recursion():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 255, 256, 257, 1000):
+        x = rng.normal(size=n)
+        for s in (K.butter_sections(3, [0.2], "low", 10.0), K.butter_sections(4, [0.5, 4.0], "band", 25.0)):
+            want = x
+            for b0, b1, b2, _, a1, a2 in s:
+                level = (b0 + b1 + b2) / (1 + a1 + a2)
+                s2 = (b2 - a2 * level) * want[0]
+                s1, out = (b1 - a1 * level) * want[0] + s2, []
+                for v in want:
+                    out.append(b0 * v + s1)
+                    s1, s2 = b1 * v - a1 * out[-1] + s2, b2 * v - a2 * out[-1]
+                want = np.array(out)
+            assert np.allclose(K._run(s, x), want, atol=1e-9)
+
+
+def test_notch_and_peaks():
+    t = np.arange(4000) / 250
+    x = np.sin(2 * np.pi * 50 * t) + np.sin(2 * np.pi * 10 * t)
+    y = K.notch(x, 250.0)[500:-500]
+    assert np.abs(y - np.sin(2 * np.pi * 10 * t)[500:-500]).max() < 0.02
+    assert K.peaks(np.array([0.0, 1, 1, 2, 0]), 1).tolist() == [3]
+    assert K.peaks(np.array([0.0, 1, 1, 1, 0, 3, 0]), 1).tolist() == [2, 5]
+    assert K.peaks(np.array([0.0, 1, 0, 3, 0, 2, 0]), 3).tolist() == [3] and K.peaks(np.array([0.0, 2, 1.5, 3, 0]), 1, 1.0).tolist() == [3]
+
+
+def test_long_gap_fill(spark):
+    d = spark.range(200_000).selectExpr("1 AS session_id", "'A' AS signal", "id AS sample_idx", "CASE WHEN id % 10 = 5 THEN CAST(id AS DOUBLE) END AS value")
+    began = time.time()
+    r = S.fill_linear(d).agg({"filled": "sum"}).first()[0]
+    assert time.time() - began < 30 and abs(r - (sum(range(5, 199_996)) + 5 * 5 + 4 * 199_995)) < 1e-3
 
 
 def test_edf_round_trip(spark, tmp_path):
@@ -148,7 +216,7 @@ def test_optical_unpack_numbers_rows_in_ranges(spark, tmp_path, capsys):
     rows = [((i * 7919) % 1009, 1 + i % 7, i % 11, i % 5, float(i), float(i % 50), f"2024-01-{1 + i % 28:02d}", "RAN"[i % 3]) for i in range(3000)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate string, l_returnflag string").repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
     d = optical_unpack(spark, str(tmp_path))
-    kept = sorted(r for r in rows if r[7] == "R")
+    kept = sorted(rows)
     want = {(i, i // 244 * 100 + i % 244, r[4]) for i, r in enumerate(kept) if i % 244 < 100 and i // 244 < len(kept) // 244}
     assert {tuple(r) for r in d.collect()} == want and d.count() == len(want)
     d.explain()
@@ -232,8 +300,54 @@ def test_tachogram_power(spark):
     assert (got[2].lf_power, got[2].lf_hf_ratio, got[2].seconds) == (None, None, 1.0)
 
 
+def test_signal_rules(spark):
+    rows = [(1, "EEG", 3.0, 0.0, 0.0, 0.0, None, None), (2, "EEG", 0.0, 0.0, 0.0, 31.0, None, None), (3, "EEG", 0.0, 0.0, 0.0, 11.0, None, None), (4, "EEG", None, None, None, None, None, None), (5, "PPG", 0.0, 0.0, 0.0, 0.0, 200.0, None), (6, "PPG", 0.0, 0.0, 0.0, 0.0, 70.0, None), (7, "fNIRS", 0.0, 0.0, 0.0, 31.0, None, 0.4), (8, "fNIRS", 3.0, 0.0, 0.0, 31.0, None, 0.4), (9, "fNIRS", 0.0, 0.0, 0.0, 0.0, None, 0.6)]
+    d = spark.createDataFrame(rows, "id long, modality string, missing_percent double, clipping_percent double, flatline_seconds double, artifact_percent double, median_hr_bpm double, coupling_index double")
+    got = {r.id: (r.label, r.reasons) for r in D.signal_decisions(d, F.col("modality")).collect()}
+    assert got == {1: ("FAIL", "structural_signal_failure"), 2: ("FAIL", "severe_recurrent_artifact"), 3: ("CONDITIONAL_PASS", "moderate_artifact_burden"), 4: ("PASS", "acceptable_qc_metrics"), 5: ("FAIL", "implausible_median_heart_rate"), 6: ("PASS", "stable_pulse_waveform"), 7: ("FAIL", "poor_scalp_coupling"), 8: ("FAIL", "structural_signal_failure"), 9: ("CONDITIONAL_PASS", "marginal_scalp_coupling")}
+
+
+def test_session_rules(spark):
+    signals = spark.createDataFrame([(i, s, "PASS") for i in (1, 2, 3, 4) for s in ("AF3", "AF4", "PPG", "fNIRS_1", "fNIRS_2")] + [(5, "PPG", "PASS"), (6, "AF3", "FAIL"), (6, "AF4", "PASS"), (6, "PPG", "FAIL")], "session_id long, signal string, label string")
+    recordings = spark.createDataFrame([(1, 900.0, 0, 0, 0.0, 1.0), (2, 800.0, 2, 0, 0.0, 1.0), (3, 900.0, 0, 3, 0.0, 11.0), (4, 900.0, 0, 0, 0.0, 11.0), (5, 900.0, 0, 0, 0.0, None), (6, 900.0, 0, 0, 50.0, 1.0), (7, 900.0, 0, 0, None, None)], "session_id long, duration_seconds double, long_intervals long, duplicates long, global_artifact_percent double, rms_ratio double")
+    got = {r.session_id: (r.overall_session_label, r.reasons) for r in D.session_decisions(signals, recordings).collect()}
+    part = "usable_after_cleaning_or_partial_modality_limit"
+    assert got == {1: ("PASS", "all_primary_qc_layers_passed"), 2: ("FAIL", "longest_continuous_block_below_minimum;packet_gaps_detected"), 3: ("CONDITIONAL_PASS", f"duplicate_packet_timestamps;{part};large_eeg_channel_imbalance"), 4: ("CONDITIONAL_PASS", "all_primary_qc_layers_passed;large_eeg_channel_imbalance"), 5: ("CONDITIONAL_PASS", part), 6: ("FAIL", "eeg_and_ppg_failed"), 7: ("FAIL", "severe_multimodal_artifact")}
+
+
+def test_spectra_of_a_tone(spark):
+    t = np.arange(2048) / 128
+    d = series(spark, np.sin(2 * np.pi * 10 * t) + 0.2 * np.sin(2 * np.pi * 50 * t))
+    p = P.power_density(d, ["session_id", "signal"], fs=128.0, size=256)
+    f, want = K.welch(np.sin(2 * np.pi * 10 * t) + 0.2 * np.sin(2 * np.pi * 50 * t), 128.0, 256)
+    assert np.allclose([r.power for r in p.orderBy("bin").collect()], want, atol=1e-9)
+    b = P.band_powers(p, ["session_id", "signal"]).first()
+    assert b.alpha_rel > 0.9 and abs(b.total - 0.5) < 0.02
+    assert P.band_peak(p, ["signal"], 8, 12).first().peak_freq == 10
+    assert [r.freq for r in P.dominant_frequencies(p, ["signal"], most_freq=60).orderBy("rank").collect()][:2] == [10, 50]
+    q = P.quality_ratios(p, ["signal"], 128.0).first()
+    assert q.line_noise_ratio > 5
+    assert P.line_frequencies(50.0, [150.0], [2.0]) == [48, 50, 52, 98, 100, 102, 148, 150, 152]
+
+
+def test_rank_correlation_p(spark):
+    known = [(0.5, 10, 0.14111328), (0.9, 5, 0.03738607), (0.0, 8, 1.0), (1.0, 6, 0.0)]  # from Student's t tables
+    d = spark.createDataFrame([(r, n) for r, n, _ in known] + [(None, 5), (0.5, 2)], "rho double, n long")
+    got = [r.p for r in d.select(B.spearman_p(F.col("rho"), F.col("n")).alias("p")).collect()]
+    assert all(abs(g - w) < 1e-6 for g, (_, _, w) in zip(got, known, strict=False)) and got[4] is None and got[5] is None
+
+
+def test_optional_tables(spark, tmp_path):
+    d = spark.createDataFrame([(1,), (2,)], "k long")
+    assert B.join_optional(d, None, ["k"], {"x": "double"}).collect()[0].x is None
+    assert B.read_if_there(spark, f"{tmp_path}/none.csv", "a int").count() == 0
+    e = spark.createDataFrame([(1, "MEDITATION", 0.0, 50.0)], "session_id long, phase string, start_s double, stop_s double")
+    got = {r.segment: (r.start_s, r.stop_s) for r in B.session_segments(e, "session_id", seconds=20.0).collect()}
+    assert got == {"OVERALL": (0, 50), "MEDITATION": (0, 50), "MEDITATION_WIN01": (0, 20), "MEDITATION_WIN02": (20, 40), "MEDITATION_WIN03": (40, 50)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["qc_session_label", "qc_artifact_intervals", "phase_changes", "ibi_time_domain", "participant_summary", "review_flags", "tier2_spearman", "epoch_phase_label", "epoch_joint_prob", "faster_props", "bad_channels_flat_corr", "step_qc_metrics", "step_coherence"])
+@pytest.mark.parametrize("name", ["qc_session_label", "qc_artifact_intervals", "phase_changes", "ibi_time_domain", "participant_summary", "review_flags", "tier2_spearman", "epoch_phase_label", "epoch_joint_prob", "faster_props", "bad_channels_flat_corr", "step_qc_metrics", "step_coherence", "qc_session_decision", "qc_signal_decisions", "power_density", "alpha_peak", "band_coherence", "event_checks", "phase_segments", "tier_summary", "signal_validity", "wide_phase_variants", "gap_fill_linear", "optical_unpack"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
