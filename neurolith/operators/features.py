@@ -101,14 +101,24 @@ def thirds(segments: DataFrame, start: str, stop: str) -> DataFrame:
 
 
 def outlier_flags(rows: DataFrame, keys: list[str], metrics: list[str], most: float) -> DataFrame:
-    """Add max_abs_robust_z over metrics within keys, and robust_outlier. Flags, never drops."""
-    from neurolith.operators.signal import with_robust_z
-
-    d = rows
-    for m in metrics:
-        d = with_robust_z(d, m, f"_z_{m}", tuple(keys))
-    worst = F.greatest(*[F.coalesce(F.abs(F.col(f"_z_{m}")), F.lit(0.0)) for m in metrics], F.lit(0.0))
-    return d.withColumn("max_abs_robust_z", worst).withColumn("robust_outlier", worst > most).drop(*[f"_z_{m}" for m in metrics])
+    """Add max_abs_robust_z over metrics within keys, and robust_outlier. Flags, never drops.
+
+    Medians and deviations are aggregates with partial counts, joined back by the keys (nulls are a group), so a few large
+    groups are not sorted in a few tasks. Without a deviation the standard one stands in, and 0 without that.
+    """
+    same = lambda t: [F.col(k).eqNullSafe(t[f"_k_{k}"]) for k in keys]
+    named = [F.col(k).alias(f"_k_{k}") for k in keys]
+    mid = rows.groupBy(*named).agg(*[F.median(m).alias(f"_m_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"_sd_{m}") for m in metrics])
+    d = rows.join(mid, same(mid))
+    mad = d.groupBy(*named).agg(*[F.median(F.abs(F.col(m) - F.col(f"_m_{m}"))).alias(f"_mad_{m}") for m in metrics])
+    d = d.drop(*[f"_k_{k}" for k in keys]).join(mad, same(mad))
+
+    def z(m: str) -> Column:
+        x = F.abs(F.col(m) - F.col(f"_m_{m}"))
+        return F.coalesce(F.when(F.col(f"_mad_{m}") > 0, 0.67448975 * x / F.col(f"_mad_{m}")).when(F.col(f"_sd_{m}") > 0, x / F.col(f"_sd_{m}")), F.lit(0.0))
+
+    worst = F.greatest(*[z(m) for m in metrics], F.lit(0.0))
+    return d.withColumn("max_abs_robust_z", worst).withColumn("robust_outlier", F.col("max_abs_robust_z") > most).select(*rows.columns, "max_abs_robust_z", "robust_outlier")
 
 
 #: Flags that only describe statistics and do not fail a row.

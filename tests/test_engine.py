@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from neurolith.operators import cleaning as C
 from neurolith.operators import epochs as E
 from neurolith.operators import features as X
 from neurolith.operators import kernels as K
@@ -337,6 +338,17 @@ def test_rank_correlation_p(spark):
     assert all(abs(g - w) < 1e-6 for g, (_, _, w) in zip(got, known, strict=False)) and got[4] is None and got[5] is None
 
 
+def test_line_is_removed(spark):
+    t = np.arange(2440) / 244
+    d = series(spark, np.sin(2 * np.pi * 50 * t + 0.3) + np.sin(2 * np.pi * 9 * t))
+    got = np.array([r.cleaned for r in C.remove_line(d, ["session_id", "signal"], fs=244.0, freqs=[50.0]).orderBy("sample_idx").collect()])
+    assert np.abs(got - np.sin(2 * np.pi * 9 * t)).max() < 0.05
+    for n, block in ((103, 25), (7, 40), (100, 25)):
+        want = np.repeat(np.arange(k := max(1, round(n / block))), [len(x) for x in np.array_split(np.arange(n), k)])
+        got = spark.range(n).select(C.block_of(F.col("id"), F.lit(n), block).alias("b")).collect()
+        assert [r.b for r in got] == want.tolist()
+
+
 def test_optional_tables(spark, tmp_path):
     d = spark.createDataFrame([(1,), (2,)], "k long")
     assert B.join_optional(d, None, ["k"], {"x": "double"}).collect()[0].x is None
@@ -347,7 +359,7 @@ def test_optional_tables(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["qc_session_label", "qc_artifact_intervals", "phase_changes", "ibi_time_domain", "participant_summary", "review_flags", "tier2_spearman", "epoch_phase_label", "epoch_joint_prob", "faster_props", "bad_channels_flat_corr", "step_qc_metrics", "step_coherence", "qc_session_decision", "qc_signal_decisions", "power_density", "alpha_peak", "band_coherence", "event_checks", "phase_segments", "tier_summary", "signal_validity", "wide_phase_variants", "gap_fill_linear", "optical_unpack"])
+@pytest.mark.parametrize("name", ["qc_session_label", "qc_artifact_intervals", "phase_changes", "ibi_time_domain", "participant_summary", "review_flags", "tier2_spearman", "epoch_phase_label", "epoch_joint_prob", "faster_props", "bad_channels_flat_corr", "step_qc_metrics", "step_coherence", "qc_session_decision", "qc_signal_decisions", "power_density", "alpha_peak", "band_coherence", "event_checks", "phase_segments", "tier_summary", "signal_validity", "wide_phase_variants", "gap_fill_linear", "optical_unpack", "sine_regression", "event_epochs", "bayes_shrink_blocks", "robust_outlier_flags"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
