@@ -21,6 +21,7 @@ from neurolith.operators import signal as S
 from neurolith.operators import spectra as P
 from neurolith.operators import study as T
 from neurolith.operators import tables as B
+from neurolith.operators import wavelets as V
 from neurolith.plans import registry
 from neurolith.sources import recordings as R
 
@@ -373,3 +374,33 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     names = sorted(got.columns)
     assert table(got.select(*names).toPandas().astype(object).to_numpy()) == table(want[names].astype(object).to_numpy())
+
+
+@pytest.mark.parametrize("wavelet", ["db4", "coif4", "bior4.4"])
+def test_wavelet_round_trip(spark, wavelet):
+    x = np.random.default_rng(3).normal(size=301).cumsum()
+    c = V.decompose(series(spark, x), ["signal"], wavelet=wavelet, level=4, periodic=True)
+    depth = {"db4": 4, "coif4": 3, "bior4.4": 4}[wavelet]
+    got = {(r.band): r["count"] for r in c.groupBy("band").count().collect()}
+    assert got == {0: -(-301 // 2**depth), **{l: -(-301 // 2**l) for l in range(1, depth + 1)}}
+    back = V.reconstruct(c, ["signal"], wavelet=wavelet, level=4).orderBy("sample_idx").toPandas()
+    assert list(back.sample_idx) == list(range(301)) and np.allclose(back.value, x, atol=1e-7)
+
+
+def test_wavelet_symmetric_edges(spark):
+    x = np.random.default_rng(4).normal(size=37)
+    low, high, _, _ = V.filters("db4")
+    wide = np.concatenate([x[6::-1], x, x[:-8:-1]])
+    c = V.decompose(series(spark, x), ["signal"], wavelet="db4", level=1).toPandas()
+    for band, h in ((0, low), (1, high)):
+        want = [sum(h[j] * wide[7 + 2 * k + 1 - j] for j in range(8)) for k in range(22)]
+        assert np.allclose(c[c.band == band].sort_values("k").value, want)
+
+
+def test_wavelet_clean_edges(spark):
+    short = V.wavelet_clean(series(spark, [1, 2, None]), ["session_id", "signal"], fs=4.0, wavelet="bior4.4", level=3).orderBy("sample_idx").toPandas()
+    assert list(short.artifact) == [0, 0, 0] and list(short.cleaned[:2]) == [1, 2] and np.isnan(short.cleaned[2])
+    assert V.wavelet_clean(series(spark, [1]).limit(0), ["session_id", "signal"], fs=4.0, wavelet="bior4.4", level=3).count() == 0
+    x = np.sin(np.arange(400) / 5) + np.where(np.arange(400) == 200, 50.0, 0.0)
+    d = V.wavelet_clean(series(spark, x), ["session_id", "signal"], fs=100.0, wavelet="bior4.4", level=3, block_seconds=1.0).orderBy("sample_idx").toPandas()
+    assert abs(d.cleaned[200]) < 0.6 * x[200] and np.allclose(d.cleaned + d.artifact, x)
