@@ -57,6 +57,7 @@ def decompose(samples: DataFrame, keys: list[str], *, wavelet: str, level: int,
     d = samples.join(n, keys).select(*keys, "n", depth(F.col("n"), level, taps).alias("depth"), F.lit(0).alias("band"), F.col("sample_idx").cast("long").alias("k"), F.coalesce(F.col(value), F.lit(0.0)).cast("double").alias("value"))
     size = sizes(F.col("n"), level, taps, periodic)
     pairs = [F.array(*[F.struct(F.lit(j).alias("j"), F.lit(low[j]).alias("lo"), F.lit(high[j]).alias("hi")) for j in range(odd, taps, 2)]) for odd in (0, 1)]
+    as_is = F.array(F.struct(F.lit(0).alias("j"), F.lit(1.0).alias("lo"), F.lit(0.0).alias("hi")))
     k, v = F.col("k"), F.col("value")
     for l in range(1, level + 1):
         m, shift = size[l - 1], taps // 2 if periodic else 1
@@ -65,17 +66,14 @@ def decompose(samples: DataFrame, keys: list[str], *, wavelet: str, level: int,
         else:
             places = F.array_compact(F.array(k, F.when(k < taps - 1, -k - 1), F.when(m - 1 - k < taps - 1, 2 * m - 1 - k)))
 
-        def spread(p: Column) -> Column:
-            to = lambda t: (p + t["j"] - shift) / 2
-            at = (lambda t: F.pmod(to(t), F.ceil(m / 2))) if periodic else to
-            chosen = F.when(F.pmod(p - shift, F.lit(2)) == 0, pairs[0]).otherwise(pairs[1])
-            return F.transform(chosen, lambda t: F.struct(at(t).cast("long").alias("k"), (t["lo"] * v).alias("lo"), (t["hi"] * v).alias("hi")))
-
         goes_on = (F.col("band") == 0) & (F.col("depth") >= l)
-        still = F.array(F.struct(k.alias("k"), v.alias("lo"), F.lit(None).cast("double").alias("hi")))
-        d = d.withColumn("_c", F.explode(F.when(goes_on, F.flatten(F.transform(places, spread))).otherwise(still)))
-        d = d.filter(~goes_on | ((F.col("_c.k") >= 0) & (F.col("_c.k") < size[l])))
-        d = d.groupBy(*keys, "n", "depth", "band", F.col("_c.k").alias("k")).agg(F.sum("_c.lo").alias("_lo"), F.sum("_c.hi").alias("_hi"))
+        d = d.withColumn("_p", F.explode(F.when(goes_on, places).otherwise(F.array(k))))
+        even = F.pmod(F.col("_p") - shift, F.lit(2)) == 0
+        d = d.withColumn("_t", F.explode(F.when(~goes_on, as_is).when(even, pairs[0]).otherwise(pairs[1])))
+        to = (F.col("_p") + F.col("_t.j") - shift) / 2
+        to = F.when(goes_on, F.pmod(to, F.ceil(m / 2)) if periodic else to).otherwise(k).cast("long")
+        d = d.withColumn("_k", to).filter(~goes_on | ((F.col("_k") >= 0) & (F.col("_k") < size[l])))
+        d = d.groupBy(*keys, "n", "depth", "band", F.col("_k").alias("k")).agg(F.sum(F.col("_t.lo") * v).alias("_lo"), F.sum(F.col("_t.hi") * v).alias("_hi"))
         rows = F.array(F.struct(F.col("band"), F.col("_lo").alias("value")), F.struct(F.lit(l).alias("band"), F.col("_hi").alias("value")))
         d = d.withColumn("_r", F.explode(F.when(goes_on, rows).otherwise(F.slice(rows, 1, 1)))).select(*keys, "n", "depth", "_r.band", "k", "_r.value")
     return d
@@ -88,14 +86,15 @@ def reconstruct(coefficients: DataFrame, keys: list[str], *, wavelet: str, level
     d, size = coefficients.select(*keys, "n", "depth", "band", "k", "value"), sizes(F.col("n"), level, taps, True)
     k, v = F.col("k"), F.col("value")
     pair = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(low[j]).alias("lo"), F.lit(high[j]).alias("hi")) for j in range(taps)])
+    as_is = F.array(F.struct(F.lit(0).alias("j"), F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi")))
     for l in range(level, 0, -1):
         m = size[l - 1]
         joins = (F.col("depth") >= l) & F.col("band").isin(0, l)
-        at = lambda t: F.pmod(2 * k + t["j"] - (taps // 2 - 1), m + m % 2).cast("long")  # noqa: E731, B023
-        spread = F.transform(pair, lambda t: F.struct(at(t).alias("k"), (F.when(F.col("band") == 0, t["lo"]).otherwise(t["hi"]) * v).alias("v")))  # noqa: B023
-        d = d.withColumn("_c", F.explode(F.when(joins, spread).otherwise(F.array(F.struct(k.alias("k"), v.alias("v"))))))
-        d = d.filter(~joins | (F.col("_c.k") < m)).withColumn("band", F.when(joins, 0).otherwise(F.col("band")))
-        d = d.groupBy(*keys, "n", "depth", "band", F.col("_c.k").alias("k")).agg(F.sum("_c.v").alias("value"))
+        d = d.withColumn("_t", F.explode(F.when(joins, pair).otherwise(as_is)))
+        to = F.when(joins, F.pmod(2 * k + F.col("_t.j") - (taps // 2 - 1), m + m % 2)).otherwise(k).cast("long")
+        part = F.when(F.col("band") == 0, F.col("_t.lo")).otherwise(F.col("_t.hi")) * v
+        d = d.select(*keys, "n", "depth", F.when(joins, 0).otherwise(F.col("band")).alias("band"), to.alias("_k"), part.alias("_v"), joins.alias("_j"))
+        d = d.filter(~F.col("_j") | (F.col("_k") < m)).groupBy(*keys, "n", "depth", "band", F.col("_k").alias("k")).agg(F.sum("_v").alias("value"))
     return d.select(*keys, F.col("k").alias("sample_idx"), "value")
 
 
