@@ -20,7 +20,9 @@ def path_factor(wavelength: float, age: float = AGE) -> float:
 
 
 def optical_density(intensity: Column, reference: Column) -> Column:
-    return F.lit(0.0) - F.log10(F.greatest(intensity, F.lit(1e-6)) / F.greatest(reference, F.lit(1e-6)))
+    """Null where the intensity or the reference is: greatest() alone would take the floor for a missing one."""
+    floor = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(1e-6)))
+    return F.lit(0.0) - F.log10(floor(intensity) / floor(reference))
 
 
 def concentrations(od_740: Column, od_850: Column) -> dict[str, Column]:
@@ -46,7 +48,7 @@ PHASES = ("REST_BEFORE", "MEDITATION", "REST_AFTER")
 
 
 def phase_features(samples: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    """mean, median, sd, mad, iqr, ptp, trimmed10, slope per minute, auc and valid_seconds of value for each key.
+    """mean, median, sd, mad, iqr, ptp, min, max, trimmed10, slope per minute, auc and valid_seconds of value for each key.
 
     The median, the rank and the neighbour need the group's order: one shuffle, two windows on the same key.
     """
@@ -58,7 +60,7 @@ def phase_features(samples: DataFrame, keys: list[str], fs: float) -> DataFrame:
     x = F.col("value")
     return d.groupBy(*keys).agg(
         F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("sd"), (1.4826 * F.median(F.abs(x - F.col("_m")))).alias("mad"),
-        (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"), (F.max(x) - F.min(x)).alias("ptp"),
+        (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"), (F.max(x) - F.min(x)).alias("ptp"), F.min(x).alias("min"), F.max(x).alias("max"),
         F.avg(F.when((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut), x)).alias("trimmed10"),
         F.regr_slope(x, t).alias("slope_per_min"), (F.sum((x + F.col("_prev")) / 2) / fs).alias("auc"), (F.count(x) / fs).alias("valid_seconds"),
     )
@@ -145,23 +147,25 @@ def label_epochs(epochs: DataFrame, annotations: DataFrame, keys: list[str]) ->
 # --- intervals of beats and breaths ------------------------------------------------------------------------------------
 
 
-def intervals(beats: DataFrame, key: str, at: str, scale: float, low: float, high: float) -> DataFrame:
-    """(key, at, ibi): the time from the beat before, where it is within [low, high]."""
-    gap = (F.col(at) - F.lag(at).over(Window.partitionBy(key).orderBy(at))) * scale
-    return beats.withColumn("ibi", gap).filter(F.col("ibi").between(low, high)).select(key, at, "ibi")
+def intervals(beats: DataFrame, key: str | list[str], at: str, scale: float, low: float, high: float) -> DataFrame:
+    """(key, at, ibi): the time from the beat before, where it is within [low, high]. key is a column or a list of them."""
+    keys = [key] if isinstance(key, str) else key
+    gap = (F.col(at) - F.lag(at).over(Window.partitionBy(*keys).orderBy(at))) * scale
+    return beats.withColumn("ibi", gap).filter(F.col("ibi").between(low, high)).select(*keys, at, "ibi")
 
 
-def hrv(ibi: DataFrame, key: str, at: str) -> DataFrame:
+def hrv(ibi: DataFrame, key: str | list[str], at: str) -> DataFrame:
     """heart rate, RMSSD, SDRR, pRR50 and pRR20 in ms and percent; null with fewer than two intervals."""
-    d = ibi.withColumn("_d", (F.col("ibi") - F.lag("ibi").over(Window.partitionBy(key).orderBy(at))) * 1000)
+    keys = [key] if isinstance(key, str) else key
+    d = ibi.withColumn("_d", (F.col("ibi") - F.lag("ibi").over(Window.partitionBy(*keys).orderBy(at))) * 1000)
     n = F.count("ibi")
-    g = d.groupBy(key).agg(n.alias("n_ibi"), F.when(n > 1, 60 / F.avg("ibi")).alias("hr_bpm"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmssd_ms"), (F.stddev_samp("ibi") * 1000).alias("sdrr_ms"), (F.avg((F.abs("_d") > 50).cast("double")) * 100).alias("prr50"), (F.avg((F.abs("_d") > 20).cast("double")) * 100).alias("prr20"), F.sum("ibi").alias("seconds"))
+    g = d.groupBy(*keys).agg(n.alias("n_ibi"), F.when(n > 1, 60 / F.avg("ibi")).alias("hr_bpm"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rmssd_ms"), (F.stddev_samp("ibi") * 1000).alias("sdrr_ms"), (F.avg((F.abs("_d") > 50).cast("double")) * 100).alias("prr50"), (F.avg((F.abs("_d") > 20).cast("double")) * 100).alias("prr20"), F.sum("ibi").alias("seconds"))
     return g.withColumn("quality_flag", F.when(F.col("hr_bpm").isNull(), "NO_VALID_IBI").when(F.col("seconds") < 30, "SHORT_SEGMENT").when(F.col("n_ibi") < 10, "LOW_BEAT_COUNT").otherwise("OK"))
 
 
-def breathing(bbi: DataFrame, key: str) -> DataFrame:
+def breathing(bbi: DataFrame, key: str | list[str]) -> DataFrame:
     """Breaths a minute, their variation in percent, and a flag."""
-    g = bbi.groupBy(key).agg(F.count("ibi").alias("n_bbi"), (60 / F.avg("ibi")).alias("resp_rate"), (F.stddev_samp("ibi") / F.avg("ibi") * 100).alias("resp_cv"), F.sum("ibi").alias("seconds"))
+    g = bbi.groupBy(*([key] if isinstance(key, str) else key)).agg(F.count("ibi").alias("n_bbi"), (60 / F.avg("ibi")).alias("resp_rate"), (F.stddev_samp("ibi") / F.avg("ibi") * 100).alias("resp_cv"), F.sum("ibi").alias("seconds"))
     return g.withColumn("quality_flag", F.when(F.col("resp_rate").isNull(), "NO_VALID_BREATHS").when(F.col("seconds") < 30, "SHORT_SEGMENT").when(F.col("n_bbi") < 3, "LOW_BREATH_COUNT").otherwise("OK"))
 
 

@@ -137,15 +137,15 @@ def welch(x: np.ndarray, fs: float, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.rfftfreq(size, 1 / fs), power
 
 
-def biweight_derivative(x: np.ndarray, fs: float, cutoff: float = 0.5, order: int = 3, tune: float = 4.685) -> np.ndarray:
+def biweight_repair(x: np.ndarray, fs: float, cutoff: float = 0.5, order: int = 3, tune: float = 4.685) -> tuple[np.ndarray, np.ndarray]:
     """Temporal derivative distribution repair: outlying derivatives of the slow part are weighed down, then summed up.
 
-    In each round the derivatives lose their weighted mean and get biweights by their weighted spread, until that mean is
-    at most 1e-8, the spread under 1e-12, or 50 rounds are over. The slow part starts where it started; the fast part
-    returns as it was. Series of less than four seconds stay as they are.
+    Gives the repaired series and the weight of each step. In each round the derivatives lose their weighted mean and get
+    biweights by their weighted spread, until that mean is at most 1e-8, the spread under 1e-12, or 50 rounds are over. The
+    slow part starts where it started; the fast part returns as it was. Series of less than four seconds stay as they are.
     """
     if len(x) < int(4 * fs):
-        return x.copy()
+        return x.copy(), np.ones(max(len(x) - 1, 0))
     slow = one_sided(x, fs, cutoff, "low", order)
     d, w = np.diff(slow), np.ones(len(x) - 1)
     for _ in range(50):
@@ -157,7 +157,21 @@ def biweight_derivative(x: np.ndarray, fs: float, cutoff: float = 0.5, order: in
         w = np.clip(1 - (d / (spread * tune)) ** 2, 0.0, None) ** 2
         if abs(mean) <= 1e-8:
             break
-    return np.concatenate([[slow[0]], slow[0] + np.cumsum(w * d)]) + (x - slow)
+    return np.concatenate([[slow[0]], slow[0] + np.cumsum(w * d)]) + (x - slow), w
+
+
+def biweight_derivative(x: np.ndarray, fs: float, cutoff: float = 0.5, order: int = 3, tune: float = 4.685) -> np.ndarray:
+    """The series that biweight_repair gives, without the weights."""
+    return biweight_repair(x, fs, cutoff, order, tune)[0]
+
+
+def median_slope(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The median slope of all pairs of points with different x, and the line's height at 0 through both medians. The pairs
+    are n squared: for binned points."""
+    i, j = np.triu_indices(len(x), 1)
+    dx = x[j] - x[i]
+    slope = float(np.median((y[j] - y[i])[dx != 0] / dx[dx != 0]))
+    return slope, float(np.median(y) - slope * np.median(x))
 
 
 def peaks(x: np.ndarray, apart: int, prominence: float = 0.0) -> np.ndarray:
@@ -216,9 +230,9 @@ def band_pass(samples: DataFrame, keys: list[str], *, fs: float, low: float, hig
     return _each(samples, keys, f, "sample_idx long, filtered double")
 
 
-def tddr(samples: DataFrame, keys: list[str], *, fs: float) -> DataFrame:
+def tddr(samples: DataFrame, keys: list[str], *, fs: float, cutoff: float = 0.5) -> DataFrame:
     def f(key, rows):
-        return rows[[*keys, "sample_idx"]].assign(repaired=biweight_derivative(filled(rows.value.to_numpy(float)), fs))
+        return rows[[*keys, "sample_idx"]].assign(repaired=biweight_derivative(filled(rows.value.to_numpy(float)), fs, cutoff))
 
     return _each(samples, keys, f, "sample_idx long, repaired double")
 

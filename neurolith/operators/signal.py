@@ -202,11 +202,16 @@ def downsample(samples: DataFrame, most: int) -> DataFrame:
     return d.groupBy(*KEYS, "bin").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
+def even_bin(place: Column, n: Column, bins: int) -> Column:
+    """Which of `bins` parts of nearly equal counts a place among n lies in: cuts at floor(k n / bins); fewer parts where n is less."""
+    at = F.floor((place * bins + bins - 1) / n)
+    return F.when(F.floor(at * n / bins) > place, at - 1).otherwise(at)
+
+
 def even_bins(samples: DataFrame, bins: int) -> DataFrame:
     """Bins of nearly equal counts per signal: bin, its median and the median of its places."""
-    n = F.count(F.lit(1)).over(by(*KEYS))
-    d = samples.withColumn("_n", n).withColumn("bin", F.floor((F.col("sample_idx") * bins + bins - 1) / F.col("_n")))
-    d = d.withColumn("bin", F.when(F.floor(F.col("bin") * F.col("_n") / bins) > F.col("sample_idx"), F.col("bin") - 1).otherwise(F.col("bin")))
+    d = samples.withColumn("_n", F.count(F.lit(1)).over(by(*KEYS)))
+    d = d.withColumn("bin", even_bin(F.col("sample_idx"), F.col("_n"), bins))
     return d.groupBy(*KEYS, "bin").agg(F.median("value").alias("value"), F.median("sample_idx").alias("place"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import io
 import struct
 from collections.abc import Iterable
 
@@ -84,6 +85,108 @@ def unpack_optical(rows: DataFrame, keys: Iterable[str], row_idx: str = "row_idx
     return d.withColumn("sample_idx", F.col("_p") * optical + F.col("_o")).drop("_n", "_p", "_o")
 
 
+def file_identity(path: Column) -> dict[str, Column]:
+    """participant_key, study_day and session_id_short from a file name <participant>_day<number>_<hex>.fif; null where it has none."""
+    name = F.regexp_extract(path, r"([^/\\\\]*)$", 1)
+    part = lambda pattern: F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
+    return {"participant_key": part("^(.+?)_day"), "study_day": part(r"_day(\d+)_").cast("int"), "session_id_short": part(r"_day\d+_([0-9a-f]+)\.fif$")}
+
+
+def block_rows(rows: DataFrame, keys: list[str], first_packet: int, last_packet: int, packet: int = PACKET) -> DataFrame:
+    """The rows of the packets first to last, both included, with row_idx and packet_id counted from 0 again."""
+    d = rows.filter(F.col("packet_id").between(first_packet, last_packet))
+    return d.select(*keys, *[c for c in d.columns if c not in (*keys, "row_idx", "packet_id")], (F.col("row_idx") - first_packet * packet).alias("row_idx"), (F.col("packet_id") - first_packet).alias("packet_id"))
+
+
+def optical_table(rows: DataFrame, keys: list[str], fs: float = 100.0) -> DataFrame:
+    """Device rows as an optical table: sample_index, time_seconds, packet_timestamp (that of the packet's first row),
+    fnirs_1_raw and fnirs_2_raw, whole packets only."""
+    d = unpack_optical(rows, keys)
+    stamp = F.first("timestamp").over(Window.partitionBy(*keys, "packet_id").orderBy("row_idx"))
+    return d.select(*keys, F.col("sample_idx").alias("sample_index"), (F.col("sample_idx") / fs).alias("time_seconds"), stamp.alias("packet_timestamp"), F.col("fnirs_1").alias("fnirs_1_raw"), F.col("fnirs_2").alias("fnirs_2_raw"))
+
+
+def read_optical(spark: SparkSession, path: str, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (file, sample_idx, the columns as numbers) of all files called `name` under a path, and one row for each file
+    with its flag: EMPTY_FILE without rows below the header, INVALID_COLUMNS where the header lacks one, null else.
+
+    Each file is read by its own header, so files may hold other columns, in any order. Fields are numbers: no quotes.
+    Spark lists no files of zero bytes; they count as missing.
+    """
+    at = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(path).select(at, F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\s+$", "").alias("_line"))
+    head = lines.groupBy("file").agg(F.min("_id").alias("_first"), F.min_by("_line", "_id").alias("_head"), (F.count_if(F.col("_line") != "") - 1).alias("_rows"))
+    names = F.transform(F.split("_head", ","), lambda x: F.trim(x))
+    head = head.withColumn("_names", names).withColumn("_ok", F.size(F.array_except(F.array(*[F.lit(c) for c in columns]), "_names")) == 0)
+    flags = head.select("file", F.when(F.col("_rows") <= 0, "EMPTY_FILE").when(~F.col("_ok"), "INVALID_COLUMNS").alias("flag"))
+    fields = F.split("_line", ",")
+    d = lines.join(head.filter("_ok"), "file").filter((F.col("_id") > F.col("_first")) & (F.col("_line") != ""))
+    value = lambda c: numeric(F.get(fields, F.array_position("_names", c).cast("int") - 1)).alias(c)
+    d = d.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("_id")) - 1).cast("long").alias("sample_idx"), *[value(c) for c in columns])
+    return d, flags
+
+
+def read_optical_sessions(spark: SparkSession, path: str, raw: str = "fnirs_raw.csv", fallback: str = "fnirs_hbo_hbr.csv") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(intensities, concentrations, sessions): a session is a folder, and its raw table is taken before its concentrations.
+
+    intensities hold folder, sample_idx, time_seconds, i740, i850; concentrations hbo and hbr instead, for sessions without a
+    raw table that can be read. sessions say which stage each one has (null for none) and the flags of its files, MISSING_FILE
+    among them.
+    """
+    folder = F.regexp_replace("file", r"/[^/]*$", "").alias("folder")
+    (a, fa), (b, fb) = read_optical(spark, path, ["time_seconds", "fnirs_1_raw", "fnirs_2_raw"], raw), read_optical(spark, path, ["time_seconds", "HbO_uM", "HbR_uM"], fallback)
+    seen = lambda f, kind: f.select(folder, F.lit(True).alias(f"_{kind}"), F.col("flag").alias(f"_{kind}_flag"))
+    s = seen(fa, "raw").join(seen(fb, "conc"), "folder", "full")
+    good = lambda kind: F.coalesce(F.col(f"_{kind}") & F.col(f"_{kind}_flag").isNull(), F.lit(False))
+    s = s.withColumn("input_signal_stage", F.when(good("raw"), "raw_intensity").when(good("conc"), "concentration_fallback"))
+    missing = lambda kind: F.when(F.col(f"_{kind}").isNull(), "MISSING_FILE").otherwise(F.col(f"_{kind}_flag"))
+    flags = F.array_distinct(F.array_compact(F.array(missing("raw"), F.when(~good("raw"), missing("conc")))))
+    sessions = s.select("folder", "input_signal_stage", F.array_join(flags, ";").alias("input_qc_flags"))
+    second = sessions.filter("input_signal_stage = 'concentration_fallback'").select("folder")
+    x = a.select(folder, "sample_idx", "time_seconds", F.col("fnirs_1_raw").alias("i740"), F.col("fnirs_2_raw").alias("i850"))
+    y = b.select(folder, "sample_idx", "time_seconds", F.col("HbO_uM").alias("hbo"), F.col("HbR_uM").alias("hbr")).join(second, "folder", "left_semi")
+    return x, y, sessions
+
+
+def load_errors(samples: DataFrame, key: str, signal: str = "signal", fs: str | None = None) -> DataFrame:
+    """(key, error_type, message) of recordings that cannot be worked on: without a signal, without a number, or with a rate
+    that is not above 0. One aggregate; rows for the table of errors."""
+    g = samples.groupBy(key).agg(F.count(signal).alias("_signals"), F.count(F.when(~F.isnan("value") & (F.abs("value") < float("inf")), 1)).alias("_numbers"), (F.min(fs) if fs else F.lit(1.0)).alias("_fs"))
+    message = F.when(F.col("_signals") == 0, "no channel").when(F.coalesce(F.col("_fs"), F.lit(0.0)) <= 0, "sampling rate is not above 0").when(F.col("_numbers") == 0, "no finite sample")
+    return g.select(key, F.lit("LoadFail").alias("error_type"), message.alias("message")).filter("message IS NOT NULL")
+
+
+def read_matrices(spark: SparkSession, path: str, fs: float) -> DataFrame:
+    """file, signal (E1, E2, ...), fs, sample_idx, value, error of every .npy file under a path.
+
+    Rows are channels; a matrix with more rows than columns is turned. What is not a matrix of numbers gives one row with its
+    error. One file is one task's work: a matrix has no parts that can be read alone.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+
+    def decode(batches):
+        for batch in batches:
+            for name, content in zip(batch.path, batch.content, strict=True):
+                try:
+                    x = np.load(io.BytesIO(bytes(content)), allow_pickle=False).astype(float)
+                    if x.ndim != 2:
+                        raise ValueError(f"{x.ndim} dimensions instead of 2")
+                except (ValueError, TypeError, EOFError) as e:
+                    yield pd.DataFrame({"file": [name], "signal": [None], "fs": [None], "sample_idx": pd.array([None], "Int64"), "value": [None], "error": [f"{type(e).__name__}: {e}"]})
+                    continue
+                for i, row in enumerate(x.T if x.shape[0] > x.shape[1] else x):
+                    yield pd.DataFrame({"file": name, "signal": f"E{i + 1}", "fs": float(fs), "sample_idx": np.arange(len(row)), "value": row, "error": None})
+
+    return files.mapInPandas(decode, "file string, signal string, fs double, sample_idx long, value double, error string")
+
+
+def edf_durations(spark: SparkSession, path: str) -> DataFrame:
+    """file and seconds of every EDF file, from two fields of its header; null where they are no numbers."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.edf").load(path)
+    field = lambda start: numeric(F.trim(F.substring(F.col("content"), start, 8).cast("string")))
+    return files.select(F.col("path").alias("file"), (field(237) * field(245)).alias("seconds"))
+
+
 def block_times(timestamp: Column) -> Column:
     """A number as a time: milliseconds over 1e10, seconds over 1e9, else null."""
     return F.when(timestamp > 1e10, F.timestamp_millis(timestamp.cast("long"))).when(timestamp > 1e9, F.timestamp_seconds(timestamp))
