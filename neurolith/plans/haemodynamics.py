@@ -83,6 +83,11 @@ def _session(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 METRICS = ["mean", "median", "sd", "mad", "iqr", "ptp", "min", "max", "trimmed10", "slope_per_min", "auc", "valid_seconds", "robust_slope_per_min", "finite_fraction", *[f"{m}_delta" for m in (*H.SHIFTED, "auc")]]
 
 
+def places(metric: str) -> int:
+    """Decimals to compare by: a MAD of hundredths has seven, and must not be cut at a half."""
+    return 8 if metric == "mad" else 5
+
+
 @query("haemo_phase_metrics", EVENTS + """, x AS (SELECT l.session_id, phase, variant, l.signal, value, sample_idx, sample_idx - a AS place, b - a AS sz FROM l JOIN sg ON l.session_id = sg.session_id AND sample_idx >= a AND sample_idx < b),
 q AS (SELECT *, median(value) OVER k AS m, count(*) OVER k AS n, row_number() OVER (k ORDER BY value, sample_idx) AS r, lag(value) OVER (k ORDER BY sample_idx) AS prev FROM x WINDOW k AS (PARTITION BY session_id, phase, variant, signal)),
 pf AS (SELECT session_id, phase, variant, signal, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS sd, 1.4826 * median(abs(value - m)) AS mad, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, max(value) - min(value) AS ptp, min(value) AS min, max(value) AS max,
@@ -90,11 +95,11 @@ pf AS (SELECT session_id, phase, variant, signal, avg(value) AS mean, median(val
 tb AS (SELECT session_id, phase, variant, signal, (SELECT max(k) FROM range(20) t(k) WHERE k * sz // 20 <= place) AS bin, value, place FROM x), tc AS (SELECT session_id, phase, variant, signal, bin, median(value) AS y, median(place) AS xx FROM tb GROUP BY ALL),
 tp AS (SELECT p.session_id, p.phase, p.variant, p.signal, median((o.y - p.y) / (o.xx - p.xx)) * 60 AS robust_slope_per_min FROM tc p JOIN tc o ON p.session_id = o.session_id AND p.phase = o.phase AND p.variant = o.variant AND p.signal = o.signal AND p.xx < o.xx GROUP BY ALL),
 z AS (SELECT pf.*, CASE WHEN valid_seconds >= 4 THEN robust_slope_per_min END AS robust_slope_per_min, 1.0::DOUBLE AS finite_fraction, mean - baseline AS mean_delta, median - baseline AS median_delta, trimmed10 - baseline AS trimmed10_delta, min - baseline AS min_delta, max - baseline AS max_delta, auc - baseline * (valid_seconds - 1) AS auc_delta FROM pf LEFT JOIN bl USING (session_id, signal) LEFT JOIN tp USING (session_id, phase, variant, signal))
-SELECT session_id, phase, variant, signal, """ + ", ".join(f'round("{m}", 5) + 0.0 AS "{m}"' for m in METRICS) + " FROM z")
+SELECT session_id, phase, variant, signal, """ + ", ".join(f'round("{m}", {places(m)}) + 0.0 AS "{m}"' for m in METRICS) + " FROM z")
 def haemo_phase_metrics(spark, sf):
     c, segments, baseline = _session(spark, sf)
     d = H.phase_metrics(c, segments, baseline, ["session_id"], fs=1.0, bins=20)
-    return d.select("session_id", "phase", "variant", "signal", *[(F.round(m, 5) + 0.0).alias(m) for m in METRICS])
+    return d.select("session_id", "phase", "variant", "signal", *[(F.round(m, places(m)) + 0.0).alias(m) for m in METRICS])
 
 
 @query("haemo_segment_flags", EVENTS + """ SELECT session_id, phase, variant, a AS start_idx, b AS stop_idx, CAST(b - a AS DOUBLE) AS duration_seconds, 0.0::DOUBLE AS hbt_residual,
