@@ -121,12 +121,13 @@ def arrow_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of every word of the texts that lie end to end in data; no word crosses texts."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of every word of the texts that lie end to end in data; no word crosses texts. gap says of
+    each byte whether it lies between words."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()

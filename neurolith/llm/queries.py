@@ -1,11 +1,11 @@
-"""The corpus operators' queries, op1 to op10 and the pipeline, with the SQL of those that SQL can express."""
+"""The corpus operators' queries, op1 to op13 and the pipeline, with the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from neurolith.llm import jaccard_join, line_cleaning, mixing, ngram_lm, packing, secrets, sharding, suffix_dedup, toxicity, vp_search
+from neurolith.llm import jaccard_join, lexical_search, line_cleaning, line_dedup, mixing, ngram_lm, packing, prefix_trie, secrets, sharding, suffix_dedup, toxicity, vp_search
 from neurolith.llm.common import table
 
 
@@ -49,5 +49,17 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_search.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_lm_scoring, op4_quality, op5_secrets, op6_packing, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_neighbours)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op1_mixing": mixing.oracle(), "op4_quality": line_cleaning.oracle(), "op10_neighbours": vp_search.ORACLE}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_lm_scoring, op4_quality, op5_secrets, op6_packing, op7_toxicity, op8_jaccard_join, op9_suffix_dedup, op10_neighbours, op11_line_dedup, op12_lexical_search, op13_prefix_trie)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op1_mixing": mixing.oracle(), "op4_quality": line_cleaning.oracle(), "op10_neighbours": vp_search.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
