@@ -61,7 +61,8 @@ METRICS = ["mean", "median", "sd", "mad", "iqr", "ptp", "trimmed10", "slope_per_
 
 @query("phase_features", FEATURES + "SELECT session_id, signal, phase, " + ", ".join(f'round({m}, {6 if m in ("auc", "trimmed10") else 4}) AS "{m}"' for m in METRICS) + " FROM pf")
 def phase_features(spark, sf):
-    return rounded(X.phase_features(phases(spark, sf), KEYS, 100.0), *[m for m in METRICS if m not in ("auc", "trimmed10")], places=4).withColumns({m: F.round(m, 6) for m in ("auc", "trimmed10")})
+    f = X.phase_features(phases(spark, sf), KEYS, 100.0).select(*KEYS, *METRICS)
+    return rounded(f, *[m for m in METRICS if m not in ("auc", "trimmed10")], places=4).withColumns({m: F.round(m, 6) for m in ("auc", "trimmed10")})
 
 
 @query("phase_changes", FEATURES + """,
