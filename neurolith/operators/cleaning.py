@@ -101,3 +101,30 @@ def quality_row(recordings: DataFrame, channels: DataFrame, epochs: DataFrame, k
     e = epochs.groupBy(key).agg(F.count(F.lit(1)).alias("n_epochs"), F.count_if(~F.col("rejected")).alias("n_kept"))
     d = recordings.select(key).distinct().join(c, key, "left").join(e, key, "left").fillna(0, ["n_channels", "n_good", "n_epochs", "n_kept"])
     return d.withColumn("percent_good", share("n_good", "n_channels")).withColumn("percent_kept", share("n_kept", "n_epochs"))
+
+
+def local_threshold(details: DataFrame, keys: list[str], value: str, place: str, *, n: Column, block: Column, hop: Column, soft: bool = True) -> DataFrame:
+    """Add threshold and shrunk to detail coefficients (places 0 to n - 1 in keys), by thresholds that change without steps.
+
+    About a centre at every `hop`-th place, and at the last, lie block // 2 coefficients before and as many from it on, as far
+    as there are any; these windows overlap, and each has its BayesShrink threshold (0 where the noise is). Between two
+    centres the threshold runs in a line. Soft thresholds shrink; hard ones keep what exceeds them. n, block and hop are
+    columns, alike within keys; block is at least 2.
+    """
+    d = details.withColumns({"_n": n.cast("long"), "_half": F.floor(block / 2).cast("long"), "_hop": hop.cast("long")})
+    k, last = F.col(place), F.floor((F.col("_n") - 1) / F.col("_hop"))
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((k - F.col("_half") + 1) / F.col("_hop")))
+    regular = F.sequence(first, F.least(last, F.floor((k + F.col("_half")) / F.col("_hop"))))
+    regular = F.when(F.least(last, F.floor((k + F.col("_half")) / F.col("_hop"))) >= first, regular).otherwise(F.array().cast("array<bigint>"))
+    at_end = ((F.col("_n") - 1) % F.col("_hop") > 0) & (k >= F.col("_n") - 1 - F.col("_half"))
+    spread = d.withColumn("_c", F.explode(F.when(at_end, F.concat(regular, F.array(last + 1))).otherwise(regular)))
+    noise, x = F.median(F.abs(F.col(value))) / 0.6745, F.col(value)
+    at = spread.groupBy(*keys, "_n", "_hop", "_c").agg((noise * noise / F.sqrt(F.greatest(F.avg(x * x) - noise * noise, F.lit(1e-12)))).alias("_t"))
+    w = Window.partitionBy(*keys).orderBy("_c")
+    at = at.withColumn("_p", F.least(F.col("_c") * F.col("_hop"), F.col("_n") - 1))
+    at = at.withColumns({"_t2": F.coalesce(F.lead("_t").over(w), F.col("_t")), "_p2": F.coalesce(F.lead("_p").over(w), F.col("_p") + 1)}).select(*keys, "_c", "_t", "_p", "_t2", "_p2")
+    d = d.withColumn("_c", F.floor(k / F.col("_hop"))).join(at, [*keys, "_c"])
+    d = d.withColumn("threshold", F.col("_t") + (F.col("_t2") - F.col("_t")) * (k - F.col("_p")) / (F.col("_p2") - F.col("_p")))
+    t = F.col("threshold")
+    shrunk = F.signum(x) * F.greatest(F.abs(x) - t, F.lit(0.0)) if soft else F.when(F.abs(x) > t, x).otherwise(F.lit(0.0))
+    return d.withColumn("shrunk", shrunk).drop("_n", "_half", "_hop", "_c", "_t", "_p", "_t2", "_p2")

@@ -98,20 +98,36 @@ def reconstruct(coefficients: DataFrame, keys: list[str], *, wavelet: str, level
     return d.select(*keys, F.col("k").alias("sample_idx"), "value")
 
 
-def wavelet_clean(samples: DataFrame, keys: list[str], *, fs: float, wavelet: str, level: int, soft: bool = True, block_seconds: float | None = 4.0) -> DataFrame:
+def wavelet_clean(samples: DataFrame, keys: list[str], *, fs: float, wavelet: str, level: int, soft: bool = True, block_seconds: float | None = 4.0, overlap: float = 0.0) -> DataFrame:
     """(keys, sample_idx, value, artifact, cleaned): the series rebuilt from details shrunk by BayesShrink is the artifact, what
     is left of the value is cleaned.
 
-    Each level's details are thresholded in blocks of about block_seconds (as a whole without it). Series too short for one
-    level have an artifact of 0.
+    Each level's details are thresholded in blocks of about block_seconds (as a whole without it). With an overlap (the share
+    of a block that the next one has too, below 1) thresholds run from block to block in lines instead of steps; levels that
+    are no longer than a block have one threshold. Series too short for one level have an artifact of 0.
     """
     d = decompose(samples, keys, wavelet=wavelet, level=level, periodic=True).filter("band > 0")
+    if block_seconds and overlap:
+        wide, hop, long = F.lit(1), F.lit(1), F.lit(False)
+        for l in range(1, level + 1):
+            size = max(1, round(block_seconds * fs / 2**l))
+            own = F.col("band") == l
+            wide, hop = F.when(own, size).otherwise(wide), F.when(own, max(1, round(size * (1 - overlap)))).otherwise(hop)
+            long = F.when(own, (F.lit(size) >= 2) & (F.lit(size) < F.ceil(F.col("n") / 2**l))).otherwise(long)
+        d = d.withColumns({"_wide": wide, "_hop_": hop, "_long": long, "block": F.lit(0)})
+        smooth = C.local_threshold(d.filter("_long"), [*keys, "band"], "value", "k", n=F.ceil(F.col("n") / F.pow(F.lit(2.0), F.col("band"))), block=F.col("_wide"), hop=F.col("_hop_"), soft=soft)
+        shrunk = smooth.unionByName(C.bayes_threshold(d.filter("NOT _long"), [*keys, "band", "block"], "value", soft=soft))
+        return _without(samples, shrunk, keys, wavelet, level)
     block = F.lit(0)
     if block_seconds:
         for l in range(1, level + 1):
             part = C.block_of(F.col("k"), F.ceil(F.col("n") / 2**l), max(1, round(block_seconds * fs / 2**l)))
             block = F.when(F.col("band") == l, part).otherwise(block)
     shrunk = C.bayes_threshold(d.withColumn("block", block), [*keys, "band", "block"], "value", soft=soft)
+    return _without(samples, shrunk, keys, wavelet, level)
+
+
+def _without(samples: DataFrame, shrunk: DataFrame, keys: list[str], wavelet: str, level: int) -> DataFrame:
     artifact = reconstruct(shrunk.select(*keys, "n", "depth", "band", "k", F.col("shrunk").alias("value")), keys, wavelet=wavelet, level=level)
     out = samples.select(*keys, "sample_idx", "value").join(artifact.withColumnRenamed("value", "artifact"), [*keys, "sample_idx"], "left")
     out = out.withColumn("artifact", F.coalesce("artifact", F.lit(0.0)))
