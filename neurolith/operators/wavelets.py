@@ -5,7 +5,11 @@ A series is never in one task: its coefficients are rows that aggregates bring t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolith.operators import cleaning as C
@@ -135,11 +139,11 @@ def _without(samples: DataFrame, shrunk: DataFrame, keys: list[str], wavelet: st
 
 
 def wavelet_features(coefficients: DataFrame, keys: list[str], bins: int = 64) -> DataFrame:
-    """(keys, sub, n_coefficients, log_energy, shannon_entropy, wavelet_entropy) of each band: sub 0 is the approximation, then
-    the details from the deepest level on.
+    """(keys, sub, n_coefficients, log_energy, shannon_entropy, wavelet_entropy, spectral_entropy, higuchi_dimension) of each
+    band: sub 0 is the approximation, then the details from the deepest level on.
 
     log_energy is the sum of ln(c^2 + 1e-8); shannon_entropy that of a histogram of `bins` from least to greatest (0 below 8
-    values); wavelet_entropy that of the shares of energy.
+    values); wavelet_entropy that of the shares of energy; spectral_entropy and higuchi_dimension as below.
     """
     d = coefficients.withColumn("sub", F.when(F.col("band") == 0, 0).otherwise(F.col("depth") - F.col("band") + 1))
     by, c = [*keys, "sub"], F.col("value")
@@ -149,4 +153,55 @@ def wavelet_features(coefficients: DataFrame, keys: list[str], bins: int = 64) -
     in_bin = d.join(whole, by).groupBy(*by, "n_coefficients", "log_energy", F.coalesce(place, F.lit(bins // 2)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.sum(share * F.log(share + 1e-8)).alias("_w"))
     p = F.col("_n") / (F.col("n_coefficients") + 1e-12)
     out = in_bin.groupBy(*by, "n_coefficients", "log_energy").agg((-F.sum(p * F.log(p + 1e-12))).alias("_s"), (-F.sum("_w")).alias("wavelet_entropy"))
-    return out.withColumn("shannon_entropy", F.when(F.col("n_coefficients") >= 8, F.col("_s")).otherwise(0.0)).drop("_s")
+    out = out.withColumn("shannon_entropy", F.when(F.col("n_coefficients") >= 8, F.col("_s")).otherwise(0.0)).drop("_s")
+    return out.join(spectral_entropy(d, by, "k", "value"), by, "left").join(higuchi_dimension(d, by, "k", "value"), by, "left")
+
+
+def spectral_entropy(series: DataFrame, keys: list[str], place: str, value: str, segment: int = 256) -> DataFrame:
+    """(keys, spectral_entropy): the entropy of the shares of Welch's density over its bins, in units of that of equal shares.
+
+    Segments have `segment` values, or all of a shorter series, and overlap by half (periodic Hann window, means removed). A
+    series without power has none (null). Places run from 0 without holes.
+    """
+    n = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    d = series.select(*keys, F.col(place).alias("_k"), F.col(value).alias("_v")).join(n, keys)
+    size = F.least(F.col("_n"), F.lit(segment).cast("long"))
+    step = size - F.floor(size / 2)
+    first, last = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("_k") - size + 1) / step)), F.least(F.floor((F.col("_n") - size) / step), F.floor(F.col("_k") / step))
+    d = d.filter(last >= first).withColumn("_g", F.explode(F.sequence(first, last)))
+
+    @F.pandas_udf("array<double>")
+    def power(x: pd.Series) -> pd.Series:
+        out = []
+        for v in x:
+            v, m = np.asarray(v, float), len(v)
+            p = np.abs(np.fft.rfft((v - v.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(m) / m)))) ** 2
+            p[1 : (m + 1) // 2] *= 2
+            out.append(p)
+        return pd.Series(out)
+
+    g = d.groupBy(*keys, "_g").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_x")).select(*keys, power(F.col("_x._v")).alias("_p"))
+    b = g.select(*keys, F.posexplode("_p").alias("_b", "_p")).groupBy(*keys, "_b").agg(F.avg("_p").alias("_p"))
+    t = b.groupBy(*keys).agg(F.sum("_p").alias("_s"), F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.log("_p"))).alias("_l"), F.count(F.lit(1)).alias("_m"))
+    h = (F.log("_s") - F.col("_l") / F.col("_s")) / F.log(F.col("_m").cast("double"))
+    return t.select(*keys, F.when((F.col("_s") > 0) & (F.col("_m") > 1), h).alias("spectral_entropy"))
+
+
+def higuchi_dimension(series: DataFrame, keys: list[str], place: str, value: str, most: int = 10) -> DataFrame:
+    """(keys, higuchi_dimension): the slope of the log of the curve's length at stride s over the log of 1 / s, s from 1 to `most`.
+
+    At stride s the curve is read from each of s starting places m in turn; with r = floor((n - m - 1) / s) steps from m, the
+    length is the sum of the first r - 1 of them, times (n - 1) / (s^2 r); the s lengths are averaged. Strides over n / 3 are
+    left out, since they have starts without steps; fewer than two strides, or a curve without length, give null. Each length
+    is one sum over differences, so a series is one window in order and one aggregate.
+    """
+    w = Window.partitionBy(*keys).orderBy(place)
+    d = series.select(*keys, F.col(place).alias(place), F.col(value).alias("_v")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    d = d.withColumns({f"_d{s}": F.abs(F.col("_v") - F.lag("_v", s).over(w)) for s in range(1, most + 1)})
+    k, n, sums = F.col(place), F.col("_n"), []
+    for s in range(1, most + 1):
+        steps = F.floor((n - k % s - 1) / s)
+        sums.append(F.sum(F.when((n >= 3 * s) & (k >= s) & (F.floor(k / s) < steps), F.col(f"_d{s}") * (n - 1) / (F.lit(float(s**3)) * steps))).alias(f"_l{s}"))
+    t = d.groupBy(*keys).agg(*sums)
+    points = F.explode(F.array(*[F.struct(F.lit(-math.log(s)).alias("x"), F.log(F.nullif(f"_l{s}", F.lit(0.0))).alias("y")) for s in range(1, most + 1)]))
+    return t.select(*keys, points.alias("_p")).groupBy(*keys).agg(F.regr_slope(F.col("_p.y"), F.col("_p.x")).alias("higuchi_dimension"))

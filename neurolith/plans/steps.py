@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from neurolith.operators import blocks as B
 from neurolith.operators import cleaning as C
 from neurolith.operators import heartbeats as H
+from neurolith.operators import line_noise as L
 from neurolith.plans.fixtures import SQL, samples
 from neurolith.plans.quality import rounded
 from neurolith.plans.registry import query
@@ -87,3 +88,36 @@ PHASES, HALF = B.resample_weights(2, 3, 8)
 def resampled(spark, sf):
     d = B.resample(samples(spark, sf), KEYS, old=300, new=200, crossings=8, block=50)
     return rounded(d, "value", places=5).withColumn("value", F.col("value") + F.lit(0.0))
+
+
+LINE = {"fs": 64.0, "freqs": [16.0], "seconds": 1.0, "bandwidth": 6.0, "p": 0.25, "rounds": 1}
+
+
+def _line_sql() -> str:
+    """Windows of 64 samples (the last takes up to 127) of each signal, and the F of a sine of a quarter turn a sample."""
+    taper = ", ".join(f"({n}, {k}, {t}, {float(h)!r}::DOUBLE)" for n in (64,) for k, v in enumerate(L.tapers_for(n, 64.0, 6.0)) for t, h in enumerate(v))
+    k = len(L.tapers_for(64, 64.0, 6.0))
+    return SQL + f""", v(n, k, t, h) AS (VALUES {taper}), w AS (SELECT session_id, signal, CAST(sample_idx // 64 AS BIGINT) AS win, sample_idx, sample_idx % 64 AS t, value AS x, count(*) OVER (PARTITION BY session_id, signal) AS n FROM s),
+f AS (SELECT * FROM w WHERE win < n // 64 - 1 OR n % 64 = 0), j AS (SELECT session_id, signal, win, k, sum(h * x * cos(t * pi() / 2)) AS re, -sum(h * x * sin(t * pi() / 2)) AS im FROM f JOIN v USING (t) GROUP BY ALL),
+u AS (SELECT k, sum(h) AS u FROM v GROUP BY k), m AS (SELECT session_id, signal, win, sum(u * re) / sum(u * u) AS a, sum(u * im) / sum(u * u) AS b, sum(u * u) AS uu FROM j JOIN u USING (k) GROUP BY ALL),
+r AS (SELECT session_id, signal, win, min(a) AS a, min(b) AS b, {k - 1} * min((a * a + b * b) * uu) / sum((re - a * u) ** 2 + (im - b * u) ** 2) AS f FROM m JOIN j USING (session_id, signal, win) JOIN u USING (k) GROUP BY ALL)"""
+
+
+def _full_windows(spark, sf):
+    """Samples of whole windows of 64 but for the last (which is longer), and the two tables of the test."""
+    s = samples(spark, sf).select(*KEYS, "sample_idx", "value")
+    n = s.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    whole = s.join(n, KEYS).filter((F.floor(F.col("sample_idx") / 64) < F.floor(F.col("n") / 64) - 1) | (F.col("n") % 64 == 0)).drop("n")
+    return L.remove_tested_lines(whole, KEYS, **LINE)
+
+
+@query("line_f_tests", _line_sql() + f" SELECT session_id, signal, win AS \"window\", 16.0::DOUBLE AS freq, round(f, 4) AS f, f > {L.critical_f(len(L.tapers_for(64, 64.0, 6.0)), 0.25)!r} AS significant FROM r")
+def line_f_tests(spark, sf):
+    t = _full_windows(spark, sf)[1]
+    return rounded(t.select(*KEYS, "window", "freq", "f", (F.col("f") > F.col("critical")).alias("significant")), "f", places=4)
+
+
+@query("lines_removed_if_found", _line_sql() + f" SELECT f.session_id, f.signal, sample_idx, round(CASE WHEN r.f > {L.critical_f(len(L.tapers_for(64, 64.0, 6.0)), 0.25)!r} THEN x - 2 * (a * cos(t * pi() / 2) - b * sin(t * pi() / 2)) ELSE x END, 5) + 0.0 AS cleaned FROM f JOIN r USING (session_id, signal, win)")
+def lines_removed_if_found(spark, sf):
+    d = rounded(_full_windows(spark, sf)[0], "cleaned", places=5)
+    return d.withColumn("cleaned", F.col("cleaned") + F.lit(0.0))

@@ -27,15 +27,39 @@ c{l} AS (SELECT vec_id, (q + j - 1) // 2 AS k, sum(lo * x) AS x, sum(hi * x) AS
     return out
 
 
-@query("dwt_features", "WITH a0 AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings), " + _symmetric(3, 64) + """,
-b AS (SELECT vec_id, 0 AS sub, x FROM a3 UNION ALL SELECT vec_id, 1, x FROM d3 UNION ALL SELECT vec_id, 2, x FROM d2 UNION ALL SELECT vec_id, 3, x FROM d1),
-w AS (SELECT *, count(*) OVER g AS n, sum(x * x) OVER g AS e, min(x) OVER g AS lo, max(x) OVER g AS hi FROM b WINDOW g AS (PARTITION BY vec_id, sub)),
-h AS (SELECT vec_id, sub, n, coalesce(least(CAST(floor((x - lo) * 64 / nullif(hi - lo, 0)) AS BIGINT), 63), 32) AS bin, count(*) AS c, sum(ln(x * x + 1e-8)) AS g, sum(x * x / (e + 1e-8) * ln(x * x / (e + 1e-8) + 1e-8)) AS v FROM w GROUP BY ALL)
-SELECT vec_id, CAST(sub AS INT) AS sub, n AS n_coefficients, round(sum(g), 5) AS log_energy, round(CASE WHEN n >= 8 THEN -sum(c / (n + 1e-12) * ln(c / (n + 1e-12) + 1e-12)) ELSE 0 END, 5) AS shannon_entropy, round(-sum(v), 5) AS wavelet_entropy FROM h GROUP BY vec_id, sub, n""")
+def _features(source: str, level: int, n: int) -> str:
+    """The measures of all bands of a0 (source: its SELECT) down to `level`, each band of at most 256 coefficients."""
+    subs = " UNION ALL ".join([f"SELECT vec_id, 0 AS sub, k, x FROM a{level}", *[f"SELECT vec_id, {level - l + 1}, k, x FROM d{l}" for l in range(level, 0, -1)]])
+    lengths = " UNION ALL ".join(f"SELECT vec_id, sub, {s} AS s, sum(abs(x - before{s}) * (n - 1) / ({s**3}.0::DOUBLE * ((n - k % {s} - 1) // {s}))) AS l FROM y WHERE n >= {3 * s} AND k >= {s} AND k // {s} < (n - k % {s} - 1) // {s} GROUP BY ALL" for s in range(1, 11))
+    return f"WITH a0 AS ({source}), " + _symmetric(level, n) + f""",
+b AS ({subs}),
+w AS (SELECT *, count(*) OVER g AS n, sum(x * x) OVER g AS e, min(x) OVER g AS lo, max(x) OVER g AS hi, avg(x) OVER g AS mean FROM b WINDOW g AS (PARTITION BY vec_id, sub)),
+h AS (SELECT vec_id, sub, n, coalesce(least(CAST(floor((x - lo) * 64 / nullif(hi - lo, 0)) AS BIGINT), 63), 32) AS bin, count(*) AS c, sum(ln(x * x + 1e-8)) AS g, sum(x * x / (e + 1e-8) * ln(x * x / (e + 1e-8) + 1e-8)) AS v FROM w GROUP BY ALL),
+f AS (SELECT vec_id, sub, q, n, sum((x - mean) * (0.5 - 0.5 * cos(2 * pi() * k / n)) * cos(2 * pi() * q * k / n)) AS re, sum((x - mean) * (0.5 - 0.5 * cos(2 * pi() * k / n)) * sin(2 * pi() * q * k / n)) AS im FROM w JOIN range(0, 129) r(q) ON q <= n // 2 GROUP BY ALL),
+p AS (SELECT *, (re * re + im * im) * CASE WHEN q = 0 OR 2 * q = n THEN 1 ELSE 2 END AS p FROM f), t AS (SELECT vec_id, sub, sum(p) AS s, count(*) AS m FROM p GROUP BY ALL),
+u AS (SELECT vec_id, sub, -sum(CASE WHEN p > 0 THEN p / s * log2(p / s) ELSE 0 END) / log2(min(m)) AS spectral FROM p JOIN t USING (vec_id, sub) WHERE s > 0 GROUP BY ALL),
+y AS (SELECT vec_id, sub, k, n, x, {', '.join(f'lag(x, {s}) OVER o AS before{s}' for s in range(1, 11))} FROM w WINDOW o AS (PARTITION BY vec_id, sub ORDER BY k)),
+z AS (SELECT vec_id, sub, regr_slope(ln(l), -ln(s)) AS higuchi FROM ({lengths}) WHERE l > 0 GROUP BY ALL)
+SELECT h.vec_id, CAST(h.sub AS INT) AS sub, n AS n_coefficients, round(sum(g), 5) AS log_energy, round(CASE WHEN n >= 8 THEN -sum(c / (n + 1e-12) * ln(c / (n + 1e-12) + 1e-12)) ELSE 0 END, 5) AS shannon_entropy, round(-sum(v), 5) AS wavelet_entropy,
+       round(min(spectral), 5) AS spectral_entropy, round(min(higuchi), 5) AS higuchi_dimension FROM h LEFT JOIN u ON h.vec_id = u.vec_id AND h.sub = u.sub LEFT JOIN z ON h.vec_id = z.vec_id AND h.sub = z.sub GROUP BY h.vec_id, h.sub, n"""
+
+
+MEASURES = ("log_energy", "shannon_entropy", "wavelet_entropy", "spectral_entropy", "higuchi_dimension")
+
+
+@query("dwt_features", _features("SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings", 3, 64))
 def dwt_features(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("sample_idx", "value"))
     c = V.decompose(e, ["vec_id"], wavelet="db4", level=5)
-    return rounded(V.wavelet_features(c, ["vec_id"]), "log_energy", "shannon_entropy", "wavelet_entropy", places=5)
+    return rounded(V.wavelet_features(c, ["vec_id"]), *MEASURES, places=5)
+
+
+@query("dwt_series_features", _features("SELECT vec_id // 4 AS vec_id, unnest(embedding)::DOUBLE AS x, 64 * (vec_id % 4) + generate_subscripts(embedding, 1) - 1 AS k FROM embeddings", 5, 256))
+def dwt_series_features(spark, sf):
+    """Four vectors in a row are a series of 256 values, which all five levels divide."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("vec_id"), (64 * (F.col("vec_id") % 4)).alias("_o"), F.posexplode("embedding").alias("_i", "value"))
+    c = V.decompose(e.select("vec_id", (F.col("_o") + F.col("_i")).alias("sample_idx"), "value"), ["vec_id"], wavelet="db4", level=5)
+    return rounded(V.wavelet_features(c, ["vec_id"]), *MEASURES, places=5)
 
 
 def _clean(level: int, fs: float, seconds: float) -> str:

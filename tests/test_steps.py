@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from neurolith.operators import blocks as B
 from neurolith.operators import cleaning as C
 from neurolith.operators import heartbeats as H
+from neurolith.operators import line_noise as L
 from neurolith.operators import wavelets as V
 
 KEYS = ["session_id", "signal"]
@@ -163,3 +164,67 @@ def test_rates(spark, old, new):
     assert np.abs(got - want)[inside].max() < 1e-3
     one = column(B.resample(d, KEYS, old=old, new=new, block=100000), "a", "X", "value")
     assert np.allclose(got, one, atol=1e-9)
+
+
+# --- line noise ------------------------------------------------------------------------------------------------------
+
+
+def test_tapers_are_orthonormal_and_concentrated():
+    for n in (50, 300, 1500):
+        v = L.tapers(n, 4.0, 7)
+        assert np.allclose(v @ v.T, np.eye(7), atol=2e-3 if n > 1024 else 1e-9)
+        power = np.abs(np.fft.rfft(v, 64 * n, axis=1)) ** 2
+        inside = power[:, : 64 * 4 + 1].sum(axis=1) / power.sum(axis=1)
+        assert (inside[:5] > 0.99).all()
+    rng = np.random.default_rng(0)
+    v = L.tapers(256, 4.0, 7)
+    f = L.sine_test(rng.normal(size=(4000, 256)), v, 0.9)[0]
+    assert abs((f > L.critical_f(7, 0.05)).mean() - 0.05) < 0.012  # noise passes as often as it should
+
+
+def test_lines_go_only_where_they_are(spark):
+    fs, rng = 100.0, np.random.default_rng(4)
+    t = np.arange(2100) / fs
+    noise = rng.normal(size=2100)
+    quiet = noise.copy()
+    quiet[800:1200] += 6 * np.sin(2 * np.pi * 20 * t[800:1200] + 1.1)
+    loud = noise + 3 * np.sin(2 * np.pi * 20 * t) + np.cos(2 * np.pi * 40 * t)
+    loud[50:60] = np.nan
+    d = table(spark, {("a", "X"): quiet, ("a", "Y"): loud, ("b", "X"): loud[:5]})
+    cleaned, tests = L.remove_tested_lines(d, KEYS, fs=fs, freqs=[20.0, 40.0], seconds=4.0, p=1e-4)
+    x, y = column(cleaned, "a", "X", "cleaned"), column(cleaned, "a", "Y", "cleaned")
+    assert np.array_equal(np.delete(x, np.s_[800:1200]), np.delete(quiet, np.s_[800:1200]))  # bit by bit
+    assert np.abs(x - noise)[800:1200].max() < 0.5
+    assert len(y) == 2090 and np.abs(y - np.delete(noise, np.s_[50:60])).max() < 0.8
+    found = {(r.session_id, r.signal, r.window, r.freq) for r in tests.filter("f > critical").collect()}
+    assert found == {("a", "X", 2, 20.0), *(("a", "Y", w, f) for w in range(5) for f in (20.0, 40.0))}
+    assert np.array_equal(column(cleaned, "b", "X", "cleaned"), loud[:5])
+    assert L.remove_tested_lines(d.limit(0), KEYS, fs=fs, freqs=[20.0])[0].count() == 0
+
+
+# --- entropy and dimension of bands ----------------------------------------------------------------------------------
+
+
+def higuchi(x: np.ndarray, most: int = 10) -> float:
+    n, lengths = len(x), []
+    for s in range(1, min(most, n // 3) + 1):
+        parts = []
+        for m in range(s):
+            r = (n - m - 1) // s
+            parts.append(sum(abs(x[m + j * s] - x[m + (j - 1) * s]) for j in range(1, r)) * (n - 1) / (s * s * r))
+        lengths.append(np.mean(parts))
+    return np.polyfit(-np.log(np.arange(1, len(lengths) + 1)), np.log(lengths), 1)[0]
+
+
+def test_entropy_and_dimension(spark):
+    rng = np.random.default_rng(8)
+    long, short, flat = rng.normal(size=700).cumsum(), rng.normal(size=35), np.ones(40)
+    d = table(spark, {("a", "long"): long, ("a", "short"): short, ("a", "flat"): flat, ("a", "one"): np.ones(1)})
+    h = {r.signal: r.higuchi_dimension for r in V.higuchi_dimension(d, KEYS, "sample_idx", "value").collect()}
+    assert abs(h["long"] - higuchi(long)) < 1e-9 and abs(h["short"] - higuchi(short)) < 1e-9 and h["flat"] is None and h["one"] is None
+    e = {r.signal: r.spectral_entropy for r in V.spectral_entropy(d, KEYS, "sample_idx", "value").collect()}
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    p = np.mean([np.abs(np.fft.rfft((long[i : i + 256] - long[i : i + 256].mean()) * window)) ** 2 for i in range(0, 700 - 255, 128)], axis=0)
+    p[1:-1] *= 2
+    p /= p.sum()
+    assert abs(e["long"] + (p * np.log(p)).sum() / np.log(129)) < 1e-9 and e["flat"] is None and e["one"] is None and 0 < e["short"] < 1
