@@ -214,27 +214,45 @@ def analytic(x: np.ndarray) -> np.ndarray:
     return np.fft.ifft(f * h)
 
 
-def _each(samples: DataFrame, keys: list[str], f, out: str) -> DataFrame:
+def _each(samples: DataFrame, keys: list[str], f, out: str, *, failing: bool = False) -> DataFrame:
+    """f of every series in order. With failing, a series that f has an exception for is one row of its keys and _error alone,
+    and all others have a null _error; without, the exception ends the run."""
     kinds = dict(samples.dtypes)
+    names = [x.split()[0] for x in out.split(", ")]
 
     def run(key, rows):
-        return f(key, rows.sort_values("sample_idx", ignore_index=True))
+        if not failing:
+            return f(key, rows.sort_values("sample_idx", ignore_index=True))
+        try:
+            return f(key, rows.sort_values("sample_idx", ignore_index=True)).assign(_error=None)
+        except Exception as e:  # noqa: BLE001  whatever it is, it belongs to this series
+            return pd.DataFrame([[*key, *[None] * len(names), f"{type(e).__name__}: {e}"]], columns=[*keys, *names, "_error"])
 
-    return samples.select(*keys, "sample_idx", "value").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + out)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + out + (", _error string" if failing else "")
+    return samples.select(*keys, "sample_idx", "value").groupBy(*keys).applyInPandas(run, schema)
 
 
-def band_pass(samples: DataFrame, keys: list[str], *, fs: float, low: float, high: float, order: int) -> DataFrame:
+def band_pass(samples: DataFrame, keys: list[str], *, fs: float, low: float, high: float, order: int, failing: bool = False) -> DataFrame:
     def f(key, rows):
         return rows[[*keys, "sample_idx"]].assign(filtered=band_filter(rows.value.to_numpy(float), fs, low, high, order))
 
-    return _each(samples, keys, f, "sample_idx long, filtered double")
+    return _each(samples, keys, f, "sample_idx long, filtered double", failing=failing)
 
 
-def tddr(samples: DataFrame, keys: list[str], *, fs: float, cutoff: float = 0.5) -> DataFrame:
+def tddr(samples: DataFrame, keys: list[str], *, fs: float, cutoff: float = 0.5, failing: bool = False) -> DataFrame:
     def f(key, rows):
         return rows[[*keys, "sample_idx"]].assign(repaired=biweight_derivative(filled(rows.value.to_numpy(float)), fs, cutoff))
 
-    return _each(samples, keys, f, "sample_idx long, repaired double")
+    return _each(samples, keys, f, "sample_idx long, repaired double", failing=failing)
+
+
+def own_step(samples: DataFrame, keys: list[str], step, *, failing: bool = False) -> DataFrame:
+    """(keys, sample_idx, changed): a function of one series' values, in order, that gives as many."""
+
+    def f(key, rows):
+        return rows[[*keys, "sample_idx"]].assign(changed=np.asarray(step(rows.value.to_numpy(float)), float))
+
+    return _each(samples, keys, f, "sample_idx long, changed double", failing=failing)
 
 
 BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45)}

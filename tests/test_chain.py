@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import duckdb
@@ -179,3 +180,43 @@ def test_command_line(spark, tmp_path, capsys):
     eeg(spark, 400).filter("session_id = 'gone'").write.parquet(str(tmp_path / "s"))
     assert main(["clean", str(tmp_path / "s"), str(tmp_path / "out")]) == 1
     assert spark.read.parquet(str(tmp_path / "out" / "errors")).count() == 1
+
+
+def test_an_error_inside_a_step_ends_one_recording_only(spark, tmp_path):
+    o = A.Settings(fs=50.0, line_frequency=20.0, line_window=2.0, lowpass=22.0, epoch=2.0, wavelet=False, reference="subset", reference_channels=("X1",), rejection_channels=("X2",), most_line_z=None)
+    d = eeg(spark)
+    huge = d.filter("session_id = 'a'").selectExpr("'huge' AS session_id", "signal", "sample_idx", "CASE WHEN signal = 'X2' AND sample_idx > 100 THEN 1e308 * (1 - 2 * (sample_idx % 2)) ELSE value END AS value")
+    odd = d.filter("session_id = 'b'").selectExpr("'odd' AS session_id", "signal", "sample_idx", "value * 1000 AS value")
+
+    def picky(x):
+        if np.abs(x).max() > 1000:
+            raise ValueError("too large")
+        return x
+
+    t = A.run(d.unionByName(huge).unionByName(odd), o, folder=str(tmp_path / "x"), own={"picky": picky})
+    alone = A.run(d, o, folder=str(tmp_path / "y"), own={"picky": picky})
+    errors = {r.session_id: (r.step, r.error_type, r.message) for r in t["errors"].collect()}
+    assert set(errors) == {"gone", "huge", "odd"}
+    assert errors["gone"][:2] == ("load", "LoadFail") and errors["huge"][:2] == ("line", "StepFailed") and errors["odd"] == ("picky", "StepFailed", "X1: ValueError: too large")
+    for name in ("cleaned", "channels", "epochs", "steps"):
+        rows = lambda x: sorted(map(str, x[name].filter("session_id <> 'odd'").collect()))  # noqa: E731, B023
+        assert rows(t) == rows(alone) and rows(t)
+        assert name == "channels" or not t[name].filter("session_id = 'odd'").count()  # found before the step
+    assert t["cleaned"].filter("signal = 'X1'").selectExpr("max(abs(value))").first()[0] == 0  # the reference
+    s = t["steps"].filter("session_id = 'a'").first()
+    assert s.lineNoise_coherence_20Hz < 0.2 and 0 < s.lineNoise_percent_variance_retained < 90 and s.lineNoise_cross_correlation < 0.95
+    record = json.loads(spark.read.text(str(tmp_path / "x" / "record"), wholetext=True).first()[0])
+    assert record["rows"]["cleaned"] == t["cleaned"].count() and record["rows"]["errors"] == 3 and A.Settings.of(record["settings"]) == o
+
+
+def test_chain_of_the_other_methods(spark, tmp_path):
+    o = A.Settings(fs=50.0, resample_to=40, line_frequency=16.0, line_method="tapers", line_window=4.0, filter_method="fir", highpass=2.0, lowpass=18.0, heart_beats=True, heart_epoch=6.0, wavelet_overlap=0.5, wavelet_block=2.0, pulled_channel="X3")
+    t = A.run(eeg(spark), o, folder=str(tmp_path))
+    assert t["cleaned"].groupBy("session_id", "signal").count().filter("count = 800").count() == 2 * 3
+    assert {r.session_id for r in t["errors"].collect()} == {"gone"}
+    assert {(r.session_id, r.signal): r.bad for r in t["channels"].collect()} == {(s, c): c == "flat" for s in "ab" for c in ("X1", "X2", "flat")}
+    assert set(t["steps"].columns) > {"wavelet_percent_variance_retained", "lineNoise_coherence_16Hz", "wavelet_rmse"}
+    notch = A.run(eeg(spark), A.Settings(fs=50.0, line_frequency=20.0, line_method="notch", lowpass=22.0, wavelet=False), folder=str(tmp_path / "n"))
+    d = notch["cleaned"].filter("session_id = 'a' AND signal = 'X1'").orderBy("sample_idx").toPandas().value.to_numpy()
+    power = np.abs(np.fft.rfft(d)) ** 2
+    assert len(d) == 1000 and power[400] < 0.05 * power[120]
