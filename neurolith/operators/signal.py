@@ -48,8 +48,9 @@ def window_table(samples: DataFrame, size: int, high: float = 150.0) -> DataFram
     return w.filter(F.col("_n") == size).drop("_n")
 
 
-def flag_windows(windows: DataFrame, *, z_rms: float, z_ptp: float, z_kurtosis: float, rms_ratio: float, ptp_ratio: float, high_fraction: float, setup_windows: int = 0) -> DataFrame:
-    """Add robust z scores, ratios to the median, artifact and its reasons, `;` between them, in a fixed order. Flags only."""
+def flag_windows(windows: DataFrame, *, z_rms: float, z_ptp: float, z_kurtosis: float, rms_ratio: float, ptp_ratio: float, high_fraction: float, setup_windows: int = 0, more: dict[str, Column] | None = None) -> DataFrame:
+    """Add robust z scores, ratios to the median, artifact and its reasons, `;` between them, in a fixed order, those of `more` (reason: when) last.
+    Flags only."""
     d = windows
     for c in ("rms", "ptp", "kurtosis"):
         d = with_robust_z(d, c, f"z_{c}")
@@ -61,6 +62,7 @@ def flag_windows(windows: DataFrame, *, z_rms: float, z_ptp: float, z_kurtosis:
         "high_peak_to_peak": (F.col("z_ptp") > z_ptp) | (F.col("ptp_ratio") > ptp_ratio),
         "high_kurtosis": F.col("z_kurtosis") > z_kurtosis,
         "high_amplitude_uv": F.col("high_fraction") > high_fraction,
+        **(more or {}),
     }
     d = d.withColumn("artifact_reason", F.concat_ws(";", *[F.when(c, F.lit(name)) for name, c in fired.items()]))
     return d.withColumn("artifact", F.col("artifact_reason") != "")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from neurolith.operators import measures as M
 from neurolith.operators import session as D
 from neurolith.operators import signal as S
-from neurolith.plans.fixtures import samples
+from neurolith.plans.fixtures import SQL, samples
 from neurolith.plans.quality import LABELS, flagged, packets, rounded
 from neurolith.plans.registry import query
 
@@ -93,13 +94,85 @@ SELECT session_id, recording_label, eeg_label, ppg_label, fnirs_raw_label, 'NOT_
   CASE overall_session_label WHEN 'PASS' THEN 'included' WHEN 'CONDITIONAL_PASS' THEN 'included_after_cleaning' ELSE 'excluded_from_primary_analysis' END AS analysis_status,
   concat_ws(';', CASE WHEN short THEN 'longest_continuous_block_below_minimum' END, CASE WHEN gp THEN 'packet_gaps_detected' END, CASE WHEN dp THEN 'duplicate_packet_timestamps' END, CASE WHEN short THEN NULL WHEN both_bad THEN 'eeg_and_ppg_failed' WHEN g > {LIMITS['global_fail']} THEN 'severe_multimodal_artifact' WHEN part THEN 'usable_after_cleaning_or_partial_modality_limit' ELSE 'all_primary_qc_layers_passed' END, CASE WHEN first_label <> 'FAIL' AND uneven THEN 'large_eeg_channel_imbalance' END) AS reasons FROM y""")
 def qc_session_decision(spark, sf):
-    """Packets at half a minute's precision, so that some repeat."""
+    return rounded(D.session_decisions(decided(spark, sf), recordings(spark, sf, flagged(spark, sf)), LIMITS), "global_multimodal_artifact_percent", places=2)
+
+
+def recordings(spark, sf, windows):
+    """What is known of each session as a whole. Packets at half a minute's precision, so that some repeat."""
     p = packets(spark, sf).withColumn("t", F.floor(F.col("t") / 30000) * 30000)
     r = S.packet_stats(p, "session_id", "t", MOST_INTERVAL).select("session_id", F.col("n_long_intervals").alias("long_intervals"), F.col("n_duplicates").alias("duplicates"))
     r = r.join(p.groupBy("session_id").agg(((F.max("t") - F.min("t")) / 1000.0).alias("duration_seconds")), "session_id")
-    g = S.global_artifacts(flagged(spark, sf)).groupBy("session_id", "window_index").agg(F.max("global_multimodal_artifact").alias("g"))
+    g = S.global_artifacts(windows).groupBy("session_id", "window_index").agg(F.max("global_multimodal_artifact").alias("g"))
     g = g.groupBy("session_id").agg((F.avg(F.col("g").cast("double")) * 100).alias("global_artifact_percent"))
     rms = lambda s: F.sqrt(F.avg(F.when(F.col("signal") == s, F.col("value") * F.col("value"))))
     u = samples(spark, sf).groupBy("session_id").agg(rms("AF3").alias("a"), rms("AF4").alias("b")).select("session_id", (F.greatest("a", "b") / F.greatest(F.least("a", "b"), F.lit(1e-12))).alias("rms_ratio"))
-    r = r.join(g, "session_id", "left").join(u, "session_id", "left")
-    return rounded(D.session_decisions(decided(spark, sf), r, LIMITS), "global_multimodal_artifact_percent", places=2)
+    return r.join(g, "session_id", "left").join(u, "session_id", "left")
+
+
+#: Rates at which the given series are long enough for windows of two seconds and the bands of their modalities.
+RATES = {"eeg_fs": 24.0, "optical_fs": 10.0}
+SIGNAL_LIMITS = {"duration": LIMITS["duration"], "missing": 4.0, "clipping": 30.0, "cv_fail": 120.0, "cv": 90.0, "valid_ibi_fail": 60.0, "valid_ibi": 75.0, "coupling_fail": -0.2, "coupling": 0.0}
+
+
+def measured_signals(spark, sf):
+    """Measures of filtered signals, and their windows; values are missing at every 37th event."""
+    s = samples(spark, sf).withColumn("value", F.when(F.col("event_id") % 37 != 0, F.col("value")))
+    filtered, beats, windows = M.session_windows(s, seconds=2.0, **RATES)
+    return M.signal_measures(s, filtered, beats, windows, **RATES), windows
+
+
+@query("qc_signals_measured")
+def qc_signals_measured(spark, sf):
+    d = D.signal_decisions(measured_signals(spark, sf)[0], F.col("modality"), SIGNAL_LIMITS)
+    kinds = dict(d.dtypes)
+    return rounded(d, *[c for c in d.columns if kinds[c] == "double"], places=4)
+
+
+@query("qc_session_measured")
+def qc_session_measured(spark, sf):
+    """The whole way with measures of filtered signals; qc_session_decision decides by the same rules on measures of tables."""
+    d, windows = measured_signals(spark, sf)
+    return rounded(D.session_decisions(D.signal_decisions(d, F.col("modality"), SIGNAL_LIMITS), recordings(spark, sf, windows), SIGNAL_LIMITS), "global_multimodal_artifact_percent", places=2)
+
+
+BEATS = SQL + """, x AS (SELECT session_id, signal, sample_idx, value FROM s WHERE signal = 'PPG'), b AS (SELECT session_id, signal, sample_idx AS k FROM s WHERE signal = 'PPG' AND event_id % 4 = 0),
+i AS (SELECT *, (k - lag(k) OVER (PARTITION BY session_id ORDER BY k)) / 10.0::DOUBLE AS g FROM b)"""
+
+
+def beats(spark, sf):
+    return samples(spark, sf).filter((F.col("signal") == "PPG") & (F.col("event_id") % 4 == 0)).select(*KEYS, F.col("sample_idx").alias("peak_idx"))
+
+
+@query("pulse_windows", BEATS + """, n AS (SELECT session_id, signal, k // 20 AS w, count(*) AS n_peaks, avg(CASE WHEN g BETWEEN 0.4 AND 1.5 THEN 100.0::DOUBLE WHEN g IS NOT NULL THEN 0.0 END) AS v FROM i GROUP BY ALL),
+w AS (SELECT session_id, signal, sample_idx // 20 AS w, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS ptp FROM x GROUP BY ALL HAVING count(*) = 20),
+m AS (SELECT *, median(rms) OVER p AS a, median(ptp) OVER p AS b FROM w WINDOW p AS (PARTITION BY session_id, signal)), z AS (SELECT *, 0.67448975 * (rms - a) / median(abs(rms - a)) OVER p AS z_rms, 0.67448975 * (ptp - b) / median(abs(ptp - b)) OVER p AS z_ptp FROM m WINDOW p AS (PARTITION BY session_id, signal)),
+j AS (SELECT z.*, coalesce(n_peaks, 0) AS n_peaks, CASE WHEN n_peaks >= 3 THEN coalesce(v, 0) ELSE 0 END AS v FROM z LEFT JOIN n ON z.session_id = n.session_id AND z.w = n.w),
+f AS (SELECT *, concat_ws(';', CASE WHEN z_rms > 2 OR rms > 12 * a THEN 'high_rms' END, CASE WHEN z_ptp > 2 OR ptp > 20 * b THEN 'high_peak_to_peak' END, CASE WHEN n_peaks NOT BETWEEN 1 AND 8 THEN 'implausible_peak_count' END) AS r FROM j)
+SELECT session_id, signal, CAST(w AS BIGINT) AS window_index, round(rms, 6) AS rms, n_peaks, round(v, 6) AS valid_ibi_percent, r AS artifact_reason, r <> '' AS artifact FROM f""")
+def pulse_windows(spark, sf):
+    d = M.pulse_windows(samples(spark, sf).filter("signal = 'PPG'"), beats(spark, sf), fs=10.0, size=20, z=2.0)
+    return rounded(d.select(*KEYS, "window_index", "rms", "n_peaks", "valid_ibi_percent", "artifact_reason", "artifact"), "rms", "valid_ibi_percent")
+
+
+@query("pulse_measures", BEATS + """, v AS (SELECT *, CASE WHEN g BETWEEN 0.4 AND 1.5 THEN g END AS ok FROM i), d AS (SELECT session_id, k, ok - lag(ok) OVER (PARTITION BY session_id ORDER BY k) AS d FROM v WHERE ok IS NOT NULL)
+SELECT v.session_id, v.signal, count(*) AS n_peaks, round(avg(CASE WHEN g IS NOT NULL THEN CASE WHEN ok IS NULL THEN 0.0 ELSE 100.0 END END), 6) AS valid_ibi_percent, round(median(60 / ok), 6) AS median_hr_bpm, round(stddev_pop(ok) / avg(ok) * 100, 6) AS ibi_cv_percent, round(sqrt(avg(d * d)) * 1000, 5) AS rmssd_ms FROM v LEFT JOIN d ON v.session_id = d.session_id AND v.k = d.k GROUP BY ALL""")
+def pulse_measures(spark, sf):
+    d = rounded(M.pulse_measures(beats(spark, sf), fs=10.0), "valid_ibi_percent", "median_hr_bpm", "ibi_cv_percent")
+    return rounded(d, "rmssd_ms", places=5)
+
+
+@query("optical_windows", SQL + """, x AS (SELECT session_id, signal, sample_idx, sample_idx // 10 AS w, CASE WHEN event_id % 7 <> 0 THEN value + 500 END AS raw, value - 3 AS f FROM s WHERE signal IN ('fNIRS_1', 'fNIRS_2')),
+k AS (SELECT *, abs(raw - lag(raw) OVER o) / (sample_idx - lag(sample_idx) OVER o) AS st FROM x WHERE raw IS NOT NULL WINDOW o AS (PARTITION BY session_id, signal, w ORDER BY sample_idx)),
+r AS (SELECT session_id, signal, w, avg(raw) AS mean, stddev_pop(raw) / abs(avg(raw)) * 100 AS cv, coalesce(max(st), 0) AS st FROM k GROUP BY ALL), a AS (SELECT session_id, signal, w, sqrt(avg(f * f)) AS rms, max(f) - min(f) AS ptp FROM x GROUP BY ALL HAVING count(*) = 10),
+j AS (SELECT a.*, mean, cv, coalesce(st, 0) AS st FROM a LEFT JOIN r ON a.session_id = r.session_id AND a.signal = r.signal AND a.w = r.w), m AS (SELECT *, median(ptp) OVER p AS mp, median(st) OVER p AS ms FROM j WINDOW p AS (PARTITION BY session_id, signal)),
+z AS (SELECT *, 0.67448975 * (ptp - mp) / median(abs(ptp - mp)) OVER p AS zp, 0.67448975 * (st - ms) / median(abs(st - ms)) OVER p AS zd FROM m WINDOW p AS (PARTITION BY session_id, signal))
+SELECT session_id, signal, CAST(w AS BIGINT) AS window_index, round(mean, 6) AS raw_mean, round(cv, 6) AS raw_cv_percent, round(rms, 6) AS rms, round(ptp, 6) AS ptp, round(st, 6) AS max_first_difference, concat_ws(';', CASE WHEN w < 1 THEN 'setup' END, CASE WHEN zp > 2 THEN 'high_peak_to_peak' END, CASE WHEN zd > 2 THEN 'motion_step' END, CASE WHEN cv > 12 THEN 'high_local_cv' END) AS artifact_reason FROM z""")
+def optical_windows(spark, sf):
+    s = samples(spark, sf).filter(F.col("signal").isin("fNIRS_1", "fNIRS_2")).withColumn("filtered", F.col("value") - 3).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value") + 500))
+    d = M.optical_windows(s, size=10, setup_windows=1, z=2.0, most_cv=12.0)
+    return rounded(d, "raw_mean", "raw_cv_percent", "rms", "ptp", "max_first_difference").select(*KEYS, "window_index", "raw_mean", "raw_cv_percent", "rms", "ptp", "max_first_difference", "artifact_reason")
+
+
+@query("channel_correlation", SQL + " SELECT a.session_id, round(corr(a.value, b.value), 6) AS correlation FROM s a JOIN s b ON a.session_id = b.session_id AND a.sample_idx = b.sample_idx AND a.signal = 'AF3' AND b.signal = 'AF4' GROUP BY 1")
+def channel_correlation(spark, sf):
+    return rounded(M.pair_correlation(samples(spark, sf), "AF3", "AF4", "value", "correlation"), "correlation")
