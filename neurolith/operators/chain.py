@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from neurolith.operators import blocks as B
 from neurolith.operators import cleaning as C
+from neurolith.operators import components as I
 from neurolith.operators import epochs as E
 from neurolith.operators import heartbeats as H
 from neurolith.operators import kernels as K
 from neurolith.operators import line_noise as L
+from neurolith.operators import personal as R
 from neurolith.operators import spectra as P
 from neurolith.operators import wavelets as V
 from neurolith.sources.recordings import load_errors
@@ -46,6 +48,7 @@ class Settings:
     line_window: float = 4.0
     line_width: float = 2.0
     line_p: float = 0.01
+    line_rounds: int = 1
     highpass: float = 1.0
     lowpass: float = 45.0
     filter_method: str = "butter"
@@ -62,6 +65,8 @@ class Settings:
     threshold: str = "hard"
     wavelet_block: float | None = 4.0
     wavelet_overlap: float = 0.0
+    components: bool = False
+    most_slope: float = -0.5
     evoked: bool = False
     epoch: float = 2.0
     before: float = 0.2
@@ -80,7 +85,7 @@ class Settings:
             "fs": self.fs > 0, "highpass": 0 < self.highpass < self.lowpass, "filter_order": self.filter_order >= 1, "threshold": self.threshold in ("hard", "soft"),
             "reference": self.reference in ("average", "subset", None), "reference_channels": self.reference != "subset" or bool(self.reference_channels), "epoch": self.epoch * self.fs >= 2, "line_window": self.line_window * self.fs >= 4,
             "wavelet_block": self.wavelet_block is None or self.wavelet_block > 0, "before": self.before >= 0 and self.after >= 0,
-            "line_method": self.line_method in ("sine", "tapers", "notch"), "line_width": self.line_width > 0, "line_p": 0 < self.line_p < 1, "filter_method": self.filter_method in ("butter", "fir"), "wavelet_overlap": 0 <= self.wavelet_overlap < 1,
+            "line_method": self.line_method in ("sine", "tapers", "notch"), "line_width": self.line_width > 0, "line_p": 0 < self.line_p < 1, "line_rounds": 1 <= self.line_rounds <= 10, "filter_method": self.filter_method in ("butter", "fir"), "wavelet_overlap": 0 <= self.wavelet_overlap < 1,
             "resample_to": self.resample_to is None or (self.resample_to > 0 and float(self.fs).is_integer()), "heart_window": 0 < 3 * self.heart_window <= self.heart_epoch,
         }
         for name, holds in rules.items():
@@ -168,7 +173,7 @@ def run(samples: DataFrame, settings: Settings, events: DataFrame | None = None,
     """samples (session, channel, sample_idx, value) -> tables cleaned, channels, epochs, quality, steps, errors and record.
 
     Channels, rate, line noise, band-pass, bad channels (flat, uncorrelated, odd spectrum or line noise; left out of what
-    follows), heart beats, repair, wavelets, own steps (name: function of a series' values), reference, epochs (fixed, or about
+    follows), heart beats, repair, wavelets, components, own steps (name: function of a series' values), reference, epochs (fixed, or about
     events in evoked runs), baseline, rejection. Epochs of the table all stay; rejected says which fail, by the
     rejection_channels where there are any. A pulled_channel is taken out at first and put back as zeros before the average
     reference. Evoked runs take events (session, onset, tag) at the rate that the samples are cleaned at; recordings without
@@ -200,10 +205,10 @@ def run(samples: DataFrame, settings: Settings, events: DataFrame | None = None,
     if o.line_frequency:
         freqs = [f for f in dict.fromkeys((o.line_frequency, 2 * o.line_frequency, *o.line_harmonics)) if f < fs / 2]
         if o.line_method == "sine":
-            line = C.remove_line(d, keys, fs=fs, freqs=freqs, seconds=o.line_window).select(*keys, "sample_idx", F.col("value").alias("pre"), F.col("cleaned").alias("post"))
+            line = C.remove_line(d, keys, fs=fs, freqs=freqs, seconds=o.line_window, rounds=o.line_rounds).select(*keys, "sample_idx", F.col("value").alias("pre"), F.col("cleaned").alias("post"))
         else:
             if o.line_method == "tapers":
-                post = L.remove_tested_lines(d, keys, fs=fs, freqs=freqs, seconds=o.line_window, bandwidth=o.line_width, p=o.line_p)[0].withColumnRenamed("cleaned", "post")
+                post = L.remove_tested_lines(d, keys, fs=fs, freqs=freqs, seconds=o.line_window, bandwidth=o.line_width, p=o.line_p, rounds=o.line_rounds)[0].withColumnRenamed("cleaned", "post")
             else:
                 post = B.notch_band(d, keys, fs=fs, freqs=freqs, width=o.line_width).withColumnRenamed("filtered", "post")
             line = d.withColumnRenamed("value", "pre").join(post, [*keys, "sample_idx"], "left")
@@ -214,7 +219,11 @@ def run(samples: DataFrame, settings: Settings, events: DataFrame | None = None,
         d = B.fir_band_pass(d, keys, fs=fs, low=o.highpass, high=o.lowpass)
     else:
         d = K.band_pass(d, keys, fs=fs, low=o.highpass, high=o.lowpass, order=o.filter_order, failing=True)
+    before = line.select(*keys, "sample_idx", "pre") if o.line_frequency else None
     d = stages.step("filter", d.withColumnRenamed("filtered", "value"))
+    if before is not None:
+        bands = R.band_power_retained(before.join(d.withColumnRenamed("value", "post"), [*keys, "sample_idx"]), session, channel, fs=fs)
+        measures.append(kept("band_measures", bands))
     fixed = P.segments(d, keys, ["value"], size, size).select(session, F.col(channel).alias("channel"), F.col("segment").alias("epoch"), F.col("value").alias("a"))
     found = E.bad_channels(fixed, session, o.least_correlation if o.least_correlation is not None else 0.0)
     channels = d.select(*keys).distinct().join(found.withColumnRenamed("channel", channel), keys, "left")
@@ -243,6 +252,15 @@ def run(samples: DataFrame, settings: Settings, events: DataFrame | None = None,
         d = stages.step("wavelet", d.select(*keys, "sample_idx", F.col("value").alias("pre"), F.col("cleaned").alias("post")), ("post",))
         measures.append(kept("wavelet_measures", step_measures(d, session, channel, "wavelet", size=size_4, freqs=[], fs=fs)))
         d = d.select(*keys, "sample_idx", F.col("post").alias("value"))
+    if o.components:
+        v, model = I.unmixing(d, session, channel, f"{stages.place}/components")
+        parts = kept("component_values", I.component_values(v, model, session))
+        marks = kept("component_marks", I.muscle_components(parts, session, fs=fs).withColumn("muscle", F.coalesce(F.col("slope") > o.most_slope, F.lit(False))))
+        rejected = kept("components_rejected", I.rejection_row(marks, session))
+        none_left = rejected.filter("all_rejected").select(session, F.lit("AllComponentsRejected").alias("error_type"), F.lit("no component is left").alias("message"))
+        d = I.remove_components(d, parts, model, marks, session, channel).select(*keys, "sample_idx", F.col("cleaned").alias("value"))
+        d = stages.step("components", d.join(stages.fail("component_choice", none_left).select(session), session, "left_anti"))
+        measures.append(rejected.select(session, "n_components", "n_rejected", "pct_rejected"))
     for name, f in (own or {}).items():
         d = stages.step(name, K.own_step(d, keys, f, failing=True).withColumnRenamed("changed", "value"))
     if pulled:

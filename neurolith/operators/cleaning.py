@@ -8,16 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def remove_line(samples: DataFrame, keys: list[str], *, fs: float, freqs: list[float], seconds: float = 4.0) -> DataFrame:
+def remove_line(samples: DataFrame, keys: list[str], *, fs: float, freqs: list[float], seconds: float = 4.0, rounds: int = 1) -> DataFrame:
     """Add cleaned: value without the sine and cosine of each frequency that fit it best in each window of `seconds`.
 
-    The fit of a window is five sums over it; frequencies are taken out one after the other. Windows do not overlap, so a
-    recording is spread over as many groups as it has windows; the last one may be shorter.
+    The fit of a window is five sums over it; frequencies are taken out one after the other, `rounds` times over, which comes
+    to their joint fit. Windows do not overlap, so a recording is spread over as many groups as it has windows; the last one
+    may be shorter.
     """
     size = max(2, int(round(seconds * fs)))
     d = samples.withColumn("_w", F.floor(F.col("sample_idx") / size)).withColumn("cleaned", F.col("value"))
     w = Window.partitionBy(*keys, "_w")
-    for f in freqs:
+    for f in [*freqs] * rounds:
         angle = F.lit(2 * math.pi * f / fs) * F.col("sample_idx")
         d = d.withColumn("_c", F.cos(angle)).withColumn("_s", F.sin(angle))
         known = F.col("cleaned").isNotNull()

@@ -131,10 +131,11 @@ def component_values(v: DataFrame, model: DataFrame, session: str) -> DataFrame:
 
 def muscle_components(values: DataFrame, session: str, *, fs: float, low: float = 20.0, high: float = 90.0, least_slope: float = -0.5) -> DataFrame:
     """(session, component, slope, muscle): the slope of the log of the density over the log of frequency from low to high Hz;
-    muscles are flat there, so a slope over least_slope is theirs."""
+    muscles are flat there, so a slope over least_slope is theirs. Components of too low a rate have no slope and are none."""
     p = P.power_density(values, [session, "component"], fs=fs, size=max(8, int(2 * fs))).filter(F.col("freq").between(low, min(high, 0.45 * fs)))
     slope = F.regr_slope(F.log(F.greatest("power", F.lit(1e-30))), F.log("freq"))
-    return p.groupBy(session, "component").agg(slope.alias("slope")).withColumn("muscle", F.coalesce(F.col("slope") > least_slope, F.lit(False)))
+    found = values.select(session, "component").distinct().join(p.groupBy(session, "component").agg(slope.alias("slope")), [session, "component"], "left")
+    return found.withColumn("muscle", F.coalesce(F.col("slope") > least_slope, F.lit(False)))
 
 
 def remove_components(samples: DataFrame, values: DataFrame, model: DataFrame, marks: DataFrame, session: str, channel: str, bad: str = "muscle") -> DataFrame:

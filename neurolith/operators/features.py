@@ -96,8 +96,9 @@ def align_events(events: DataFrame, n_samples: int) -> DataFrame:
     return d.withColumn("flags", flags).withColumn("start_idx", inside(a)).withColumn("stop_idx", inside(b)).drop("_p", "_r")
 
 
-def thirds(segments: DataFrame, start: str, stop: str) -> DataFrame:
-    """Split [start, stop) into three by rounded cuts: part (0 to 2), part_start, part_stop."""
+def thirds(segments: DataFrame, start: str, stop: str, least: float = 0.0) -> DataFrame:
+    """Split [start, stop) into three by rounded cuts: part (0 to 2), part_start, part_stop. Shorter ones than least have none."""
+    segments = segments.filter(F.col(stop) - F.col(start) >= least) if least else segments
     cut = lambda k: F.col(start) + F.bround((F.col(stop) - F.col(start)) * k / 3).cast("long")
     return segments.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), cut(k).alias("part_start"), cut(k + 1).alias("part_stop")) for k in range(3)]))).select("*", "_p.*").drop("_p")
 
@@ -176,13 +177,18 @@ def anchored_windows(segments: DataFrame, seconds: float) -> DataFrame:
     return d.withColumn("from_s", F.col("start_s") + F.col("window") * seconds).withColumn("to_s", F.least(F.col("from_s") + seconds, F.col("stop_s")))
 
 
-def sliding_windows(samples: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
-    """mean and n of each full window of `size` samples every `step`: samples are spread to their windows, then summed."""
+def sliding_windows(samples: DataFrame, keys: list[str], size: int, step: int, least_finite: float | None = None) -> DataFrame:
+    """mean and n of each full window of `size` samples every `step`: samples are spread to their windows, then summed. With
+    least_finite, n_finite too, and only windows in which that share of the samples is a number."""
     last = F.floor(F.col("sample_idx") / step)
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("sample_idx") - size) / step) + 1)
     d = samples.withColumn("window", F.explode(F.sequence(first, last)))
-    g = d.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
-    return g.filter(F.col("n") == size)
+    if least_finite is None:
+        g = d.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+        return g.filter(F.col("n") == size)
+    fine = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    g = d.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"), F.count(fine).alias("n_finite"), F.avg(fine).alias("mean"))
+    return g.filter((F.col("n") == size) & (F.col("n_finite") >= least_finite * size))
 
 
 # --- epochs as arrays ------------------------------------------------------------------------------------------------

@@ -12,9 +12,11 @@ import pytest
 
 from neurolith.__main__ import main
 from neurolith.operators import chain as A
+from neurolith.operators import cleaning as C
 from neurolith.operators import features as X
 from neurolith.operators import haemodynamics as H
 from neurolith.operators import kernels as K
+from neurolith.operators import personal as P
 from neurolith.operators import vitals as L
 from neurolith.plans import registry
 from neurolith.sources import recordings as R
@@ -210,13 +212,39 @@ def test_an_error_inside_a_step_ends_one_recording_only(spark, tmp_path):
 
 
 def test_chain_of_the_other_methods(spark, tmp_path):
-    o = A.Settings(fs=50.0, resample_to=40, line_frequency=16.0, line_method="tapers", line_window=4.0, filter_method="fir", highpass=2.0, lowpass=18.0, heart_beats=True, heart_epoch=6.0, wavelet_overlap=0.5, wavelet_block=2.0, pulled_channel="X3")
+    o = A.Settings(fs=50.0, resample_to=40, line_frequency=16.0, line_method="tapers", line_window=4.0, filter_method="fir", highpass=2.0, lowpass=18.0, heart_beats=True, heart_epoch=6.0, wavelet_overlap=0.5, wavelet_block=2.0, pulled_channel="X3", components=True, most_slope=1e9)
     t = A.run(eeg(spark), o, folder=str(tmp_path))
     assert t["cleaned"].groupBy("session_id", "signal").count().filter("count = 800").count() == 2 * 3
     assert {r.session_id for r in t["errors"].collect()} == {"gone"}
     assert {(r.session_id, r.signal): r.bad for r in t["channels"].collect()} == {(s, c): c == "flat" for s in "ab" for c in ("X1", "X2", "flat")}
-    assert set(t["steps"].columns) > {"wavelet_percent_variance_retained", "lineNoise_coherence_16Hz", "wavelet_rmse"}
+    assert {r.pct_rejected for r in t["steps"].collect()} == {0.0}
+    assert set(t["steps"].columns) > {"alpha_power_before", "alpha_power_after", "alpha_power_retained_pct", "n_components", "wavelet_percent_variance_retained", "lineNoise_coherence_16Hz", "wavelet_rmse"}
     notch = A.run(eeg(spark), A.Settings(fs=50.0, line_frequency=20.0, line_method="notch", lowpass=22.0, wavelet=False), folder=str(tmp_path / "n"))
     d = notch["cleaned"].filter("session_id = 'a' AND signal = 'X1'").orderBy("sample_idx").toPandas().value.to_numpy()
     power = np.abs(np.fft.rfft(d)) ** 2
     assert len(d) == 1000 and power[400] < 0.05 * power[120]
+
+
+def test_every_component_rejected_is_an_error(spark, tmp_path):
+    o = A.Settings(fs=100.0, line_frequency=None, lowpass=45.0, wavelet=False, components=True, most_slope=-1e9, include=("X1", "X2"))
+    t = A.run(eeg(spark), o, folder=str(tmp_path))
+    assert {(r.session_id, r.error_type, r.step) for r in t["errors"].collect()} == {("gone", "LoadFail", "load"), ("a", "AllComponentsRejected", "component_choice"), ("b", "AllComponentsRejected", "component_choice")}
+    assert t["cleaned"].count() == 0 and t["quality"].count() == 3
+
+
+def test_band_power_before_and_after(spark):
+    t = np.arange(3000) / 100
+    x = {c: g * np.sin(2 * np.pi * 10 * t) + np.sin(2 * np.pi * 20 * t) for c, g in (("X", 1.0), ("Y", 2.0))}
+    rows = pd.concat([pd.DataFrame({"session_id": "a", "signal": c, "sample_idx": np.arange(3000), "pre": v, "post": v - 0.5 * np.sin(2 * np.pi * 20 * t)}) for c, v in x.items()])
+    r = P.band_power_retained(spark.createDataFrame(rows), "session_id", "signal", fs=100.0).first()
+    assert abs(r.alpha_power_before - (0.5 + 2) / 2) < 0.01 and abs(r.alpha_power_retained_pct - 100) < 1e-6 and abs(r.beta_power_retained_pct - 25) < 0.01
+
+
+def test_rounds_of_line_removal_come_to_the_joint_fit(spark):
+    n, rng = 300, np.random.default_rng(3)
+    x, i = rng.normal(size=n), np.arange(n)
+    a = np.column_stack([f(2 * np.pi * q / 100.0 * i) for q in (10.0, 10.4) for f in (np.cos, np.sin)])
+    want = x - a @ np.linalg.lstsq(a, x, rcond=None)[0]
+    d = spark.createDataFrame(pd.DataFrame({"session_id": "a", "signal": "X", "sample_idx": i, "value": x}))
+    error = [np.abs(C.remove_line(d, ["session_id", "signal"], fs=100.0, freqs=[10.0, 10.4], seconds=3.0, rounds=k).orderBy("sample_idx").toPandas().cleaned - want).max() for k in (1, 6)]
+    assert error[1] < 0.1 * error[0]
