@@ -189,16 +189,24 @@ def peaks(x: np.ndarray, apart: int, prominence: float = 0.0) -> np.ndarray:
             keep[near] = False
             keep[i] = True
     at = at[keep]
-    if prominence > 0:
-        fine = []
-        for p in at:
-            higher_l, higher_r = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p + 1 :] > x[p])
-            left, right = x[higher_l[-1] if len(higher_l) else 0 : p + 1].min(), x[p : p + 2 + (higher_r[0] if len(higher_r) else len(x))].min()
-            fine.append(x[p] - max(left, right) >= prominence)
-        at = at[np.array(fine, bool)] if len(at) else at
+    if prominence > 0 and len(at):
+        base = np.maximum(_lowest_before(x), _lowest_before(x[::-1])[::-1])
+        at = at[x[at] - base[at] >= prominence]
     return at
 
 
+def _lowest_before(x: np.ndarray) -> np.ndarray:
+    """For each place the least value since the last higher one, itself included, in one pass."""
+    out, higher = np.empty(len(x)), []
+    for i, v in enumerate(x.tolist()):
+        least = v
+        while higher and higher[-1][0] <= v:
+            least = min(least, higher.pop()[1])
+        higher.append((v, least))
+        out[i] = least
+    return out
+
+
 def spread_prominence(x: np.ndarray, share: float = 0.8) -> float:
     """share of the median absolute deviation, at least 1e-9."""
     return max(share * float(np.median(np.abs(x - np.median(x)))), 1e-9)
