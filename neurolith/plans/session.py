@@ -135,6 +135,11 @@ def qc_session_measured(spark, sf):
     return rounded(D.session_decisions(D.signal_decisions(d, F.col("modality"), SIGNAL_LIMITS), recordings(spark, sf, windows), SIGNAL_LIMITS), "global_multimodal_artifact_percent", places=2)
 
 
+def _z(x: str, m: str) -> str:
+    """The robust z of x about its median m in the window p: by the MAD, by the spread where that is 0, else 0."""
+    return f"CASE WHEN median(abs({x} - {m})) OVER p > 0 THEN 0.67448975 * ({x} - {m}) / median(abs({x} - {m})) OVER p WHEN stddev_pop({x}) OVER p > 0 THEN ({x} - {m}) / stddev_pop({x}) OVER p ELSE 0 END"
+
+
 BEATS = SQL + """, x AS (SELECT session_id, signal, sample_idx, value FROM s WHERE signal = 'PPG'), b AS (SELECT session_id, signal, sample_idx AS k FROM s WHERE signal = 'PPG' AND event_id % 4 = 0),
 i AS (SELECT *, (k - lag(k) OVER (PARTITION BY session_id ORDER BY k)) / 10.0::DOUBLE AS g FROM b)"""
 
@@ -145,7 +150,7 @@ def beats(spark, sf):
 
 @query("pulse_windows", BEATS + """, n AS (SELECT session_id, signal, k // 20 AS w, count(*) AS n_peaks, avg(CASE WHEN g BETWEEN 0.4 AND 1.5 THEN 100.0::DOUBLE WHEN g IS NOT NULL THEN 0.0 END) AS v FROM i GROUP BY ALL),
 w AS (SELECT session_id, signal, sample_idx // 20 AS w, sqrt(avg(value * value)) AS rms, max(value) - min(value) AS ptp FROM x GROUP BY ALL HAVING count(*) = 20),
-m AS (SELECT *, median(rms) OVER p AS a, median(ptp) OVER p AS b FROM w WINDOW p AS (PARTITION BY session_id, signal)), z AS (SELECT *, 0.67448975 * (rms - a) / median(abs(rms - a)) OVER p AS z_rms, 0.67448975 * (ptp - b) / median(abs(ptp - b)) OVER p AS z_ptp FROM m WINDOW p AS (PARTITION BY session_id, signal)),
+m AS (SELECT *, median(rms) OVER p AS a, median(ptp) OVER p AS b FROM w WINDOW p AS (PARTITION BY session_id, signal)), z AS (SELECT *, """ + _z("rms", "a") + " AS z_rms, " + _z("ptp", "b") + """ AS z_ptp FROM m WINDOW p AS (PARTITION BY session_id, signal)),
 j AS (SELECT z.*, coalesce(n_peaks, 0) AS n_peaks, CASE WHEN n_peaks >= 3 THEN coalesce(v, 0) ELSE 0 END AS v FROM z LEFT JOIN n ON z.session_id = n.session_id AND z.w = n.w),
 f AS (SELECT *, concat_ws(';', CASE WHEN z_rms > 2 OR rms > 12 * a THEN 'high_rms' END, CASE WHEN z_ptp > 2 OR ptp > 20 * b THEN 'high_peak_to_peak' END, CASE WHEN n_peaks NOT BETWEEN 1 AND 8 THEN 'implausible_peak_count' END) AS r FROM j)
 SELECT session_id, signal, CAST(w AS BIGINT) AS window_index, round(rms, 6) AS rms, n_peaks, round(v, 6) AS valid_ibi_percent, r AS artifact_reason, r <> '' AS artifact FROM f""")
@@ -165,7 +170,7 @@ def pulse_measures(spark, sf):
 k AS (SELECT *, abs(raw - lag(raw) OVER o) / (sample_idx - lag(sample_idx) OVER o) AS st FROM x WHERE raw IS NOT NULL WINDOW o AS (PARTITION BY session_id, signal, w ORDER BY sample_idx)),
 r AS (SELECT session_id, signal, w, avg(raw) AS mean, stddev_pop(raw) / abs(avg(raw)) * 100 AS cv, coalesce(max(st), 0) AS st FROM k GROUP BY ALL), a AS (SELECT session_id, signal, w, sqrt(avg(f * f)) AS rms, max(f) - min(f) AS ptp FROM x GROUP BY ALL HAVING count(*) = 10),
 j AS (SELECT a.*, mean, cv, coalesce(st, 0) AS st FROM a LEFT JOIN r ON a.session_id = r.session_id AND a.signal = r.signal AND a.w = r.w), m AS (SELECT *, median(ptp) OVER p AS mp, median(st) OVER p AS ms FROM j WINDOW p AS (PARTITION BY session_id, signal)),
-z AS (SELECT *, 0.67448975 * (ptp - mp) / median(abs(ptp - mp)) OVER p AS zp, 0.67448975 * (st - ms) / median(abs(st - ms)) OVER p AS zd FROM m WINDOW p AS (PARTITION BY session_id, signal))
+z AS (SELECT *, """ + _z("ptp", "mp") + " AS zp, " + _z("st", "ms") + """ AS zd FROM m WINDOW p AS (PARTITION BY session_id, signal))
 SELECT session_id, signal, CAST(w AS BIGINT) AS window_index, round(mean, 6) AS raw_mean, round(cv, 6) AS raw_cv_percent, round(rms, 6) AS rms, round(ptp, 6) AS ptp, round(st, 6) AS max_first_difference, concat_ws(';', CASE WHEN w < 1 THEN 'setup' END, CASE WHEN zp > 2 THEN 'high_peak_to_peak' END, CASE WHEN zd > 2 THEN 'motion_step' END, CASE WHEN cv > 12 THEN 'high_local_cv' END) AS artifact_reason FROM z""")
 def optical_windows(spark, sf):
     s = samples(spark, sf).filter(F.col("signal").isin("fNIRS_1", "fNIRS_2")).withColumn("filtered", F.col("value") - 3).withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value") + 500))
