@@ -13,6 +13,8 @@ from neurolith.llm.common import BYTE, MULT, MULT_INV, arrow_bytes, cut, mix, pi
 
 #: Bytes of the string whose hash is an anchor.
 GRAM = 32
+#: Bytes of a row with a key and an array in a join's table, besides the array's elements.
+ROW = 64
 
 
 class Hashes:
@@ -27,7 +29,7 @@ class Hashes:
         return mix((self.total[stop] - self.total[start]) * self.back[start])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, size_of_gram: int = GRAM) -> dict[str, np.ndarray]:
     """Every window of `length` bytes within a text, by its anchor: the leftmost least of its grams' hashes.
 
     Equal windows have equal anchors at equal places. A row is a run of window starts from lo to hi with one anchor: its
@@ -35,13 +37,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     and of where the anchor lies in it.
     """
     size = np.diff(offsets)
-    wide = length - GRAM + 1
+    wide = length - size_of_gram + 1
     n = len(data) - length + 1
     none = {k: np.zeros(0, np.int64) for k in ("text", "lo", "span", "key", "ctx", "at")}
     if n <= 0 or (size < length).all():
         return none
     h = Hashes(data)
-    gram = h.of(slice(0, len(data) - GRAM + 1), slice(GRAM, len(data) + 1))
+    gram = h.of(slice(0, len(data) - size_of_gram + 1), slice(size_of_gram, len(data) + 1))
     v = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
     pad = -len(v) % wide
     blocks = np.concatenate([v, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, wide)
@@ -163,26 +165,39 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 200, contexts_per_key: int = 5_000, bytes_per_bucket: int = 1 << 20, most_broadcast: int = 2_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, length: int = 200, contexts_per_key: int = 5_000, bytes_per_bucket: int = 1 << 20, most_broadcast: int = 128 << 20) -> DataFrame:
     """docs (doc_id, text) -> ref (a hash of doc_id and text), spans: byte ranges [from, to) that lie in repeated windows.
 
-    Windows are routed by their anchors, about one row per 85 bytes of text. Keys that occur once end there. Contexts that
-    occur as a whole more than once are repeated throughout, however many copies there are (a count per context with
-    partial sums). What is left are different contexts with a common key: one of each goes, with its bytes, to a bucket of
-    about bytes_per_bucket, where the suffix array of all contexts and its adjacent common prefixes tell which windows
-    repeat. A key with more than contexts_per_key different contexts does not go to one bucket: its windows are counted by
-    their hashes instead, with partial sums. Ranges then return to all rows with the context.
+    length is over 33. Windows are routed by their anchors as in spans_by_anchor, with grams of 32 bytes; the contexts of hot
+    keys once more with grams halfway to a window's length, and what is still hot with grams one byte short of it.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    d = docs.select(_row_key(docs).alias("ref"), "text").filter(F.octet_length("text") >= length)
+    return spans_by_anchor(d, (GRAM, (GRAM + length) // 2, length - 1), length=length, contexts_per_key=contexts_per_key, bytes_per_bucket=bytes_per_bucket, most_broadcast=most_broadcast)
+
+
+def spans_by_anchor(d: DataFrame, grams: tuple[int, ...], *, length: int, contexts_per_key: int, bytes_per_bucket: int, most_broadcast: int) -> DataFrame:
+    """d (ref, text: string or binary, each of `length` bytes at least) -> ref, spans, as repeated_spans gives them.
+
+    Windows are routed by their anchors, about one row per 85 bytes of text with grams of 32 bytes. Keys that occur once end
+    there. Contexts that occur as a whole more than once are repeated throughout, however many copies there are (a count per
+    context with partial sums). What is left are different contexts with a common key: one of each goes, with its bytes, to
+    a bucket of about bytes_per_bucket, where the suffix array of all contexts and its adjacent common prefixes tell which
+    windows repeat. A key with more than contexts_per_key different contexts would overfill its bucket: its contexts are
+    taken as texts again, and their windows routed by second anchors, made of the next of `grams`. Longer grams are shared by fewer
+    contexts; with one of length - 1 bytes a context has at most a byte of its own on each side, so that a key has at most
+    66,048 different ones (13 MB), and all go to a bucket. Ranges then return to all rows with the context.
+
+    Places of contexts are broadcast if they have at most most_broadcast bytes as Spark holds them; else texts are shuffled.
+    """
+    gram, *longer = grams
 
     def find(batches):
         for batch in pieces(batches, 4 << 20):
             data, offsets = arrow_bytes(batch.column("text"))
-            a = anchors(data, offsets, length)
+            a = anchors(data, offsets, length, gram)
             yield pa.RecordBatch.from_arrays([pa.array(a["key"]), pa.array(a["ctx"]), batch.column("ref").take(pa.array(a["text"])), pa.array(a["lo"].astype(np.int32)), pa.array(a["span"].astype(np.int16))], ["key", "ctx", "ref", "lo", "span"])
 
-    d = docs.select(_row_key(docs).alias("ref"), "text").filter(F.octet_length("text") >= length)
     rows = cut(d.mapInArrow(find, "key long, ctx long, ref long, lo int, span short"))
     # What joins a hot key is written first: then both sides are plain shuffles, which adaptive execution can split.
     twice = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"))
@@ -190,11 +205,13 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, contexts_per_key: int
     contexts = rows.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "lo", "span")).alias("one"))
     contexts = cut(contexts.select("key", "ctx", "n", "one.*"))
     per_key = cut(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"))
-    compare = cut(contexts.join(per_key, "key"))
-    n_compare, size = compare.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("span") + length), F.lit(0))).first()
+    hot = F.col("_k") > contexts_per_key if longer else F.lit(False)
+    compare = cut(contexts.join(per_key, "key").withColumn("hot", hot))
+    n_compare, n_hot, size = compare.agg(F.count(F.lit(1)), F.count_if("hot"), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("span") + length)), F.lit(0))).first()
 
-    wanted = compare.groupBy("ref").agg(F.collect_list(F.struct("key", "ctx", "lo", "span", (F.col("_k") > contexts_per_key).alias("hot"))).alias("wanted"))
-    wanted = F.broadcast(wanted) if n_compare <= most_broadcast else wanted
+    wanted = compare.groupBy("ref").agg(F.collect_list(F.struct("key", "ctx", "lo", "span", "hot")).alias("wanted"))
+    # A place is a struct of five words in an array, 56 bytes; at most each has a row of its own.
+    wanted = F.broadcast(wanted) if n_compare * (56 + ROW) <= most_broadcast else wanted
 
     def fetch(batches):
         for batch in pieces(batches, 8 << 20):
@@ -221,40 +238,33 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, contexts_per_key: int
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"key": pa.array(cols[0], pa.int64()), "ctx": pa.array(cols[1], pa.int64()), "first": pa.array(cols[2], pa.int32()), "last": pa.array(cols[3], pa.int32())})
 
-    def window_hashes(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                data, offsets = arrow_bytes(part.column("body"))
-                n = np.asarray(part.column("span")).astype(np.int64) + 1
-                row = np.repeat(np.arange(len(n)), n)
-                start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = offsets[row] + start
-                h = Hashes(data).of(at, at + length)
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), part.column("ctx").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64))], ["key", "ctx", "start", "window"])
-
     by_sort = bodies.filter("NOT hot").withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("_bucket").applyInArrow(sort_bucket, "key long, ctx long, first int, last int")
-    spread = bodies.filter("hot").mapInArrow(window_hashes, "key long, ctx long, start int, window long")
-    again = spread.groupBy("key", "window").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    by_hash = spread.join(again, ["key", "window"]).select("key", "ctx", F.col("start").alias("first"), F.col("start").alias("last"))
     whole = contexts.filter("n > 1").select("key", "ctx", F.lit(0).alias("first"), F.col("span").cast("int").alias("last"))
-    ranges = cut(whole.unionByName(by_sort).unionByName(by_hash).groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
+    found = whole.unionByName(by_sort)
+    if n_hot:
+        again = bodies.filter("hot").select("key", "ctx", F.xxhash64("key", "ctx").alias("ref"), F.col("body").alias("text"))
+        spans = cut(spans_by_anchor(again.select("ref", "text"), tuple(longer), length=length, contexts_per_key=contexts_per_key, bytes_per_bucket=bytes_per_bucket, most_broadcast=most_broadcast))
+        deeper = again.drop("text").join(spans, "ref").select("key", "ctx", F.inline("spans")).select("key", "ctx", F.col("from").alias("first"), (F.col("to") - length).alias("last"))
+        found = found.unionByName(deeper)
+    ranges = cut(found.groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
     hits = rows.join(ranges, ["key", "ctx"]).select("ref", F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("from"), (F.col("lo") + r["last"] + length).alias("to"))).alias("spans")).distinct()
     return hits.groupBy("ref").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def dedup(docs: DataFrame, *, length: int = 200, keep_text: bool = False, most_broadcast: int = 400_000) -> DataFrame:
+def dedup(docs: DataFrame, *, length: int = 200, keep_text: bool = False, most_broadcast: int = 128 << 20) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes), a row for each row.
 
     Each byte goes that lies in a string of `length` bytes that also starts elsewhere, in any text or the same one. Null
     texts are empty; very long texts count whole; repeated rows repeat each other; an empty table gives an empty result;
-    other columns are not looked at.
+    other columns are not looked at. The ranges to remove are broadcast if they have at most most_broadcast bytes as Spark
+    holds them; else texts are shuffled to them.
     """
     docs, _ = sheltered(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     spans = cut(repeated_spans(d, length=length))
-    spans = F.broadcast(spans) if spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= 2 * most_broadcast else spans
+    n, ranges = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    spans = F.broadcast(spans) if n * ROW + ranges * 32 <= most_broadcast else spans  # a range is a struct of two words, 32 bytes
     joined = d.withColumn("ref", _row_key(d)).join(spans, "ref", "left").select("doc_id", "text", "spans")
 
     def remove(batches):

@@ -485,6 +485,23 @@ def test_suffix_dedup_matches_brute_force(table, empty, hot, monkeypatch):
     assert suffix_dedup.dedup_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [5000, 3, 1])
+def test_suffix_dedup_hot_keys(spark, monkeypatch, most):
+    """Passages shorter, as long as, and longer than a window, each in many surroundings: their keys are hot at every level."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = [noise(n) for n in (40, 150, 199, 200, 201, 330)]
+    texts = [noise(rng.randint(0, 260)) + c + rng.choice("xyz") + noise(rng.randint(0, 260)) for c in common for _ in range(9)]
+    texts += ["q" * n for n in (199, 200, 201, 700)] + ["\u00e9" * 150 + noise(60)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    used = []
+    plain = suffix_dedup.spans_by_anchor
+    monkeypatch.setattr(suffix_dedup, "spans_by_anchor", lambda d, grams, **k: used.append(grams) or plain(d, grams, **{**k, "contexts_per_key": most}))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_documents(docs).collect()}
+    assert got == dict(enumerate(repeated([t.encode() for t in texts], 200)))
+    assert used == [(32, 116, 199), (116, 199), (199,)][: 1 if most == 5000 else 3]
+
+
 def test_suffix_array_order():
     rng = random.Random(3)
     for _ in range(200):
