@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolith.llm.common import BYTE, MULT, MULT_INV, arrow_bytes, cut, mix, pieces, powers, sheltered, small_batches
@@ -247,8 +247,17 @@ def spans_by_anchor(d: DataFrame, grams: tuple[int, ...], *, length: int, contex
         deeper = again.drop("text").join(spans, "ref").select("key", "ctx", F.inline("spans")).select("key", "ctx", F.col("from").alias("first"), (F.col("to") - length).alias("last"))
         found = found.unionByName(deeper)
     ranges = cut(found.groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
-    hits = rows.join(ranges, ["key", "ctx"]).select("ref", F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("from"), (F.col("lo") + r["last"] + length).alias("to"))).alias("spans")).distinct()
-    return hits.groupBy("ref").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = rows.join(ranges, ["key", "ctx"]).select("ref", F.inline(F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("from"), (F.col("lo") + r["last"] + length).alias("to")))))
+    return merged(hits.groupBy("ref", "from").agg(F.max("to").alias("to")))
+
+
+def merged(ranges: DataFrame) -> DataFrame:
+    """(ref, from, to) -> ref, spans: the ranges of each ref, those that overlap or touch as one."""
+    w = Window.partitionBy("ref").orderBy("from")
+    ahead = F.max("to").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ranges.withColumn("_new", F.when(F.col("from") <= ahead, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    runs = runs.groupBy("ref", "_run").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return runs.groupBy("ref").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def dedup(docs: DataFrame, *, length: int = 200, keep_text: bool = False, most_broadcast: int = 128 << 20) -> DataFrame:
