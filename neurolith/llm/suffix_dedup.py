@@ -193,7 +193,7 @@ def spans_by_anchor(d: DataFrame, grams: tuple[int, ...], *, length: int, contex
     gram, *longer = grams
 
     def find(batches):
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, 1 << 20):
             data, offsets = arrow_bytes(batch.column("text"))
             a = anchors(data, offsets, length, gram)
             yield pa.RecordBatch.from_arrays([pa.array(a["key"]), pa.array(a["ctx"]), batch.column("ref").take(pa.array(a["text"])), pa.array(a["lo"].astype(np.int32)), pa.array(a["span"].astype(np.int16))], ["key", "ctx", "ref", "lo", "span"])
