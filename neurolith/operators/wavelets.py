@@ -1,6 +1,6 @@
-"""Discrete wavelet transforms as rows: each level is one explode over the filter's taps and one sum by place.
+"""Discrete wavelet transforms by blocks with halos: one shuffle for all levels down, and one for all levels up.
 
-A series is never in one task: its coefficients are rows that aggregates bring together, and each level halves what moves on.
+A series is as many tasks as Spark likes, and the coefficients are the same at a block's edge as everywhere else.
 """
 
 from __future__ import annotations
@@ -41,65 +41,139 @@ def depth(n: Column, level: int, taps: int) -> Column:
     return at
 
 
-def sizes(n: Column, level: int, taps: int, periodic: bool) -> list[Column]:
-    """How many values each level has, from the series itself on."""
-    out = [n]
-    for l in range(1, level + 1):
-        out.append(F.ceil(n / 2**l) if periodic else F.floor((out[-1] + (taps - 1)) / 2))
-    return [x.cast("long") for x in out]
+def _block_size(wavelet: str, level: int, block: int | None) -> tuple[int, int]:
+    """Samples of a block (which 2^level divides), and how far beyond it the samples lie that its coefficients need."""
+    halo = (len(filters(wavelet)[0]) + 2) * 2**level
+    return 2**level * -(-(block or max(16384, 8 * halo)) // 2**level), halo
+
+
+def _blocks_near(at: Column, n: Column, size: int, halo: int, wrap: bool) -> Column:
+    """The blocks that need what lies at sample `at` of n: its own and those within the halo, past the ends too with wrap. The
+    last block takes the rest of the series, so each has `size` samples or more, but for that of a shorter series."""
+    last = F.greatest(F.floor(n / size) - 1, F.lit(0)).cast("long")
+
+    def near(place: Column) -> Column:
+        low = F.least(F.greatest(F.floor((place - halo) / size), F.lit(0).cast("long")), last)
+        return F.when((place + halo >= 0) & (place - halo < n), F.sequence(low, F.least(F.floor((place + halo) / size), last)))
+
+    if not wrap:
+        return near(at)
+    return F.array_distinct(F.flatten(F.array_compact(F.array(near(at), near(at - n), near(at + n)))))
+
+
+def _lengths(n: int, depth: int, taps: int, periodic: bool) -> list[int]:
+    out = [int(n)]
+    for _ in range(depth):
+        out.append((out[-1] + 1) // 2 if periodic else (out[-1] + taps - 1) // 2)
+    return out
+
+
+def _own(number: int, n: int, size: int, l: int, length: int) -> np.ndarray:
+    """The places of level l that a block answers for."""
+    last = number == max(1, n // size) - 1
+    return np.arange(number * size >> l, length if last else (number + 1) * size >> l)
+
+
+def _runs(places: np.ndarray) -> list[tuple[int, int]]:
+    """First and one past the last of each run in sorted whole numbers."""
+    gap = np.flatnonzero(np.diff(places) > 1)
+    return list(zip(places[np.r_[0, gap + 1]].tolist(), (places[np.r_[gap, len(places) - 1]] + 1).tolist(), strict=True))
+
 
+def _inside(start: int, stop: int, m: int, periodic: bool) -> np.ndarray:
+    """Where in a series of m values those from start to stop of its continuation are."""
+    p = np.arange(start, stop)
+    if periodic:
+        return np.minimum(p % (m + m % 2), m - 1)
+    p = p % (2 * m)
+    return np.where(p < m, p, 2 * m - 1 - p)
 
-def decompose(samples: DataFrame, keys: list[str], *, wavelet: str, level: int, periodic: bool = False, value: str = "value") -> DataFrame:
+
+def _values(at: np.ndarray, x: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """x at the places, 0 where it has none; `at` is sorted."""
+    if not len(at):
+        return np.zeros(len(places))
+    i = np.minimum(np.searchsorted(at, places), len(at) - 1)
+    return np.where(at[i] == places, x[i], 0.0)
+
+
+def decompose(samples: DataFrame, keys: list[str], *, wavelet: str, level: int, periodic: bool = False, value: str = "value", block: int | None = None) -> DataFrame:
     """(keys, n, depth, band, k, value): coefficients; band 0 is the approximation, band l the detail of level l.
 
     Edges are continued symmetrically (the edge value twice), or periodically with the last value twice where the number is
     odd. Series too short for `level` stop at their depth. sample_idx runs from 0 without holes; null values count as 0.
+
+    All levels are one shuffle: a block of samples, with the halo that its coefficients reach, is a row, and one Arrow call
+    goes down its levels. Blocks have 16,384 samples, or eight halos where that is more, unless `block` says otherwise.
     """
     low, high, _, _ = filters(wavelet)
-    taps = len(low)
-    n = samples.groupBy(*keys).agg((F.max("sample_idx") + 1).alias("n"))
-    d = samples.join(n, keys).select(*keys, "n", depth(F.col("n"), level, taps).alias("depth"), F.lit(0).alias("band"), F.col("sample_idx").cast("long").alias("k"), F.coalesce(F.col(value), F.lit(0.0)).cast("double").alias("value"))
-    size = sizes(F.col("n"), level, taps, periodic)
-    pairs = [F.array(*[F.struct(F.lit(j).alias("j"), F.lit(low[j]).alias("lo"), F.lit(high[j]).alias("hi")) for j in range(odd, taps, 2)]) for odd in (0, 1)]
-    as_is = F.array(F.struct(F.lit(0).alias("j"), F.lit(1.0).alias("lo"), F.lit(0.0).alias("hi")))
-    k, v = F.col("k"), F.col("value")
-    for l in range(1, level + 1):
-        m, shift = size[l - 1], taps // 2 if periodic else 1
-        if periodic:
-            places = F.when((m % 2 == 1) & (k == m - 1), F.array(k, m)).otherwise(F.array(k))
-        else:
-            places = F.array_compact(F.array(k, F.when(k < taps - 1, -k - 1), F.when(m - 1 - k < taps - 1, 2 * m - 1 - k)))
-
-        goes_on = (F.col("band") == 0) & (F.col("depth") >= l)
-        d = d.withColumn("_p", F.explode(F.when(goes_on, places).otherwise(F.array(k))))
-        even = F.pmod(F.col("_p") - shift, F.lit(2)) == 0
-        d = d.withColumn("_t", F.explode(F.when(~goes_on, as_is).when(even, pairs[0]).otherwise(pairs[1])))
-        to = (F.col("_p") + F.col("_t.j") - shift) / 2
-        to = F.when(goes_on, F.pmod(to, F.ceil(m / 2)) if periodic else to).otherwise(k).cast("long")
-        d = d.withColumn("_k", to).filter(~goes_on | ((F.col("_k") >= 0) & (F.col("_k") < size[l])))
-        d = d.groupBy(*keys, "n", "depth", "band", F.col("_k").alias("k")).agg(F.sum(F.col("_t.lo") * v).alias("_lo"), F.sum(F.col("_t.hi") * v).alias("_hi"))
-        rows = F.array(F.struct(F.col("band"), F.col("_lo").alias("value")), F.struct(F.lit(l).alias("band"), F.col("_hi").alias("value")))
-        d = d.withColumn("_r", F.explode(F.when(goes_on, rows).otherwise(F.slice(rows, 1, 1)))).select(*keys, "n", "depth", "_r.band", "k", "_r.value")
-    return d
-
-
-def reconstruct(coefficients: DataFrame, keys: list[str], *, wavelet: str, level: int) -> DataFrame:
-    """(keys, sample_idx, value) from periodic coefficients as decompose gives them; bands without rows count as 0."""
+    taps, shift = len(low), len(low) // 2 if periodic else 1
+    size, halo = _block_size(wavelet, level, block)
+    n = samples.groupBy(*keys).agg((F.max("sample_idx") + 1).cast("long").alias("n"))
+    d = samples.select(*keys, F.col("sample_idx").cast("long").alias("_i"), F.coalesce(F.col(value), F.lit(0.0)).cast("double").alias("_v")).join(n, keys)
+    d = d.withColumn("_b", F.explode(_blocks_near(F.col("_i"), F.col("n"), size, halo, periodic)))
+    d = d.groupBy(*keys, "n", "_b").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_x")).withColumn("depth", depth(F.col("n"), level, taps))
+
+    @F.pandas_udf("struct<band: array<int>, k: array<bigint>, value: array<double>>")
+    def run(at: pd.Series, x: pd.Series, number: pd.Series, n: pd.Series, deep: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, v, b, m, depth in zip(at, x, number, n, deep, strict=True):
+            p, v, length = np.asarray(p, np.int64), np.asarray(v, float), _lengths(m, depth, taps, periodic)
+            own = [_own(b, m, size, l, length[l]) for l in range(depth + 1)]
+            need = own[:]
+            for l in range(depth - 1, 0, -1):
+                reached = [_inside(2 * a + shift - taps + 1, 2 * z + shift - 1, length[l], periodic) for a, z in _runs(need[l + 1])]
+                need[l] = np.unique(np.concatenate([own[l], *reached]))
+            parts = []
+            for l in range(1, depth + 1):
+                near = [_values(p, v, _inside(2 * a + shift - taps + 1, 2 * z + shift - 1, length[l - 1], periodic)) for a, z in _runs(need[l])]
+                p, v, detail = need[l], *(np.concatenate([np.convolve(x, h, "valid")[::2] for x in near]) for h in (low, high))
+                parts.append((l, own[l], _values(p, detail, own[l])))
+            parts.append((0, own[depth], _values(p, v, own[depth])))
+            out.append((np.repeat([l for l, _, _ in parts], [len(k) for _, k, _ in parts]), np.concatenate([k for _, k, _ in parts]), np.concatenate([c for _, _, c in parts])))
+        return pd.DataFrame(out, columns=["band", "k", "value"])
+
+    d = d.withColumn("_r", run("_x._i", "_x._v", "_b", "n", "depth"))
+    return d.select(*keys, "n", "depth", F.inline(F.arrays_zip("_r.band", "_r.k", "_r.value")))
+
+
+def reconstruct(coefficients: DataFrame, keys: list[str], *, wavelet: str, level: int, block: int | None = None) -> DataFrame:
+    """(keys, sample_idx, value) from periodic coefficients as decompose gives them; those without rows count as 0.
+
+    One shuffle, by blocks with halos as in decompose; a block that no coefficient comes near has no rows.
+    """
     _, _, low, high = filters(wavelet)
-    taps = len(low)
-    d, size = coefficients.select(*keys, "n", "depth", "band", "k", "value"), sizes(F.col("n"), level, taps, True)
-    k, v = F.col("k"), F.col("value")
-    pair = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(low[j]).alias("lo"), F.lit(high[j]).alias("hi")) for j in range(taps)])
-    as_is = F.array(F.struct(F.lit(0).alias("j"), F.lit(1.0).alias("lo"), F.lit(1.0).alias("hi")))
-    for l in range(level, 0, -1):
-        m = size[l - 1]
-        joins = (F.col("depth") >= l) & F.col("band").isin(0, l)
-        d = d.withColumn("_t", F.explode(F.when(joins, pair).otherwise(as_is)))
-        to = F.when(joins, F.pmod(2 * k + F.col("_t.j") - (taps // 2 - 1), m + m % 2)).otherwise(k).cast("long")
-        part = F.when(F.col("band") == 0, F.col("_t.lo")).otherwise(F.col("_t.hi")) * v
-        d = d.select(*keys, "n", "depth", F.when(joins, 0).otherwise(F.col("band")).alias("band"), to.alias("_k"), part.alias("_v"), joins.alias("_j"))
-        d = d.filter(~F.col("_j") | (F.col("_k") < m)).groupBy(*keys, "n", "depth", "band", F.col("_k").alias("k")).agg(F.sum("_v").alias("value"))
-    return d.select(*keys, F.col("k").alias("sample_idx"), "value")
+    taps, back = len(low), len(low) // 2 - 1
+    size, halo = _block_size(wavelet, level, block)
+    at = F.col("k") * F.pow(F.lit(2.0), F.when(F.col("band") == 0, F.col("depth")).otherwise(F.col("band"))).cast("long")
+    d = coefficients.withColumn("_b", F.explode(_blocks_near(at, F.col("n"), size, halo, True)))
+    d = d.groupBy(*keys, "n", "depth", "_b").agg(F.array_sort(F.collect_list(F.struct("band", "k", "value"))).alias("_x"))
+
+    @F.pandas_udf("array<double>")
+    def run(band: pd.Series, at: pd.Series, x: pd.Series, number: pd.Series, n: pd.Series, deep: pd.Series) -> pd.Series:
+        out = []
+        for bands, p, v, b, m, depth in zip(band, at, x, number, n, deep, strict=True):
+            bands, p, v, length = np.asarray(bands), np.asarray(p, np.int64), np.asarray(v, float), _lengths(m, depth, taps, True)
+            need = [_own(b, m, size, 0, length[0])]
+            # Place q of a level takes from the places (q + back - j) / 2 of the next, j over the taps.
+            reach = lambda a, z: np.arange(-(-(a + back - taps + 1) // 2), (z - 1 + back) // 2 + 1)
+            for l in range(1, depth + 1):
+                need.append(np.unique(np.concatenate([reach(a, z) % length[l] for a, z in _runs(need[-1])])))
+            now = _values(p[bands == 0], v[bands == 0], need[depth])
+            for l in range(depth, 0, -1):
+                k, c, parts = p[bands == l], v[bands == l], []
+                for a, z in _runs(need[l - 1]):
+                    from_ = reach(a, z)
+                    both = np.zeros((2, 2 * len(from_)))
+                    both[0, ::2], both[1, ::2] = _values(need[l], now, from_ % length[l]), _values(k, c, from_ % length[l])
+                    first = a - 2 * from_[0] + back
+                    parts.append((np.convolve(both[0], low) + np.convolve(both[1], high))[first : first + z - a])
+                now = np.concatenate(parts)
+            out.append(now)
+        return pd.Series(out)
+
+    d = d.select(*keys, "_b", F.posexplode(run("_x.band", "_x.k", "_x.value", "_b", "n", "depth")).alias("_i", "value"))
+    return d.select(*keys, (F.col("_b") * size + F.col("_i")).alias("sample_idx"), "value")
 
 
 def wavelet_clean(samples: DataFrame, keys: list[str], *, fs: float, wavelet: str, level: int, soft: bool = True, block_seconds: float | None = 4.0, overlap: float = 0.0) -> DataFrame:

@@ -394,6 +394,48 @@ def test_wavelet_round_trip(spark, wavelet):
     assert list(back.sample_idx) == list(range(301)) and np.allclose(back.value, x, atol=1e-7)
 
 
+def plain_levels(x, wavelet, level, periodic):
+    """All levels by loops over places and taps: details by level, then the approximation under 0."""
+    low, high, _, _ = V.filters(wavelet)
+    taps, out, a = len(low), {}, list(x)
+    for l in range(1, level + 1):
+        m = len(a)
+        if periodic:
+            wide, size, shift = a + a[-1:] * (m % 2), -(-m // 2), taps // 2
+            at = lambda p: wide[p % len(wide)]  # noqa: B023, E731
+        else:
+            wide, size, shift = a + a[::-1], (m + taps - 1) // 2, 1
+            at = lambda p: wide[p % len(wide)]  # noqa: B023, E731
+        out[l] = [sum(high[j] * at(2 * k + shift - j) for j in range(taps)) for k in range(size)]
+        a = [sum(low[j] * at(2 * k + shift - j) for j in range(taps)) for k in range(size)]
+    return {**out, 0: a}
+
+
+@pytest.mark.parametrize("periodic", [False, True])
+@pytest.mark.parametrize(("wavelet", "level"), [("db4", 4), ("coif4", 2), ("bior4.4", 3)])
+@pytest.mark.parametrize("block", [8, 64, None])
+def test_wavelet_blocks(spark, wavelet, level, periodic, block):
+    """Blocks far smaller than their halos, or that end with a rest, give what plain loops over the whole series give."""
+    x = np.random.default_rng(5).normal(size=203).cumsum()
+    d = V.decompose(series(spark, x), ["signal"], wavelet=wavelet, level=level, periodic=periodic, block=block)
+    got, want = d.toPandas().sort_values("k"), plain_levels(x, wavelet, level, periodic)
+    assert len(got) == sum(map(len, want.values()))
+    for band, c in want.items():
+        assert np.allclose(got[got.band == band].value, c, rtol=1e-9, atol=1e-9), band
+    if periodic:
+        back = V.reconstruct(d, ["signal"], wavelet=wavelet, level=level, block=block).orderBy("sample_idx").toPandas()
+        assert list(back.sample_idx) == list(range(203)) and np.allclose(back.value, x, atol=1e-7)
+        part = V.reconstruct(d.filter("band = 2"), ["signal"], wavelet=wavelet, level=level, block=block).toPandas()
+        whole = V.reconstruct(d.filter("band = 2"), ["signal"], wavelet=wavelet, level=level).toPandas()
+        assert np.allclose(part.sort_values("sample_idx").value, whole.sort_values("sample_idx").value, atol=1e-9)
+
+
+def test_wavelet_levels_share_one_shuffle(spark):
+    d = V.decompose(series(spark, np.arange(500.0)), ["signal"], wavelet="db4", level=5)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3  # the lengths, their join with the samples, the blocks
+
+
 def test_wavelet_symmetric_edges(spark):
     x = np.random.default_rng(4).normal(size=37)
     low, high, _, _ = V.filters("db4")
