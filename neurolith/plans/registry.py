@@ -22,5 +22,5 @@ def load() -> None:
     """Import the modules that register queries."""
     import importlib
 
-    for name in ("quality", "features", "epochs", "study", "session", "spectra", "tables", "cleaning", "wavelets", "haemodynamics", "steps", "personal"):
+    for name in ("quality", "features", "epochs", "study", "session", "spectra", "tables", "cleaning", "wavelets", "haemodynamics", "steps", "personal", "optical_study"):
         importlib.import_module(f"neurolith.plans.{name}")

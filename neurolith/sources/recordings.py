@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,9 +193,13 @@ def block_times(timestamp: Column) -> Column:
     return F.when(timestamp > 1e10, F.timestamp_millis(timestamp.cast("long"))).when(timestamp > 1e9, F.timestamp_seconds(timestamp))
 
 
-def read_events(spark: SparkSession, path: str, clock: float = 244.0) -> DataFrame:
-    """Protocol events in seconds: file, event_order, start_s, duration_s, description."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
+def read_events(spark: SparkSession, path: str, clock: float = 244.0, name: str = "*") -> DataFrame:
+    """Protocol events in seconds, of the files called `name` (a pattern): file, event_order, start_s, duration_s, description."""
+    columns = "latency string, duration_samples string, description string"
+    try:
+        raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).csv(path)
+    except AnalysisException:  # no file of that name
+        raw = spark.createDataFrame([], columns + ", _metadata struct<file_path: string>")
     d = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("event_order"), numeric("latency").alias("_l"), numeric("duration_samples").alias("_d"), F.col("description"))
     return d.select("file", "event_order", (F.col("_l") / clock).alias("start_s"), (F.col("_d") / clock).alias("duration_s"), "description")
 
