@@ -1,4 +1,4 @@
-"""Command line: `python -m neurolith queries`, `query`, `settings`, `clean`. Reads and writes what Spark can reach."""
+"""Command line: `python -m neurolith queries`, `query`, `settings`, `clean`, `study`. Reads and writes what Spark can reach."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from neurolith.operators import chain
+from neurolith.operators import chain, optical_study
 from neurolith.plans import registry
 
 
@@ -25,11 +25,15 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("out", help="folder for the tables of all stages, cleaned, channels, epochs, quality and errors among them")
     c.add_argument("--settings", help="JSON file")
     c.add_argument("--events", help="Parquet: session_id, onset, tag")
+    t = sub.add_parser("study", help="run the optical study over a folder of sessions")
+    t.add_argument("sessions", help="folder of session folders (participant=.../study_day=.../session_id=...)")
+    t.add_argument("out", help="folder for the tables: processed, phase_by_phase, wide_by_session, session_changes, event_alignment, run_log, qc_summary, input_hashes, record")
+    t.add_argument("--settings", help="JSON file; what it leaves out keeps its default")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0, or 1 where every recording of a cleaning run ended as an error."""
+    """0, or 1 where every recording of a cleaning run ended as an error, or no session of a study could be read."""
     a = parser().parse_args(argv)
     if a.command == "settings":
         print((chain.EVOKED if a.evoked else chain.Settings()).to_json())
@@ -42,6 +46,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "query":
         registry.QUERIES[a.name](spark, a.tables).write.mode("overwrite").parquet(a.out)
         return 0
+    if a.command == "study":
+        optical = optical_study.Settings()
+        if a.settings:
+            with open(a.settings, encoding="utf-8") as f:
+                optical = optical_study.Settings.from_json(f.read())
+        log = optical_study.run_study(spark, a.sessions, a.out, optical)["run_log"]
+        return 0 if log.filter("status = 'OK'").limit(1).count() else 1
     settings = chain.Settings()
     if a.settings:
         with open(a.settings, encoding="utf-8") as f:

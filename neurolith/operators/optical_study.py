@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import platform
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,6 +54,14 @@ class Settings:
     low_band: tuple[float, float] = (0.02, 0.1)
     total_band: tuple[float, float] = (0.02, 0.2)
 
+    @classmethod
+    def from_json(cls, text: str) -> Settings:
+        """Settings with the values that the JSON object names; one that it doesn't know is a ValueError."""
+        given = json.loads(text)
+        if unknown := set(given) - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
+
 
 def flag_tiers(rows: DataFrame, flags: str) -> DataFrame:
     """`;`-joined flags, counted once each: qc_flag_count, has_<tier>_flag of each tier, and qc_pass, false where any but a

@@ -179,6 +179,27 @@ def band_coherence(cross: DataFrame, keys: list[str], bands: dict[str, tuple[flo
     return cross.groupBy(*keys).agg(*[at(coh, b).alias(f"coherence_{n}") for n, b in bands.items()], *[at(im, b).alias(f"imaginary_coherency_{n}") for n, b in bands.items()])
 
 
+def cross_features(samples: DataFrame, keys: list[str], *, fs: float, size: int = 256, floor: float = 1e-8) -> DataFrame:
+    """samples (keys, sample_idx, x, y) -> a row for each key that has both values anywhere: entropy_difference and entropy_sum
+    (nats, of each channel's shares of its absolute values), alpha_asymmetry (y over x, natural log), engagement_index (beta
+    over alpha and theta, both channels), coherence_alpha and coherence_beta.
+
+    Bands are 4 to 7, 8 to 12 and 13 to 30 Hz, powers their plain sums over Welch's bins; without a full segment of `size`
+    samples what needs bins is null. One aggregate over the samples, one over the bins.
+    """
+    both = samples.dropna(subset=["x", "y"])
+    v = {c: F.abs(F.col(c)) + floor for c in "xy"}
+    h = {c: F.log(F.sum(a)) - F.sum(a * F.log(a)) / F.sum(a) for c, a in v.items()}
+    e = both.groupBy(*keys).agg((h["x"] - h["y"]).alias("entropy_difference"), (h["x"] + h["y"]).alias("entropy_sum"))
+    cross = cross_density(both, keys, "x", "y", fs=fs, size=size)
+    power = {(n, c): F.coalesce(summed(*b, f"p{c}{c}"), F.lit(0.0)) for n, b in {"theta": (4, 7), "alpha": (8, 12), "beta": (13, 30)}.items() for c in "xy"}
+    asymmetry = F.log(power["alpha", "y"] + floor) - F.log(power["alpha", "x"] + floor)
+    engagement = (power["beta", "x"] + power["beta", "y"]) / (power["alpha", "x"] + power["alpha", "y"] + power["theta", "x"] + power["theta", "y"] + floor)
+    bands = cross.groupBy(*keys).agg(asymmetry.alias("alpha_asymmetry"), engagement.alias("engagement_index"))
+    coherence = band_coherence(cross, keys, {"alpha": (8, 12), "beta": (13, 30)}).select(*keys, "coherence_alpha", "coherence_beta")
+    return e.join(bands, keys, "left").join(coherence, keys, "left")
+
+
 def nearest_bin(cross: DataFrame, keys: list[str], freqs: list[float], value: Column) -> DataFrame:
     """The value at the bin closest to each of freqs (the lower of ties): keys, target, freq, value."""
     d = cross.withColumn("_v", value).withColumn("target", F.explode(F.array(*[F.lit(float(f)) for f in freqs])))

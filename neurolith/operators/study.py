@@ -47,6 +47,51 @@ def participant_summary(master: DataFrame) -> DataFrame:
     return s.withColumn("missing_days", F.when(F.col("days_attempted") > 0, F.array_except(days, F.col("study_days_covered"))).otherwise(none))
 
 
+#: The label columns of the modalities, and what their failure rates are called.
+FAIL_RATES = {"eeg_label": "eeg_fail_rate_percent", "ppg_label": "ppg_fail_rate_percent", "fnirs_raw_label": "fnirs_fail_rate_percent"}
+
+
+def participant_report(master: DataFrame, name: str = "participant_name", group: str = "group_name") -> DataFrame:
+    """participant_summary with the name of the first session (by study_day, then session_id), the most frequent group (the least
+    of ties), and the failure rate of primary sessions by modality. A column that master lacks gives nulls; a label that is
+    null counts as no failure; participants without primary sessions have no rates. Two aggregates by participant, one join.
+    """
+    primary, at = F.col("session_role") == "primary_valid", F.struct("study_day", "session_id")
+    none = lambda kind: F.first(F.lit(None).cast(kind))
+    rate = lambda c: F.avg(F.when(primary, F.coalesce(F.col(c) == "FAIL", F.lit(False)).cast("double"))) * 100
+    more = master.groupBy("participant_key").agg(
+        (F.min_by(name, at) if name in master.columns else none("string")).alias("participant_name"),
+        (F.mode(group, deterministic=True) if group in master.columns else none("string")).alias("group_name"),
+        *[(rate(c) if c in master.columns else none("double")).alias(out) for c, out in FAIL_RATES.items()],
+    )
+    summary = participant_summary(master)
+    joined = summary.withColumnRenamed("participant_key", "_key").join(more, F.col("_key").eqNullSafe(F.col("participant_key")))
+    return joined.select("participant_key", "participant_name", "group_name", *[c for c in summary.columns if c != "participant_key"], *FAIL_RATES.values())
+
+
+def with_identity(quality: DataFrame, identities: DataFrame, file: str = "File") -> DataFrame:
+    """quality with participant_key, study_day and session_id of its file in front (null for files nobody knows); no row is lost,
+    and a file that identities name more than once takes its least identity."""
+    names = ["participant_key", "study_day", "session_id"]
+    one = identities.groupBy(file).agg(F.min(F.struct(*names)).alias("_i")).select(file, "_i.*")
+    return quality.drop(*names).join(one, file, "left").select(*names, file, *[c for c in quality.columns if c not in (*names, file)])
+
+
+def participant_medians(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, n, median_<column>): medians by participant over the values that are there."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.median(c).alias(f"median_{c}") for c in columns])
+
+
+def session_folders(wanted: DataFrame, sessions: DataFrame, root: str) -> DataFrame:
+    """wanted (participant_key, study_day) with the session_id and folder of that day, days in two digits; null for none. Of
+    several sessions of a day the last one counts, as in a lookup that later entries replace."""
+    keys = ["participant_key", "study_day"]
+    last = sessions.groupBy(*keys).agg(F.max("session_id").alias("session_id"))
+    day = F.lpad(F.col("study_day").cast("string"), 2, "0")
+    folder = F.concat_ws("/", F.lit(root), F.concat(F.lit("participant="), "participant_key"), F.concat(F.lit("study_day="), F.when(F.col("study_day") > 99, F.col("study_day").cast("string")).otherwise(day)), F.concat(F.lit("session_id="), F.col("session_id").cast("string")))
+    return wanted.join(last, keys, "left").withColumn("folder", F.when(F.col("session_id").isNotNull(), folder))
+
+
 def study_day_summary(master: DataFrame) -> DataFrame:
     primary = F.col("session_role") == "primary_valid"
     rate = lambda label: (F.avg(F.when(primary, (F.col("overall_label") == label).cast("double"))) * 100)

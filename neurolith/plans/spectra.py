@@ -119,6 +119,17 @@ def band_coherence(spark, sf):
     return placed(d, *[c for c in d.columns if c != "session_id"])
 
 
+@query("cross_features", CROSS + """, xy AS (SELECT session_id, sample_idx, max(CASE WHEN signal = 'AF3' THEN value END) AS x, max(CASE WHEN signal = 'AF4' THEN value END) AS y FROM s GROUP BY ALL), ve AS (SELECT session_id, abs(x) + 1e-8 AS x, abs(y) + 1e-8 AS y FROM xy WHERE x IS NOT NULL AND y IS NOT NULL),
+en AS (SELECT session_id, ln(sum(x)) - sum(x * ln(x)) / sum(x) AS hx, ln(sum(y)) - sum(y * ln(y)) / sum(y) AS hy FROM ve GROUP BY 1),
+fe AS (SELECT session_id, ln(sum(pyy) FILTER (freq BETWEEN 8 AND 12) + 1e-8) - ln(sum(pxx) FILTER (freq BETWEEN 8 AND 12) + 1e-8) AS faa, sum(pxx + pyy) FILTER (freq BETWEEN 13 AND 30) / (sum(pxx + pyy) FILTER (freq BETWEEN 4 AND 7 OR freq BETWEEN 8 AND 12) + 1e-8) AS fei, avg((cr * cr + ci * ci) / (pxx * pyy)) FILTER (freq BETWEEN 8 AND 12) AS ca, avg((cr * cr + ci * ci) / (pxx * pyy)) FILTER (freq BETWEEN 13 AND 30) AS cb FROM cx GROUP BY 1)
+SELECT session_id, round(hx - hy, 6) + 0.0 AS entropy_difference, round(hx + hy, 6) AS entropy_sum, round(faa, 6) + 0.0 AS alpha_asymmetry, round(fei, 6) AS engagement_index, round(ca, 6) AS coherence_alpha, round(cb, 6) AS coherence_beta FROM en LEFT JOIN fe USING (session_id)""")
+def cross_features(spark, sf):
+    s = samples(spark, sf).filter(F.col("signal").isin("AF3", "AF4"))
+    at = lambda x: F.max(F.when(F.col("signal") == x, F.col("value")))
+    d = P.cross_features(s.groupBy("session_id", "sample_idx").agg(at("AF3").alias("x"), at("AF4").alias("y")), ["session_id"], fs=FS, size=SIZE)
+    return placed(d, "entropy_difference", "entropy_sum", "alpha_asymmetry", "engagement_index", "coherence_alpha", "coherence_beta")
+
+
 @query("coherence_at_line", CROSS + f", t AS (SELECT * FROM (VALUES (10.0), (48.0), (50.0), (52.0)) v(target)) SELECT session_id, CAST(target AS DOUBLE) AS target, freq, round({_COH}, 6) AS value FROM cx, t QUALIFY row_number() OVER (PARTITION BY session_id, target ORDER BY abs(freq - target), bin) = 1")
 def coherence_at_line(spark, sf):
     v = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("pxx") * F.col("pyy"))

@@ -60,6 +60,41 @@ def participant_summary(spark, sf):
     return rounded(s.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("study_days_covered", "missing_days")}), "fail_rate_percent")
 
 
+_LABELS = {
+    "eeg_label": "CASE WHEN o_totalprice < 60000 THEN 'FAIL' WHEN o_totalprice < 150000 THEN 'PASS' END", "ppg_label": "CASE WHEN study_day % 4 = 0 THEN 'FAIL' ELSE 'PASS' END",
+    "participant_name": "'P' || participant_key", "group_name": "CASE WHEN study_day % 3 = 0 THEN 'A' WHEN study_day % 3 = 1 THEN 'B' END",
+}
+
+
+@query("participant_report", SUMMARY + f""", lb AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _LABELS.items())} FROM m), gr AS (SELECT participant_key, group_name, count(*) AS n FROM lb WHERE group_name IS NOT NULL GROUP BY participant_key, group_name QUALIFY row_number() OVER (PARTITION BY participant_key ORDER BY count(*) DESC, group_name) = 1),
+ra AS (SELECT participant_key, min(participant_name) AS participant_name, avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN eeg_label = 'FAIL' THEN 1.0 ELSE 0.0 END END) * 100 AS eeg, avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN ppg_label = 'FAIL' THEN 1.0 ELSE 0.0 END END) * 100 AS ppg FROM lb GROUP BY 1)
+SELECT participant_key, participant_name, group_name, total_sessions, days_attempted, days_included, round(eeg, 6) AS eeg_fail_rate_percent, round(ppg, 6) AS ppg_fail_rate_percent, CAST(NULL AS DOUBLE) AS fnirs_fail_rate_percent FROM us JOIN ra USING (participant_key) LEFT JOIN gr USING (participant_key)""")
+def participant_report(spark, sf):
+    m = master(spark, sf).withColumns({c: F.expr(x) for c, x in _LABELS.items()})
+    d = T.participant_report(m).select("participant_key", "participant_name", "group_name", "total_sessions", "days_attempted", "days_included", *T.FAIL_RATES.values())
+    return rounded(d, "eeg_fail_rate_percent", "ppg_fail_rate_percent")
+
+
+@query("quality_with_identity", MASTER + """, qf AS (SELECT 'f' || l_orderkey AS File, max(l_quantity) AS percent_kept, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1)
+SELECT participant_key, study_day, session_id, File, percent_kept, round(total, 2) AS total FROM qf LEFT JOIN (SELECT participant_key, study_day, session_id FROM m WHERE session_role = 'primary_valid') i ON File = 'f' || session_id""")
+def quality_with_identity(spark, sf):
+    q = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("File")).agg(F.max("l_quantity").alias("percent_kept"), F.sum("l_extendedprice").alias("total"))
+    i = sessions(spark, sf).filter("session_role = 'primary_valid'").select(F.concat(F.lit("f"), F.col("session_id").cast("string")).alias("File"), "participant_key", "study_day", "session_id")
+    return rounded(T.with_identity(q, i), "total", places=2)
+
+
+@query("participant_medians", MASTER + "SELECT participant_key, count(*) AS n, round(median(o_totalprice), 4) AS median_o_totalprice, round(median(eeg_rms_ratio), 6) AS median_eeg_rms_ratio FROM m GROUP BY 1")
+def participant_medians(spark, sf):
+    return rounded(rounded(T.participant_medians(master(spark, sf), "participant_key", ["o_totalprice", "eeg_rms_ratio"]), "median_o_totalprice", places=4), "median_eeg_rms_ratio")
+
+
+@query("session_folders", MASTER + """, wd AS (SELECT c_custkey AS participant_key, d AS study_day FROM customer, range(1, 13) t(d)), la AS (SELECT participant_key, study_day, max(session_id) AS session_id FROM m GROUP BY ALL)
+SELECT wd.participant_key, CAST(wd.study_day AS INT) AS study_day, session_id, CASE WHEN session_id IS NOT NULL THEN printf('layer2/participant=%d/study_day=%02d/session_id=%d', wd.participant_key, wd.study_day, session_id) END AS folder FROM wd LEFT JOIN la ON wd.participant_key = la.participant_key AND wd.study_day = la.study_day""")
+def session_folders(spark, sf):
+    wanted = table(spark, sf, "customer").select(F.col("c_custkey").alias("participant_key"), F.explode(F.sequence(F.lit(1), F.lit(12))).alias("study_day"))
+    return T.session_folders(wanted, sessions(spark, sf), "layer2")
+
+
 @query("study_day_summary", MASTER + "SELECT study_day, count(*) AS total_sessions, count(DISTINCT participant_key) AS n_participants, count(*) FILTER (final_label IN ('INCLUDED', 'INCLUDED_CONDITIONAL')) AS n_included, round(avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN overall_label = 'FAIL' THEN 1.0 ELSE 0.0 END END) * 100, 6) AS fail_rate_percent, round(avg(CASE WHEN session_role = 'primary_valid' THEN CASE WHEN overall_label = 'PASS' THEN 1.0 ELSE 0.0 END END) * 100, 6) AS pass_rate_percent FROM m GROUP BY 1")
 def study_day_summary(spark, sf):
     return rounded(T.study_day_summary(master(spark, sf)), "fail_rate_percent", "pass_rate_percent")

@@ -5,8 +5,11 @@ import json
 import numpy as np
 import pytest
 
+from neurolith.__main__ import main
 from neurolith.operators import kernels as K
 from neurolith.operators import optical_study as O
+from neurolith.operators import spectra as P
+from neurolith.operators import study as T
 
 
 def write(folder, name, header, rows):
@@ -77,6 +80,54 @@ def test_study_without_events(spark, tmp_path):
     assert {r.phase for r in t["phase_by_phase"].collect()} == {"OVERALL"} and t["event_alignment"].count() == 0
 
 
+def test_study_by_command(spark, tmp_path):
+    write(tmp_path / "in" / "x", "fnirs_hbo_hbr.csv", "time_seconds,HbO_uM,HbR_uM", [])
+    (tmp_path / "s.json").write_text('{"fs": 10.0, "low_band": [0.05, 0.1]}')
+    assert main(["study", str(tmp_path / "in"), str(tmp_path / "out"), "--settings", str(tmp_path / "s.json")]) == 1
+    assert [r.status for r in spark.read.parquet(str(tmp_path / "out" / "run_log")).collect()] == ["NO_INPUT_DATA"]
+    with pytest.raises(ValueError, match="unknown settings"):
+        O.Settings.from_json('{"rate": 1}')
+
+
+def test_cross_features(spark):
+    fs, rng = 100.0, np.random.default_rng(4)
+    x, y = rng.normal(size=(2, 300))
+    y[:150] += x[:150]
+    d = spark.createDataFrame([("a", i, float(x[i]), float(y[i])) for i in range(300)] + [("b", 0, 1.0, 2.0), ("c", 0, 1.0, None)], "id string, sample_idx long, x double, y double")
+    got = {r.id: r for r in P.cross_features(d, ["id"], fs=fs, size=100).collect()}
+    assert set(got) == {"a", "b"} and got["b"].alpha_asymmetry is None and got["b"].entropy_sum == pytest.approx(0, abs=1e-9)
+
+    def entropy(v):
+        p = (np.abs(v) + 1e-8) / (np.abs(v) + 1e-8).sum()
+        return -(p * np.log(p)).sum()
+
+    w, f = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(100) / 100), np.arange(51)
+    fx, fy = (np.array([np.fft.rfft((z[s : s + 100] - z[s : s + 100].mean()) * w) for s in range(0, 201, 50)]) for z in (x, y))
+    scale = np.r_[1, [2] * 49, 1] / (fs * (w * w).sum())
+    px, py = ((np.abs(v) ** 2).mean(axis=0) * scale for v in (fx, fy))
+    c = (np.conj(fx) * fy).mean(axis=0) * scale
+    at = lambda p, lo, hi: p[(f >= lo) & (f <= hi)].sum()
+    r = got["a"]
+    assert r.entropy_difference == pytest.approx(entropy(x) - entropy(y)) and r.entropy_sum == pytest.approx(entropy(x) + entropy(y))
+    assert r.alpha_asymmetry == pytest.approx(np.log(at(py, 8, 12) + 1e-8) - np.log(at(px, 8, 12) + 1e-8))
+    assert r.engagement_index == pytest.approx((at(px, 13, 30) + at(py, 13, 30)) / (at(px, 8, 12) + at(py, 8, 12) + at(px, 4, 7) + at(py, 4, 7) + 1e-8))
+    assert r.coherence_beta == pytest.approx((np.abs(c) ** 2 / (px * py))[13:31].mean())
+
+
+def test_reports_of_participants(spark):
+    m = spark.createDataFrame([("A", 2, 5, "primary_valid", "INCLUDED", "PASS", "FAIL", "x"), ("A", 1, 9, "primary_valid", "EXCLUDED_L1", "FAIL", None, "y"), ("B", 1, 1, "invalid_attempt", "EXCLUDED_L1", "FAIL", "FAIL", None), (None, 1, 2, "primary_valid", "INCLUDED", "PASS", "PASS", None)],
+                              "participant_key string, study_day int, session_id long, session_role string, final_label string, overall_label string, eeg_label string, participant_name string")
+    got = {r.participant_key: r for r in T.participant_report(m).collect()}
+    assert set(got) == {"A", "B", None} and (got["A"].participant_name, got["A"].eeg_fail_rate_percent, got["A"].group_name) == ("y", 50.0, None)
+    assert got["B"].eeg_fail_rate_percent is None and got["A"].ppg_fail_rate_percent is None and got[None].days_included == 1
+    q = spark.createDataFrame([("f1", 1.0), ("f2", 2.0), (None, 3.0)], "File string, kept double")
+    i = spark.createDataFrame([("f1", "A", 2, "s2"), ("f1", "A", 1, "s1")], "File string, participant_key string, study_day int, session_id string")
+    assert sorted(((r.File or "", r.session_id) for r in T.with_identity(q, i).collect())) == [("", None), ("f1", "s1"), ("f2", None)]
+    s = spark.createDataFrame([("A", 3, "s1"), ("A", 3, "s2"), ("A", 120, "s9")], "participant_key string, study_day int, session_id string")
+    wanted = spark.createDataFrame([("A", 3), ("A", 4), ("A", 120)], "participant_key string, study_day int")
+    assert {r.study_day: r.folder for r in T.session_folders(wanted, s, "/d").collect()} == {3: "/d/participant=A/study_day=03/session_id=s2", 4: None, 120: "/d/participant=A/study_day=120/session_id=s9"}
+
+
 def test_segment_measures(spark):
     fs, rng = 8.0, np.random.default_rng(2)
     x = rng.normal(size=(3, 400)).cumsum(axis=1)
