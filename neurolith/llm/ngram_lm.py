@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,9 @@ from neurolith.llm.common import arrow_bytes, cut, mix, pieces, sheltered, small
 #: Stands for the end of a text, and before its first word for its start.
 END = np.uint64(0x5BD1E9955BD1E995)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Within its segment a pair is told apart by this many bytes of its hash, below those that choose the segment.
+PAIR_BYTES = 5
+PAIR = np.uint64((1 << 8 * PAIR_BYTES) - 1)
 
 
 def thresholds(base: float = 1.5, levels: int = 96) -> np.ndarray:
@@ -45,10 +49,35 @@ def bigrams(token: np.ndarray) -> np.ndarray:
     return mix(before * _A + token)
 
 
+def text_tokens(batch: pa.RecordBatch, most_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """As tokens, of a batch's texts; about most_bytes are hashed at a time, since that takes many bytes of memory for each."""
+    parts = [tokens(*arrow_bytes(x.column("text"))) for x in pieces([batch], most_bytes)]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def pack(kind: int, h: np.ndarray) -> bytes:
+    """Words (kind 1) as whole hashes, pairs (kind 2) as what tells them apart within a segment."""
+    return h.tobytes() if kind == 1 else np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]).tobytes()
+
+
+def unpack(kind: int, packed: bytes) -> np.ndarray:
+    if kind == 1:
+        return np.frombuffer(packed, np.uint64)
+    out = np.zeros((len(packed) // PAIR_BYTES, 8), np.uint8)
+    out[:, :PAIR_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, PAIR_BYTES)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def by_segment(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys from 0 to n - 1 and keeps that of equal ones, and where each key begins in it."""
+    key = key.astype(np.uint16 if n <= 1 << 16 else np.int32)  # short keys are sorted by counting
+    return np.argsort(key, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))])
+
+
 def bits_of(h: np.ndarray, level: np.ndarray | int, j: int, n_bits: np.ndarray | int) -> np.ndarray:
     """The j-th bit of (n-gram, level) within its segment of n_bits, fewer than 2**32."""
     with np.errstate(over="ignore"):
-        x = mix(h + np.asarray(level).astype(np.uint64) * _A + np.uint64(j) * _B)
+        x = mix((h & PAIR) + np.asarray(level).astype(np.uint64) * _A + np.uint64(j) * _B)
     return ((x >> np.uint64(32)) * np.asarray(n_bits).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
 
 
@@ -118,7 +147,8 @@ def _sum_up(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(texts: DataFrame, segments: int, most_bytes: int = 12 << 20) -> DataFrame:
-    """texts (text) -> (kind 1 words or 2 word pairs, segment, h, n): packed uint64 hashes and their uint32 counts.
+    """texts (text) -> (kind 1 words or 2 word pairs, segment, h, n): packed hashes, and the uint32 counts of the first of
+    them; the others were met once.
 
     Each task adds up what a piece of the texts has before it sends anything; hashes are dealt to segments, so every
     segment is as large as any other, whatever the words. Several rows of a segment are still to be added up.
@@ -126,17 +156,15 @@ def count_ngrams(texts: DataFrame, segments: int, most_bytes: int = 12 << 20) ->
 
     def count(batches):
         for batch in pieces(batches, most_bytes):
-            token, _ = tokens(*arrow_bytes(batch.column("text")))
+            token, _ = text_tokens(batch)
             for kind, all_ in ((1, token), (2, bigrams(token))):
                 h, n = np.unique(all_, return_counts=True)
-                s = segment_of(h, segments)
-                order = np.argsort(s, kind="stable")
-                cuts = np.searchsorted(s[order], np.arange(segments + 1))
+                order, cuts = by_segment(2 * segment_of(h, segments) + (n == 1), 2 * segments)
                 h, n = h[order], n[order].astype(np.uint32)
-                some = [x for x in range(segments) if cuts[x] < cuts[x + 1]]
+                some = [x for x in range(segments) if cuts[2 * x] < cuts[2 * x + 2]]
                 for i in range(0, len(some), 64):
                     part = some[i : i + 64]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([h[cuts[x] : cuts[x + 1]].tobytes() for x in part], pa.binary()), pa.array([n[cuts[x] : cuts[x + 1]].tobytes() for x in part], pa.binary())], ["kind", "segment", "h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([pack(kind, h[cuts[2 * x] : cuts[2 * x + 2]]) for x in part], pa.binary()), pa.array([n[cuts[2 * x] : cuts[2 * x + 1]].tobytes() for x in part], pa.binary())], ["kind", "segment", "h", "n"])
 
     return texts.select("text").mapInArrow(count, "kind int, segment int, h binary, n binary")
 
@@ -148,17 +176,33 @@ def count_tables(texts: DataFrame, *, segments: int, probes: tuple[int, int], bi
     """
 
     def add_up(key, table):
-        h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)
-        h, n = _sum_up(h, n.astype(np.int64))
+        kind, h, n = key[0].as_py(), [], []
+        for packed, counts in zip(table.column("h").to_pylist(), table.column("n").to_pylist(), strict=True):
+            h.append(unpack(kind, packed))
+            n += [np.frombuffer(counts, np.uint32).astype(np.int64), np.ones(len(h[-1]) - len(counts) // 4, np.int64)]
+        h, n = _sum_up(np.concatenate(h), np.concatenate(n))
         made = b""
-        if key[0].as_py() == 2:
+        if kind == 2:
             made = make_segment(h, level_of(n), probes, bits_per_probe)
             h, n = h[:0], n[:0]
-        return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "segment": pa.array([key[1].as_py()], pa.int32()), "size": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "filter": pa.array([made], pa.binary())})
+        return pa.table({"kind": pa.array([kind], pa.int32()), "segment": pa.array([key[1].as_py()], pa.int32()), "size": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()), "h": pa.array([h.tobytes()], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary()), "filter": pa.array([made], pa.binary())})
 
     counted = count_ngrams(texts, segments)
-    return cut(counted.groupBy("kind", "segment").applyInArrow(add_up, "kind int, segment int, size long, total long, h binary, n binary, filter binary"))
+    conf, let_go = texts.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(let_go, None)
+    conf.set(let_go, "true")  # what was shuffled goes once the tables are written, not whenever the driver collects its garbage
+    try:
+        return cut(counted.groupBy("kind", "segment").applyInArrow(add_up, "kind int, segment int, size long, total long, h binary, n binary, filter binary"))
+    finally:
+        conf.unset(let_go) if was is None else conf.set(let_go, was)
+
+
+def counts_of(word: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The counts of words, 0 where they aren't among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(word), np.int64)
+    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+    return np.where(known[at] == word, count[at], 0)
 
 
 def log_probability(c_word: np.ndarray, c_before: np.ndarray, level: np.ndarray, total: int, distinct: int, strength: float) -> tuple[np.ndarray, np.ndarray]:
@@ -168,19 +212,30 @@ def log_probability(c_word: np.ndarray, c_before: np.ndarray, level: np.ndarray,
     return np.log10(base), np.log10((np.minimum(LEVELS[level], np.minimum(c_word, c_before)) + strength * base) / (c_before + strength))
 
 
+def scored(batch: pa.RecordBatch, n_tokens: np.ndarray, c: np.ndarray, end: float, level: np.ndarray, total: int, distinct: int, strength: float) -> list:
+    """A batch's columns of the result; c, level: count and level of each token and of the pair that it ends, end: the count of END."""
+    base, model = log_probability(c, np.concatenate([[end], c[:-1]]), level, total, distinct, strength)
+    first = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
+    sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, model)]
+    return [batch.column("doc_id"), pa.array(~np.asarray(batch.column("_train"))), pa.array(n_tokens, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(np.full(len(first), total), pa.int64()), pa.array(sums[1]), pa.array(sums[2])]
+
+
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float = 500.0, probes: tuple[int, int] = (10, 4), bits_per_probe: float = 2.0, segment_tokens: int = 500_000, most_broadcast: int = 400 << 20) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     Words and word pairs of the rows where train holds are counted exactly; pairs go by level into the filter. Word counts
     (12 bytes a distinct word) and filter are sent to all tasks if they are within most_broadcast bytes together; beyond
-    that, word pairs are sent to the filter's segments and probed there, and words are joined with their counts: the same
-    filter, and the same scores.
+    that, what differs among the words and word pairs of a piece of the texts is sent, packed, to the filter's segments and
+    probed there: the same filter, and the same scores.
     Null texts are empty texts, which have one token, their end; very long texts are scored whole; repeated rows each get
-    their row; without training rows every probability is that of an unseen word, 1; other columns are not looked at.
+    their row (those with one id and text are of one piece); without training rows every probability is that of an unseen word, 1; other columns are not looked at.
     """
     d = docs.select("doc_id", F.col(text).alias("text"), F.coalesce(train, F.lit(True)).alias("_train"))
     small_batches(docs.sparkSession)
-    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size, rows = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     segments = max(4, -(-size // (6 * segment_tokens)))
     tables = count_tables(d.filter("_train").withColumn("text", F.coalesce("text", F.lit(""))), segments=segments, probes=probes, bits_per_probe=bits_per_probe)
     facts = tables.select("kind", "segment", "size", "total", F.octet_length("filter")).collect()
@@ -191,7 +246,7 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float
             n_bytes[r[1]] = r[4]
     n_bytes = [max(1, x) for x in n_bytes]  # a segment without members has a byte of zeros
     if 12 * distinct + sum(n_bytes) > most_broadcast:
-        return _score_routed(d, tables, segments, probes, total, distinct, strength)
+        return _score_routed(d, tables, segments, probes, total, distinct, strength, size + 64 * rows)
 
     h, n, bits = np.zeros(distinct, np.uint64), np.zeros(distinct, np.uint32 if total < 1 << 32 else np.int64), np.zeros(sum(n_bytes), np.uint8)
     starts, at = np.concatenate([[0], np.cumsum(n_bytes)]).astype(np.int64), 0
@@ -209,59 +264,75 @@ def score(docs: DataFrame, *, train: Column, text: str = "text", strength: float
     def rate(batches):
         known, count, held = sent.value
         for batch in pieces(batches, 4 << 20):
-            token, n_tokens = tokens(*arrow_bytes(batch.column("text")))
+            token, n_tokens = text_tokens(batch)
             word, back = np.unique(token, return_inverse=True)
-            at = np.minimum(np.searchsorted(known, word), max(0, len(known) - 1))
-            c = (np.where(known[at] == word, count[at], 0) if len(known) else np.zeros(len(word)))[back].astype(np.float64)
+            c = counts_of(word, known, count)[back].astype(np.float64)
             end = float(count[np.searchsorted(known, END)]) if total else 0.0
             pair, which = np.unique(bigrams(token), return_inverse=True)
-            base, model = log_probability(c, np.concatenate([[end], c[:-1]]), held.levels(pair)[which], total, distinct, strength)
-            first = np.concatenate([[0], np.cumsum(n_tokens)[:-1]])
-            sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), base, model)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(~np.asarray(batch.column("_train"))), pa.array(n_tokens, pa.int64()), pa.array(sums[0], pa.int64()), pa.array(np.full(len(first), total), pa.int64()), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays(scored(batch, n_tokens, c, end, held.levels(pair)[which], total, distinct, strength), RESULT)
 
-    out = cut(d.mapInArrow(rate, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    out = cut(d.mapInArrow(rate, _schema(docs)))
     sent.destroy()  # what was sent is held by driver and executors only until the scores are written
     return out
 
 
-def _score_routed(d: DataFrame, tables: DataFrame, segments: int, probes: tuple[int, int], total: int, distinct: int, strength: float) -> DataFrame:
-    """The scores where filter and counts are too large to send: of (row, word before, word, pair, times), the different
-    pairs go to their segments of the filter and are probed there; levels and word counts are joined to the rows."""
-
-    def spread(batches):
-        for batch in pieces(batches, 4 << 20):
-            token, n = tokens(*arrow_bytes(batch.column("text")))
-            row = np.repeat(np.asarray(batch.column("_row")), n)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(np.concatenate([[END], token[:-1]]).astype(np.uint64).view(np.int64)), pa.array(token.view(np.int64)), pa.array(bigrams(token).view(np.int64))], ["_row", "before", "word", "pair"])
-
-    def unpack(batches):
-        for batch in batches:
-            for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                for i in range(0, len(h), 1 << 20):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h[i : i + (1 << 20)], np.int64)), pa.array(np.frombuffer(n[i : i + (1 << 20)], np.int64))], ["h", "n"])
-
-    def probe(pairs, made):
-        h = pairs.column("pair").to_numpy().view(np.uint64)
-        level = np.zeros(len(h), np.int64)
-        for bits in made.column("filter").to_pylist():
-            level = LogFilter([bits], probes).levels(h)
-        return pa.table({"pair": pairs.column("pair"), "level": pa.array(level.astype(np.int32))})
-
-    d = cut(d.withColumn("_row", F.monotonically_increasing_id()))
-    of = lambda h, n: tables.filter("kind = 1").select("h", "n").mapInArrow(unpack, "h long, n long").toDF(h, n)
-    t = d.select("_row", "text").mapInArrow(spread, "_row long, before long, word long, pair long").groupBy("_row", "before", "word", "pair").agg(F.count(F.lit(1)).alias("times"))
-    t = cut(t)
-    asked = t.select("pair").distinct().withColumn("segment", (F.shiftrightunsigned("pair", 40) % segments).cast("int"))
-    held = tables.filter("kind = 2").select("segment", "filter")
-    levels = cut(asked.groupBy("segment").cogroup(held.groupBy("segment")).applyInArrow(probe, "pair long, level int"))
-    t = t.join(levels, "pair", "left").join(of("word", "c"), "word", "left").join(of("before", "c_before"), "before", "left")
-    c, b = F.coalesce("c", F.lit(0)), F.coalesce("c_before", F.lit(0))
-    base = (c + 1.0) / F.lit(total + 1.0 * (distinct + 1))
-    least = F.get(F.array(*[F.lit(float(x)) for x in LEVELS]), F.coalesce("level", F.lit(0)).cast("int"))
-    model = (F.least(least, c.cast("double"), b.cast("double")) + F.lit(strength) * base) / (b + F.lit(strength))
-    sums = t.groupBy("_row").agg(F.sum("times").alias("n_tokens"), F.sum(F.when(c > 0, F.col("times")).otherwise(F.lit(0))).alias("n_known"), F.sum(F.col("times") * F.log10(base)).alias("base_score"), F.sum(F.col("times") * F.log10(model)).alias("score"))
-    return d.select("doc_id", (~F.col("_train")).alias("held_out"), "_row").join(sums, "_row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+def _schema(docs: DataFrame) -> str:
+    return f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_routed(d: DataFrame, tables: DataFrame, segments: int, probes: tuple[int, int], total: int, distinct: int, strength: float, size: int, piece_bytes: int = 12 << 20) -> DataFrame:
+    """The scores where filter and counts are too large to send: texts are dealt to pieces of about piece_bytes by their id
+    and text; each piece sends the hashes that differ to their segments, packed and in order, and gets as many counts and
+    levels back in that order, so that hashes and words don't travel again. Texts are shuffled once: both uses of the
+    pieces are one exchange."""
+
+    def in_order(all_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different hashes by segment and size, where segments begin, and where each token's hash is."""
+        h, back = np.unique(all_, return_inverse=True)
+        order, cuts = by_segment(segment_of(h, segments), segments)
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        return h[order], cuts, place[back]
+
+    def ask(table):
+        token, _ = text_tokens(table.combine_chunks().to_batches()[0])
+        out = {"piece": [], "kind": [], "segment": [], "h": []}
+        for kind, all_ in ((1, token), (2, bigrams(token))):
+            h = np.unique(all_)
+            order, cuts = by_segment(segment_of(h, segments), segments)
+            h = h[order]
+            for x in np.flatnonzero(np.diff(cuts)):
+                for k, v in zip(out, (table.column("_piece")[0].as_py(), kind, int(x), pack(kind, h[cuts[x] : cuts[x + 1]])), strict=True):
+                    out[k].append(v)
+        return pa.table(out, pa.schema([("piece", pa.int64()), ("kind", pa.int32()), ("segment", pa.int32()), ("h", pa.binary())]))
+
+    def answer(asked, made):
+        said = []
+        if asked.num_rows:
+            kind = asked.column("kind")[0].as_py()
+            h = [unpack(kind, x) for x in asked.column("h").to_pylist()]
+            ends, h = np.cumsum([len(x) for x in h])[:-1], np.concatenate(h)
+            found = np.zeros(len(h), np.uint8)
+            for known, count, bits in zip(*(made.column(k).to_pylist() for k in ("h", "n", "filter")), strict=True):
+                found = counts_of(h, np.frombuffer(known, np.uint64), np.frombuffer(count, np.int64)) if kind == 1 else LogFilter([bits], probes).levels(h)
+            found = found.astype(np.uint8 if kind == 2 else np.uint32 if total < 1 << 32 else np.int64)
+            said = [x.tobytes() for x in np.split(found, ends)]
+        return pa.table({"piece": asked.column("piece"), "kind": asked.column("kind"), "segment": asked.column("segment"), "found": pa.array(said, pa.binary())})
+
+    def rate(texts, answers):
+        answers = answers.sort_by([("kind", "ascending"), ("segment", "ascending")])
+        batch = texts.combine_chunks().to_batches()[0]
+        token, n_tokens = text_tokens(batch)
+        found = [b"".join(answers.filter(pa.compute.equal(answers.column("kind"), kind)).column("found").to_pylist()) for kind in (1, 2)]
+        c = np.frombuffer(found[0], np.uint32 if total < 1 << 32 else np.int64)[in_order(token)[2]].astype(np.float64)
+        level = np.frombuffer(found[1], np.uint8)[in_order(bigrams(token))[2]].astype(np.int64)
+        end = c[n_tokens[0] - 1]  # every text ends with END
+        return pa.Table.from_arrays(scored(batch, n_tokens, c, end, level, total, distinct, strength), RESULT)
+
+    dealt = d.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_piece", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // piece_bytes)))))
+    asked = dealt.groupBy("_piece").applyInArrow(ask, "piece long, kind int, segment int, h binary")
+    answers = asked.groupBy("kind", "segment").cogroup(tables.groupBy("kind", "segment")).applyInArrow(answer, "piece long, kind int, segment int, found binary")
+    return cut(dealt.groupBy("_piece").cogroup(answers.groupBy("piece")).applyInArrow(rate, _schema(d)))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -157,6 +157,49 @@ def test_lm_scores_do_not_depend_on_size(spark, table, empty):
     assert ngram_lm.score(empty, most_broadcast=-1, **kw).count() == 0
 
 
+def test_lm_large_model_shuffles_little(spark):
+    """Where the model is too large to send, what is shuffled and written on the way stays within a few bytes for each of the texts'."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(20_000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=1000))) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def moved(first: int) -> tuple[int, int]:
+        stages, i, missing = [], first, 0
+        while missing < 50:  # stages that are skipped have no attempt
+            try:
+                stages.append(store.lastStageAttempt(i))
+                missing = 0
+            except Exception:
+                missing += 1
+            i += 1
+        return i - missing, sum(x.shuffleWriteBytes() + x.outputBytes() for x in stages)
+
+    first, _ = moved(0)
+    kw = {"train": ngram_lm.F.col("doc_id") % 7 != 2, "segment_tokens": 100_000}
+    assert ngram_lm.score(d, most_broadcast=-1, **kw).count() == len(rows)
+    _, n_bytes = moved(first)
+    assert 0 < n_bytes < 6 * sum(len(t) for _, t in rows)
+
+
+def test_lm_hashes_survive_packing():
+    h = np.random.default_rng(2).integers(0, 2**64, 1000, dtype=np.uint64)
+    assert (ngram_lm.unpack(1, ngram_lm.pack(1, h)) == h).all()
+    packed = ngram_lm.pack(2, h)
+    assert len(packed) == 5 * len(h) and (ngram_lm.unpack(2, packed) == h & ngram_lm.PAIR).all()
+    assert not len(ngram_lm.unpack(2, ngram_lm.pack(2, h[:0])))
+    assert (ngram_lm.bits_of(h, 3, 1, 1000) == ngram_lm.bits_of(h & ngram_lm.PAIR, 3, 1, 1000)).all()
+
+
+def test_lm_long_repeated_and_empty_texts_where_the_model_is_routed(spark):
+    rows = [(1, "a b c " * 300_000), (2, "a b"), (2, "a b"), (None, None), (None, None), (3, ""), (4, "b a"), (5, "c " * 10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for train in (ngram_lm.F.coalesce(ngram_lm.F.col("doc_id") != 4, ngram_lm.F.lit(True)), ngram_lm.F.lit(False)):
+        runs = [sorted(map(repr, ngram_lm.score(d, train=train, most_broadcast=m).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", ngram_lm.F.round("base_score", 6), ngram_lm.F.round("score", 6)).collect())) for m in (400 << 20, -1)]
+        assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+
+
 # --- line cleaning ---------------------------------------------------------------------------------------------------
 
 
