@@ -56,9 +56,10 @@ def dwt_features(spark, sf):
 
 @query("dwt_series_features", _features("SELECT vec_id // 4 AS vec_id, unnest(embedding)::DOUBLE AS x, 64 * (vec_id % 4) + generate_subscripts(embedding, 1) - 1 AS k FROM embeddings", 5, 256))
 def dwt_series_features(spark, sf):
-    """Four vectors in a row are a series of 256 values, which all five levels divide."""
+    """Four vectors in a row are a series of 256 values, which all five levels divide; where some of them are missing, so are the
+    coefficients that none of the others reaches."""
     e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("vec_id"), (64 * (F.col("vec_id") % 4)).alias("_o"), F.posexplode("embedding").alias("_i", "value"))
-    c = V.decompose(e.select("vec_id", (F.col("_o") + F.col("_i")).alias("sample_idx"), "value"), ["vec_id"], wavelet="db4", level=5)
+    c = V.decompose(e.select("vec_id", (F.col("_o") + F.col("_i")).alias("sample_idx"), "value"), ["vec_id"], wavelet="db4", level=5, length=256)
     return rounded(V.wavelet_features(c, ["vec_id"]), *MEASURES, places=5)
 
 
