@@ -34,11 +34,16 @@ def event_epochs(samples: DataFrame, events: DataFrame, keys: list[str], *, befo
     """(keys, tag, onset, epoch): the values from onset - before to onset + after, both included, about each event.
 
     events: keys[0] (the recording), onset, tag; offset shifts every onset. Epochs that the recording does not hold whole are
-    left out. A sample meets only the events of its recording that are near it.
+    left out. Events meet samples by blocks as long as an epoch, one or two each, so a recording is spread over as many keys as
+    it has blocks, and a sample meets only the events that are near it.
     """
+    size = max(1, before + after + 1)
+    block = lambda at: F.floor(at / size)
     e = events.select(F.col(keys[0]).alias("_k"), (F.col("onset") + offset).alias("onset"), "tag")
+    e = e.withColumn("_b", F.explode(F.sequence(block(F.col("onset") - before), block(F.col("onset") + after))))
     near = (F.col("sample_idx") >= F.col("onset") - before) & (F.col("sample_idx") <= F.col("onset") + after)
-    j = samples.filter(F.col("value").isNotNull()).join(e, (F.col(keys[0]) == F.col("_k")) & near)
+    d = samples.filter(F.col("value").isNotNull()).withColumn("_a", block(F.col("sample_idx")))
+    j = d.join(e, (F.col(keys[0]) == F.col("_k")) & (F.col("_a") == F.col("_b")) & near)
     g = j.groupBy(*keys, "tag", "onset").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))).alias("_e"))
     return g.filter(F.size("_e") == before + after + 1).select(*keys, "tag", "onset", F.col("_e.value").alias("epoch"))
 

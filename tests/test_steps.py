@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -228,3 +230,23 @@ def test_entropy_and_dimension(spark):
     p[1:-1] *= 2
     p /= p.sum()
     assert abs(e["long"] + (p * np.log(p)).sum() / np.log(129)) < 1e-9 and e["flat"] is None and e["one"] is None and 0 < e["short"] < 1
+
+
+@pytest.mark.parametrize(("before", "after"), [(2, 5), (0, 0), (-3, 9), (40, 30)])
+def test_event_epochs_meet_by_blocks(spark, before, after):
+    """The same epochs as by loops, at the recording's ends and about missing samples too; events meet samples by recording and block."""
+    rng = np.random.default_rng(7)
+    x = {s: rng.normal(size=n) for s, n in (("a", 150), ("b", 90))}
+    x["a"][60] = np.nan
+    tags = [("a", int(i), t) for i, t in zip(rng.integers(-10, 160, 60), rng.choice(["u", "v"], 60), strict=True)] + [("b", 45, "u"), ("b", 45, "v"), ("c", 5, "u")]
+    d = table(spark, {(s, "X"): v for s, v in x.items()}).unionByName(table(spark, {("a", "Y"): x["a"] + 1}))
+    got = C.event_epochs(d, spark.createDataFrame([(s, i, t) for s, i, t in sorted(set(tags))], "recording string, onset long, tag string").withColumnRenamed("recording", "session_id"), KEYS, before=before, after=after, offset=3)
+    want = {}
+    for (s, c), v in {("a", "X"): x["a"], ("b", "X"): x["b"], ("a", "Y"): x["a"] + 1}.items():
+        for r, i, t in set(tags):
+            part = v[i + 3 - before : i + 3 + after + 1] if r == s and i + 3 - before >= 0 and i + 3 + after < len(v) else [np.nan]
+            if not np.isnan(part).any():
+                want[s, c, t, i + 3] = list(part)
+    assert want and {(r.session_id, r.signal, r.tag, r.onset): list(r.epoch) for r in got.collect()} == want
+    joins = re.findall(r"Join \[([^\]]*)\]", got._jdf.queryExecution().executedPlan().toString())
+    assert joins and all("," in j for j in joins)
