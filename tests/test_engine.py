@@ -488,3 +488,23 @@ def test_wavelet_of_given_length(spark):
         got = V.decompose(d, ["signal"], wavelet="db4", level=4, length=256, block=block).toPandas().set_index(["band", "k"]).value
         assert got.index.is_unique and np.allclose(got, want[got.index]) and np.allclose(want.drop(got.index), 0)
         assert set(got.index[got.index.get_level_values(0) == 1]) == {(1, k) for k in range(256) if 2 * k + 1 >= 100 and 2 * k - 6 < 140}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 6, 7, 5000])
+def test_describe_is_exact_without_all_values_in_one_buffer(spark, n):
+    rng = np.random.default_rng(n)
+    x = pd.DataFrame({"wide": rng.normal(size=n) ** 3, "few": rng.integers(0, 4, n).astype(float), "one": np.full(n, 2.5), "none": np.full(n, np.nan), "holes": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)), "ends": np.where(rng.random(n) < 0.4, -np.inf, np.inf)})
+    d = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x.to_numpy()], ", ".join(f"{c} double" for c in x)).repartition(5)
+    got = {r.metric: r for r in B.describe(d, list(x)).collect()}
+    assert set(got) == (set(x) if n else set())
+    for c in got:
+        v = x[c].dropna().to_numpy()
+        assert got[c]["count"] == len(v) and (got[c].min, got[c].max) == ((v.min(), v.max()) if len(v) else (None, None))
+        for q in (25, 50, 75):
+            low, high = (np.quantile(v, q / 100, method=m) for m in ("lower", "higher")) if len(v) else (None, None)
+            want = low if low == high or low == -np.inf < high else low + (high - low) * ((len(v) - 1) * q / 100 % 1)
+            between = low is not None and low == -np.inf < high  # no number lies between these
+            assert np.isnan(got[c][f"q{q}"]) if between else got[c][f"q{q}"] == want or np.isclose(got[c][f"q{q}"], want, rtol=1e-12), (c, q)
+        if c in ("wide", "holes") and len(v) > 1:
+            assert np.isclose(got[c]["mean"], v.mean()) and np.isclose(got[c]["std"], v.std(ddof=1))
+    assert "percentile(" not in B.describe(d, list(x))._jdf.queryExecution().executedPlan().toString()
